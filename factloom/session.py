@@ -20,6 +20,9 @@ SEMANTIC_CONFS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
+#: Rows handed to Python at once: texts of any length must fit in a worker's memory.
+ARROW_ROWS = "2000"
+
 
 def get_session(app: str = "factloom", master: str = "local[8]", **confs: str) -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
@@ -27,6 +30,7 @@ def get_session(app: str = "factloom", master: str = "local[8]", **confs: str) -
     defaults = {
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
@@ -41,6 +45,7 @@ def get_session(app: str = "factloom", master: str = "local[8]", **confs: str) -
 def apply_semantics(spark: SparkSession) -> SparkSession:
     for k, v in SEMANTIC_CONFS.items():
         spark.conf.set(k, v)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark
 
 
