@@ -15,6 +15,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fact_groups(table(spark, sf_dir, "fact_relationships"), table(spark, sf_dir, "facts")).select("fact_id", "group_id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.rp_forest import similar_pairs
+
+    return similar_pairs(table(spark, sf_dir, "fact_embeddings"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.multiset_dedup import copies
 
@@ -27,7 +33,13 @@ def p7_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statements(table(spark, sf_dir, "facts"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.contamination import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p2_found": p2_found, "p7_found": p7_found, "p7_statements": p7_statements,
+    "p2_found": p2_found, "p4_found": p4_found, "p9_found": p9_found, "p7_found": p7_found, "p7_statements": p7_statements,
 }
 ORACLE: dict[str, str] = {}
