@@ -39,7 +39,14 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.reading_level import reading_levels
+
+    return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p2_found": p2_found, "p4_found": p4_found, "p9_found": p9_found, "p7_found": p7_found, "p7_statements": p7_statements,
+    "p2_found": p2_found, "p4_found": p4_found, "p9_found": p9_found, "p10_found": p10_found,
+    "p7_found": p7_found, "p7_statements": p7_statements,
 }
 ORACLE: dict[str, str] = {}
