@@ -21,6 +21,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(table(spark, sf_dir, "fact_embeddings"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.canonical_values import map_predicates
+
+    return map_predicates(table(spark, sf_dir, "facts"), table(spark, sf_dir, "predicate_catalog")).select("fact_id", "predicate")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.multiset_dedup import copies
 
@@ -46,7 +52,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p2_found": p2_found, "p4_found": p4_found, "p9_found": p9_found, "p10_found": p10_found,
+    "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p9_found": p9_found, "p10_found": p10_found,
     "p7_found": p7_found, "p7_statements": p7_statements,
 }
 ORACLE: dict[str, str] = {}
