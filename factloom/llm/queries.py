@@ -15,6 +15,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fact_groups(table(spark, sf_dir, "fact_relationships"), table(spark, sf_dir, "facts")).select("fact_id", "group_id")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.visual_forms import look_alike_pairs
+
+    return look_alike_pairs(table(spark, sf_dir, "evidence"), table(spark, sf_dir, "facts"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.rp_forest import similar_pairs
 
@@ -52,7 +58,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p9_found": p9_found, "p10_found": p10_found,
+    "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p9_found": p9_found, "p10_found": p10_found,
     "p7_found": p7_found, "p7_statements": p7_statements,
 }
 ORACLE: dict[str, str] = {}
