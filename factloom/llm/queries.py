@@ -45,6 +45,12 @@ def p7_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statements(table(spark, sf_dir, "facts"))
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.containers import fill
+
+    return fill(table(spark, sf_dir, "documents"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.contamination import leaks
 
@@ -58,7 +64,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p9_found": p9_found, "p10_found": p10_found,
+    "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found,
     "p7_found": p7_found, "p7_statements": p7_statements,
 }
 ORACLE: dict[str, str] = {}
