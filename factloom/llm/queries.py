@@ -27,6 +27,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(table(spark, sf_dir, "fact_embeddings"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.name_variants import resolve_names
+
+    found = resolve_names(table(spark, sf_dir, "facts"), table(spark, sf_dir, "entities"), table(spark, sf_dir, "entity_aliases"), table(spark, sf_dir, "documents"))
+    return found.select("fact_id", "entity_id")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.canonical_values import map_predicates
 
@@ -64,7 +71,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found,
+    "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found,
     "p7_found": p7_found, "p7_statements": p7_statements,
 }
 ORACLE: dict[str, str] = {}
