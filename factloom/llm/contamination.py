@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from factloom.llm.lookalikes import unmask
+from factloom.llm.lookalikes import NON_ASCII, unmask
 
 Q = 8
 WORDS = 20  # consecutive words that make a case
@@ -36,7 +36,7 @@ _DROP = bytes(b for b in range(128) if not (48 <= b <= 57 or 97 <= b <= 122))
 def stream(text: str) -> bytes:
     """Letters and digits only, in lower case; characters beyond ASCII in UTF-8."""
     if not text.isascii():
-        text = "".join(c for c in unmask(text) if c.isascii() or c.isalnum())
+        text = NON_ASCII.sub(lambda m: m.group() if m.group().isalnum() else "", unmask(text))
     return text.lower().encode("utf-8").translate(None, _DROP)
 
 
@@ -47,10 +47,10 @@ def grams(b: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """Index of the evaluation items: words, q-grams, bounds and the first filter."""
+    """Index of the evaluation items: their streams, q-grams, bounds and the first filter."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.words, self.starts, self.bounds = [], [], [], []
+        self.ids, self.texts, self.starts, self.bounds = [], [], [], []
         values, owners, places = [], [], []
         longest = 0
         for item_id, text in items:
@@ -68,7 +68,7 @@ class Items:
             k, whole = len(self.ids), np.frombuffer(b"".join(words), np.uint8)
             g = grams(whole)
             self.ids.append(item_id)
-            self.words.append(words)
+            self.texts.append(whole)
             self.starts.append(np.concatenate([[0], np.cumsum(sizes)]))
             self.bounds.append(max(1, int(bound)))
             values.append(g)
@@ -145,18 +145,18 @@ class Items:
         Only a word that is another may shift the diagonal. The case holds if some run of at least
         WORDS words, its first and last as in the item, has at most one other word in ONE_IN.
         """
-        words, starts = self.words[item], self.starts[item]
-        offsets = np.arange(-SHIFT - BAND, SHIFT + BAND + 1) + centre
-        width = len(offsets)
-        padded = np.concatenate([np.zeros(1, np.uint8), doc, np.zeros(1, np.uint8)])
-        same = np.zeros((len(words), width), bool)
-        for i, w in enumerate(words):
-            code = np.frombuffer(w, np.uint8)
-            at = offsets + starts[i]
-            inside = (at >= 0) & (at + len(code) <= len(doc))
-            if inside.any():
-                place = at[inside][:, None] + np.arange(len(code)) + 1
-                same[i, inside] = (padded[place] == code).all(1)
+        starts, text = self.starts[item], self.texts[item]
+        reach, long = SHIFT + BAND, len(text)
+        width, lo = 2 * reach + 1, centre - reach
+        around = np.zeros(long + 2 * reach, np.uint8)
+        begin, end = max(lo, 0), min(lo + len(around), len(doc))
+        if end > begin:
+            around[begin - lo:end - lo] = doc[begin:end]
+        # Row d: the item laid on the document from lo + d on; a word stands there if all its characters agree.
+        alike = np.zeros((width, long + 1), np.int32)
+        np.cumsum(np.lib.stride_tricks.sliding_window_view(around, long) == text, axis=1, out=alike[:, 1:])
+        same = (alike[:, starts[1:]] - alike[:, starts[:-1]] == np.diff(starts)).T
+        words = range(len(same))
         if same.any(1).sum() < WORDS - WORDS // ONE_IN:
             return False
         score = np.zeros(width, np.int32)

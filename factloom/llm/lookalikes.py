@@ -47,13 +47,13 @@ def _table() -> dict[str, str]:
 #: Every character that is drawn like another text -> that text; ignorable ones -> "".
 LOOKS_LIKE = _table()
 NON_ASCII = re.compile(r"[^\x00-\x7f]")
-NON_ASCII_RUN = re.compile(r"[^\x00-\x7f]+")
+COMBINING = re.compile(r"[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
 
 
 def unmask(text: str) -> str:
     """The text in the characters it seems to have: composed accents, look-alikes and ignorables resolved."""
     if text.isascii():
         return text
-    apart = unicodedata.normalize("NFD", text) if any(unicodedata.combining(c) for c in text) else text
+    apart = unicodedata.normalize("NFD", text) if COMBINING.search(text) else text
     plain = NON_ASCII.sub(lambda m: LOOKS_LIKE.get(m.group(), m.group()), apart)
     return unicodedata.normalize("NFC", plain)
