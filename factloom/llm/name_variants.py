@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from factloom.llm.lookalikes import unmask
 from factloom.operators.skew import hot_join
+from factloom.session import Scratch
 
 MIN_SUFFIX = 3
-MAX_BLOCK = 40  # entities of one type that may share a key
+MAX_BLOCK = 24  # entities of one type that may share a key
 SHARE = 500  # a token that over 1 / SHARE of a type's entities have is a word of trade: at most a few SHARE of them
 LEAST_TRADE = 4
 NEAR = 0.02  # scores this close are a tie
@@ -81,15 +82,20 @@ def parts(name: str | None) -> tuple[list[str], list[str], bool]:
     return tokens, [{"limited": "ltd", "corporation": "corp", "incorporated": "inc", "company": "co"}.get(w, w) for w in words if w in LEGAL], inverted
 
 
-def blocking_keys(tokens: list[str]) -> list[tuple[str, str]]:
-    """(suffix, refined key): every suffix of MIN_SUFFIX letters or more, refined by each other token's beginning."""
+def blocking_keys(tokens: list[str]) -> list[tuple[str, int, str]]:
+    """(place, length, key): every suffix of MIN_SUFFIX letters or more, plain and refined by each other token's beginning.
+
+    The place names the token and the other token; of one place's keys each longer suffix stands for
+    a part of the names of the shorter, so the shortest that is rare enough finds them all.
+    """
     out = set()
     for i, t in enumerate(tokens):
-        others = [o[:2] for j, o in enumerate(tokens) if j != i] or [""]
+        others = [(j, o[:2]) for j, o in enumerate(tokens) if j != i] or [(i, "")]
         for k in range(max(1, len(t) - MIN_SUFFIX + 1)):
             suffix = t[k:]
             if len(suffix) >= MIN_SUFFIX:
-                out |= {(suffix, f"{suffix}~{o}") for o in others}
+                out.add((f"{i}", len(suffix), suffix))
+                out |= {(f"{i}~{j}", len(suffix), f"{suffix}~{o}") for j, o in others}
     return sorted(out)
 
 
@@ -185,30 +191,28 @@ def _prepare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         got = [parts(n) for n in frame["name"]]
         yield frame.assign(tokens=[" ".join(t) for t, _, _ in got], forms=[" ".join(f) for _, f, _ in got],
-                           keys=[[f"{a}\t{b}" for a, b in blocking_keys(t)] for t, _, _ in got])
+                           keys=[[{"place": a, "size": n, "key": k} for a, n, k in blocking_keys(t)] for t, _, _ in got])
+
+
+KEYS = "array<struct<place: string, size: int, key: string>>"
 
 
 def _compare(trades_cast):
+    """Compares a typed name with the names of one block; only pairs that may mean the same go on."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trades = {k: frozenset(v) for k, v in trades_cast.value.items()}
         for frame in frames:
             out = []
-            for name, kind, tokens, forms, n, candidates in zip(frame["name"], frame["type"], frame["tokens"], frame["forms"], frame["n"], frame["candidates"]):
+            for q_id, kind, tokens, forms, block in zip(frame["q"], frame["type"], frame["tokens"], frame["forms"], frame["es"]):
                 q, qf = tokens.split(), forms.split()
-                best: dict[str, float] = {}
-                for c in candidates:
+                own = trades.get(kind, frozenset())
+                for c in block:
                     e, ef = c["tokens"].split(), c["forms"].split()
-                    if kind == "PERSON":
-                        s = score_person(q, e)
-                    else:
-                        s = score_name(q, qf, e, ef, trades.get(kind, frozenset()), c["trade"] or None)
-                    if s and s > best.get(c["entity_id"], 0):
-                        best[c["entity_id"]] = s
-                top = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:8]
-                if top:
-                    near = [x for x, s in top if s > top[0][1] - NEAR]
-                    out.append((name, kind, n, top[0][0], float(top[0][1]), near))
-            yield pd.DataFrame(out, columns=["name", "type", "n", "entity_id", "score", "near"])
+                    score = score_person(q, e) if kind == "PERSON" else score_name(q, qf, e, ef, own, c["trade"] or None)
+                    if score:
+                        out.append((q_id, c["entity_id"], float(score)))
+            yield pd.DataFrame(out, columns=["q", "entity_id", "score"])
 
     return run
 
@@ -225,8 +229,9 @@ def resolve_names(facts: DataFrame, entities: DataFrame, aliases: DataFrame, doc
     open_facts = facts.where(F.col("entity_id").isNull() & F.col("subject_raw").isNotNull()).select(
         "fact_id", "document_id", F.col("subject_raw").alias("name"), F.coalesce("subject_type", F.lit("")).alias("type"))
     known = entities.where("entity_id is not null").select("entity_id", F.col("canonical_name").alias("name"), F.col("entity_type").alias("type"))
-    shape = "entity_id string, name string, type string, tokens string, forms string, keys array<string>"
-    base = known.where("name is not null").distinct().mapInPandas(_prepare, shape)
+    scratch = Scratch(spark, "p5")
+    shape = f"entity_id string, name string, type string, tokens string, forms string, keys {KEYS}"
+    base = scratch.keep(known.where("name is not null").distinct().mapInPandas(_prepare, shape))
     # Words of trade: tokens over 1 / SHARE of a type's entities have, so at most a few SHARE of them in each type.
     sizes = base.groupBy("type").agg(F.countDistinct("entity_id").alias("size"))
     words = base.where("type <> 'PERSON'").select("type", "entity_id", F.explode(F.array_distinct(F.split("tokens", " "))).alias("w")).groupBy("type", "w").agg(F.count(F.lit(1)).alias("n"))
@@ -244,20 +249,27 @@ def resolve_names(facts: DataFrame, entities: DataFrame, aliases: DataFrame, doc
     traded = base.select("entity_id", "type", trade_of.alias("trade"))
     other = aliases.where("alias is not null").select("entity_id", F.col("alias").alias("name")).distinct().join(known.select("entity_id", "type"), "entity_id").select("entity_id", "name", "type")
     names = base.unionByName(other.mapInPandas(_prepare, shape)).where("tokens <> ''").dropDuplicates(["entity_id", "tokens", "forms"]).join(traded, ["entity_id", "type"])
-    split = names.select("entity_id", "type", "tokens", "forms", "trade", F.explode("keys").alias("k")).select(
-        "entity_id", "type", "tokens", "forms", "trade", F.split("k", "\t")[0].alias("suffix"), F.split("k", "\t")[1].alias("refined"))
-    plain = split.groupBy("type", "suffix").agg(F.countDistinct("entity_id").alias("d"))
-    fine = split.groupBy("type", "refined").agg(F.countDistinct("entity_id").alias("df"))
-    member = F.struct("entity_id", "tokens", "forms", "trade").alias("e")
-    rare = split.join(plain.where(F.col("d") <= MAX_BLOCK).select("type", "suffix"), ["type", "suffix"], "left_semi").select("type", F.col("suffix").alias("key"), member)
-    common = split.join(plain.where(F.col("d") > MAX_BLOCK).select("type", "suffix"), ["type", "suffix"], "left_semi")
-    refined = common.join(fine.where(F.col("df") <= MAX_BLOCK).select("type", "refined"), ["type", "refined"], "left_semi").select("type", F.col("refined").alias("key"), member)
-    index = rare.unionByName(refined).groupBy("type", "key").agg(F.collect_set("e").alias("es"))  # bounded: MAX_BLOCK entities
+    split = scratch.keep(names.select("entity_id", "type", "tokens", "forms", "trade", F.explode(F.array_distinct(F.transform("keys", lambda k: k["key"]))).alias("key")))
+    sizes = split.groupBy("type", "key").agg(F.countDistinct("entity_id").alias("d"))
+    # Plain keys that are rare, and refined keys that are rare though their suffix is common.
+    rare = sizes.where(F.col("d") <= MAX_BLOCK).select("type", "key")
+    index = split.join(rare, ["type", "key"], "left_semi").groupBy("type", "key").agg(F.collect_set(F.struct("entity_id", "tokens", "forms", "trade")).alias("es"))  # bounded: MAX_BLOCK entities
     asked = open_facts.groupBy("name", "type").agg(F.count(F.lit(1)).alias("n"))
-    prepared = asked.mapInPandas(_prepare, "name string, type string, n long, tokens string, forms string, keys array<string>").where("tokens <> ''")
-    looked = prepared.select("name", "type", "n", "tokens", "forms", F.explode(F.array_distinct(F.flatten(F.transform("keys", lambda k: F.split(k, "\t"))))).alias("key"))
-    met = looked.join(index, ["type", "key"]).groupBy("name", "type", "n", "tokens", "forms").agg(F.array_distinct(F.flatten(F.collect_list("es"))).alias("candidates"))
-    best = met.mapInPandas(_compare(cast), "name string, type string, n long, entity_id string, score double, near array<string>")
+    prepared = scratch.keep(asked.mapInPandas(_prepare, f"name string, type string, n long, tokens string, forms string, keys {KEYS}").where("tokens <> ''").withColumn("q", F.xxhash64("name", "type")))
+    looked = prepared.select("q", "type", F.explode("keys").alias("k")).select("q", "type", "k.place", "k.size", "k.key")
+    chosen = looked.join(rare, ["type", "key"], "left_semi").groupBy("q", "type", "place").agg(F.min(F.struct("size", "key")).alias("k"))
+    # A plain key that is rare at some length makes refined keys of that length and above superfluous.
+    plain = chosen.where(~F.col("place").contains("~")).select("q", F.col("place").alias("token"), F.col("k.size").alias("enough"))
+    refined = chosen.where(F.col("place").contains("~")).withColumn("token", F.split("place", "~")[0])
+    needed = refined.join(plain, ["q", "token"], "left").where("enough is null or k.size < enough").select("q", "type", "k.key")
+    asks = chosen.where(~F.col("place").contains("~")).select("q", "type", "k.key").unionByName(needed).distinct()
+    met = asks.join(prepared.select("q", "tokens", "forms"), "q").join(index, ["type", "key"]).select("q", "type", "tokens", "forms", "es")
+    scored = met.mapInPandas(_compare(cast), "q long, entity_id string, score double").groupBy("q", "entity_id").agg(F.max("score").alias("score"))
+    # At most as many entities as the blocks of one name hold.
+    ranked = scored.groupBy("q").agg(F.max(F.struct("score", "entity_id")).alias("top"), F.collect_list(F.struct("score", "entity_id")).alias("all"))
+    best = ranked.select("q", F.col("top.entity_id").alias("entity_id"), F.col("top.score").alias("score"),
+                         F.transform(F.filter("all", lambda x: x["score"] > F.col("top.score") - NEAR), lambda x: x["entity_id"]).alias("near"))
+    best = best.join(prepared.select("q", "name", "type", "n"), "q").drop("q")
     hits = hot_join(open_facts, best, ["name", "type"], "n", facts.count())
     sure = hits.where(F.size("near") == 1).select("fact_id", "entity_id", "score")
     issuers = documents.where("document_id is not null and issuer_id is not null").select("document_id", "issuer_id").distinct()
