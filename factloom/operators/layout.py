@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from itertools import chain, groupby
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 LINE_TOLERANCE, MIN_TOLERANCE = 0.45, 2.0
 PARAGRAPH_GAP = 1.65
@@ -13,7 +18,7 @@ SPACE_GAP, MIN_SPACE = 0.2, 1.0
 def assign_lines(items: list[dict]) -> list[dict]:
     """Items with line_number from the top; an item joins the first line whose mean height on the page is near."""
     lines: list[dict] = []
-    for item in sorted(items, key=lambda i: (-i["y"], i["x"])):
+    for item in sorted(items, key=lambda i: (-i["y"], i["x"], i["text"] or "")):
         text = " ".join((item["text"] or "").split())
         if not text:
             continue
@@ -28,7 +33,7 @@ def assign_lines(items: list[dict]) -> list[dict]:
             near["height"] = max(near["height"], item["height"])
     lines.sort(key=lambda ln: -ln["y"])
     return [{**item, "line_number": k, "line_y": ln["y"], "line_height": ln["height"]}
-            for k, ln in enumerate(lines, 1) for item in sorted(ln["items"], key=lambda i: i["x"])]
+            for k, ln in enumerate(lines, 1) for item in sorted(ln["items"], key=lambda i: (i["x"], i["text"]))]
 
 
 def assemble(items: list[dict]) -> tuple[str, list[dict]]:
@@ -50,14 +55,27 @@ def assemble(items: list[dict]) -> tuple[str, list[dict]]:
 
 
 def assemble_pages(items: DataFrame) -> DataFrame:
-    """Pages (page_key, text, n_items) from items (page_key, text, x, y, width, height); a group is one page."""
+    """Pages (page_key, text, n_items) from items (page_key, text, x, y, width, height).
+
+    Pages are met in sorted partitions and pass one after the other; none is a Python group of its own.
+    """
+    names = ["page_key", "text", "x", "y", "width", "height"]
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        text, placed = assemble(frame.to_dict("records"))
-        return pd.DataFrame({"page_key": [frame["page_key"].iloc[0]], "text": [text], "n_items": [len(placed)]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in chain(batches, [None]):
+            rows = held + batch.to_pylist() if batch is not None else held
+            groups = [list(g) for _, g in groupby(rows, key=itemgetter("page_key"))]
+            held = groups.pop() if groups and batch is not None else []  # the last page may go on in the next batch
+            made = [(g[0]["page_key"], *assemble(g)) for g in groups]
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], items_type), pa.array([m[1] for m in made], pa.string()),
+                                                  pa.array([len(m[2]) for m in made], pa.int32())], names=["page_key", "text", "n_items"])
 
-    kind = items.schema["page_key"].dataType.simpleString()
-    return items.groupBy("page_key").applyInPandas(run, f"page_key {kind}, text string, n_items int")
+    kind = items.schema["page_key"].dataType
+    items_type = to_arrow_type(kind)
+    ordered = items.select(*names).repartition("page_key").sortWithinPartitions("page_key")
+    return ordered.mapInArrow(run, f"page_key {kind.simpleString()}, text string, n_items int")
 
 
 def offsets(lined: DataFrame) -> DataFrame:
