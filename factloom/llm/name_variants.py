@@ -21,7 +21,7 @@ from factloom.llm.lookalikes import unmask
 from factloom.operators.skew import hot_join
 from factloom.session import Scratch
 
-MIN_SUFFIX = 3
+MIN_SUFFIX, MAX_SUFFIX = 3, 64
 MAX_BLOCK = 24  # entities of one type that may share a key
 SHARE = 500  # a token that over 1 / SHARE of a type's entities have is a word of trade: at most a few SHARE of them
 LEAST_TRADE = 4
@@ -91,7 +91,7 @@ def blocking_keys(tokens: list[str]) -> list[tuple[str, int, str]]:
     out = set()
     for i, t in enumerate(tokens):
         others = [(j, o[:2]) for j, o in enumerate(tokens) if j != i] or [(i, "")]
-        for k in range(max(1, len(t) - MIN_SUFFIX + 1)):
+        for k in range(max(0, len(t) - MAX_SUFFIX), max(1, len(t) - MIN_SUFFIX + 1)):
             suffix = t[k:]
             if len(suffix) >= MIN_SUFFIX:
                 out.add((f"{i}", len(suffix), suffix))
