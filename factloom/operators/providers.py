@@ -146,3 +146,33 @@ def embed_texts(rows: DataFrame, provider: EmbeddingProvider, key: str = "fact_i
 def cache_misses(wanted: DataFrame, stored: DataFrame) -> DataFrame:
     """Texts whose stored vector is missing or was made of another text, model or size."""
     return wanted.join(stored.select("fact_id", "comparison_text", "model", "dimensions"), ["fact_id", "comparison_text", "model", "dimensions"], "left_anti")
+
+
+def extraction_key(version: str, model: str, text: str = "text", context: str | None = None):
+    """Identity of an extraction: prompt version, model, hash of the chunk, hash of its context."""
+    around = F.sha2(F.coalesce(F.col(context), F.lit("")), 256) if context else F.lit("")
+    return F.concat_ws(":", F.lit(version), F.lit(model), F.sha2(F.col(text), 256), around)
+
+
+def extract_cached(chunks: DataFrame, cache: DataFrame, provider: FactExtractionProvider | None = None, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(drafts of all chunks by cache_key, drafts to append to the cache).
+
+    cache has the columns of the drafts with cache_key. Chunks with one key are extracted once; only
+    keys the cache lacks reach the provider.
+    """
+    provider = provider or TemplateExtraction()
+    keyed = chunks.select(extraction_key(provider.version, provider.model, text).alias("cache_key"), text)
+    wanted = keyed.groupBy("cache_key").agg(F.first(text).alias(text))
+    misses = wanted.join(cache.select("cache_key").distinct(), "cache_key", "left_anti")
+    fresh = extract_facts(misses, provider, text, "cache_key")
+    every = cache.join(wanted.select("cache_key"), "cache_key", "left_semi").unionByName(fresh)
+    return every, fresh.where("error is null")
+
+
+def validate_drafts(drafts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid, invalid): texts not blank, confidence from 0 to 1, evidence given."""
+    filled = F.lit(True)
+    for c in ("subject", "predicate", "value", "quote"):
+        filled = filled & F.coalesce(F.length(F.trim(c)) > 0, F.lit(False))
+    ok = filled & F.coalesce(F.col("confidence").between(0, 1), F.lit(False))
+    return drafts.where(ok), drafts.where(~ok)
