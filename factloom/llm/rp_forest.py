@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 TREES = 3
 VISITS = 6  # leaves a vector visits, one in each tree included
-LEAF = 4096  # vectors of a leaf, about
+LEAF = 8192  # vectors of a leaf, about
 SAMPLE = 20_000  # vectors the trees are fitted on, at most
 BROADCAST_ROWS = 1_000_000  # most rows of a set of excluded rows that is broadcast; a larger one is joined by shuffle
 SPREAD = 3  # the trees project into the SPREAD x depth leading directions of the sample
