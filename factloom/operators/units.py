@@ -143,8 +143,8 @@ def unify_units(facts: DataFrame, factors: DataFrame, id_col: str = "fact_id") -
     for prefix in ("value_unit", "unit_unit", "currency"):
         out = out.join(lookup(prefix), ["value_type", f"__{prefix}"], "left")
     one = F.broadcast(factors.where(F.col("unit_code") == "one").limit(1).select(
-        F.struct(F.col("unit_code").alias("code"), "unit_kind", "common_unit", F.col("factor").cast("double").alias("factor")).alias("__one")))
-    out = out.join(one, F.lit(True), "left")
+        F.lit("QUANTITY").alias("value_type"), F.struct(F.col("unit_code").alias("code"), "unit_kind", "common_unit", F.col("factor").cast("double").alias("factor")).alias("__one")))
+    out = out.join(one, "value_type", "left")
     plain_count = ((F.col("value_type") == "QUANTITY") & (F.coalesce(F.col("__value_unit"), F.lit("")) == "")
                    & (F.coalesce(F.col("__unit_unit"), F.lit("")) == ""))
     strange = (F.coalesce(F.col("__value_unit"), F.lit("")) != "") & F.col("__value_unit_hit").isNull()

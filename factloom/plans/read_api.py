@@ -177,12 +177,11 @@ def document_counts(documents: DataFrame, facts: DataFrame, pairs: DataFrame, is
 
 
 def summary(documents: DataFrame, facts: DataFrame, entities: DataFrame, issue_rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row of totals; every table is read once."""
-    def n(rows: DataFrame, name: str) -> DataFrame:
-        return rows.agg(F.count(F.lit(1)).alias(name))
-
-    kinds = pairs.agg(*[F.count_if(F.col("relationship_type") == k).alias(k.lower()) for k in ("CORROBORATES", "CONTRADICTS", "RECONCILABLE", "UNCERTAIN")])
-    out = n(documents, "documents")
-    for part in (n(facts, "facts"), n(entities, "entities"), n(issue_rows, "issues"), kinds):
-        out = out.crossJoin(part)  # single rows
-    return out
+    """One row of totals; every table is counted once, the counts are turned into columns."""
+    kinds = ["CORROBORATES", "CONTRADICTS", "RECONCILABLE", "UNCERTAIN"]
+    counted = pairs.where(F.col("relationship_type").isin(kinds)).groupBy(F.lower("relationship_type").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    for name, rows in (("documents", documents), ("facts", facts), ("entities", entities), ("issues", issue_rows)):
+        counted = counted.unionByName(rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n"))
+    names = ["documents", "facts", "entities", "issues", *[k.lower() for k in kinds]]
+    totals = counted.groupBy().pivot("name", names).agg(F.sum("n"))
+    return totals.select(*[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in names])
