@@ -60,30 +60,46 @@ def dice(a: Counter, b: Counter) -> float:
 def best_window(quote: str, page: str) -> tuple[float, int, int]:
     """(score, start, end) of the best run of tokens about as long as the quote; smaller and earlier runs win ties.
 
-    Runs whose size alone keeps them below the best score so far are not measured.
+    A run of tokens is a piece of the page's normalized text, so the trigrams it shares with the
+    quote are counted while the run slides on: each character of the page is touched once a size.
     """
     n = len(TOKEN.findall(quote))
     if n < MIN_FUZZY_TOKENS:
         return 0.0, 0, 0
     want = trigrams(quote)
-    spans = [m.span() for m in TOKEN.finditer(page)]
-    best = (0.0, 0, 0)
+    spans, places, text = [], [], ""
+    for m in TOKEN.finditer(page):
+        token = NOT_GRAM.sub(" ", m.group().lower()).strip()
+        if token:
+            text += " " if text else ""
+            spans.append(m.span())
+            places.append((len(text), len(text) + len(token)))
+            text += token
     total = want.total()
-    words = set(TOKEN.findall(quote.lower()))
-    known = [page[a:b].lower() in words for a, b in spans]
-    seen = [0]
-    for k in known:
-        seen.append(seen[-1] + k)
+    best = (0.0, 0, 0)
+    grams = [text[i:i + 3] for i in range(len(text) - 2)]
     for size in range(max(MIN_FUZZY_TOKENS, n - 1), n + 2):
+        have: dict[str, int] = {}
+        shared = lo = hi = 0
         for i in range(len(spans) - size + 1):
-            if seen[i + size] - seen[i] < size // 2:  # half the words differ: far below any threshold in use
-                continue
-            a, b = spans[i][0], spans[i + size - 1][1]
-            if 2 * min(b - a + 2, total) / (b - a + 2 + total) < best[0]:
-                continue
-            score = dice(want, trigrams(page[a:b]))
+            start, end = places[i][0], places[i + size - 1][1]
+            while hi < end - 2:
+                g = grams[hi]
+                if g in want:
+                    have[g] = have.get(g, 0) + 1
+                    shared += have[g] <= want[g]
+                hi += 1
+            while lo < start:
+                g = grams[lo]
+                if g in want:
+                    shared -= have[g] <= want[g]
+                    have[g] -= 1
+                lo += 1
+            edges = Counter((f"  {text[start]}", f" {text[start:start + 2]}" if end - start > 1 else f" {text[start]} ", f"{text[end - 2:end]} " if end - start > 1 else "", f"{text[end - 1]}  "))
+            bonus = sum(min(want[g] - have.get(g, 0), k) for g, k in edges.items() if g in want and want[g] > have.get(g, 0))
+            score = 2 * (shared + bonus) / (total + end - start + 2)
             if score > best[0]:
-                best = (score, a, b)
+                best = (score, spans[i][0], spans[i + size - 1][1])
     return best
 
 
@@ -113,11 +129,8 @@ def verify_claims(claims: DataFrame, pages: DataFrame, threshold: float = FUZZY_
     context_after. Claims without their page come out as PAGE_NOT_FOUND; null and empty quotes match
     nothing. Exact matches never leave the JVM.
     """
-    joined = claims.select("claim_id", "page_key", "quote").join(pages.select("page_key", F.col("text").alias("page")), "page_key", "left")
-    at = F.when(F.length("quote") > 0, F.instr("page", F.col("quote")))
-    staged = joined.withColumn("at", F.coalesce(at, F.lit(0)))
-    exact = staged.where("at > 0").select("claim_id", F.lit("EXACT").alias("method"), F.lit(1.0).alias("score"),
-                                          (F.col("at") - 1).alias("start_char"), (F.col("at") - 1 + F.length("quote")).alias("end_char"), "page")
+    staged = _met(claims, pages)
+    exact = _exact(staged)
     missing = staged.where("page is null").select("claim_id", F.lit("PAGE_NOT_FOUND").alias("method"), F.lit(0.0).alias("score"),
                                                   F.lit(None).cast("int").alias("start_char"), F.lit(None).cast("int").alias("end_char"), "page")
 
@@ -130,9 +143,30 @@ def verify_claims(claims: DataFrame, pages: DataFrame, threshold: float = FUZZY_
             yield out.astype({"start_char": "Int32", "end_char": "Int32"})
 
     kind = claims.schema["claim_id"].dataType.simpleString()
-    rest = staged.where("at = 0 and page is not null").select("claim_id", "quote", "page").mapInPandas(
+    # Few bytes but much work for each row: spread over all shuffle partitions, which AQE leaves alone when their number is given.
+    parts = int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = staged.where("at = 0 and page is not null").select("claim_id", "quote", "page").repartition(parts, "claim_id").mapInPandas(
         dear, f"claim_id {kind}, method string, score double, start_char int, end_char int, page string")
-    every = exact.unionByName(missing).unionByName(rest)
+    return _spans(exact.unionByName(missing).unionByName(rest), context)
+
+
+def exact_claims(claims: DataFrame, pages: DataFrame, context: int = CONTEXT) -> DataFrame:
+    """The exact matches of verify_claims alone; all of it stays in the JVM."""
+    return _spans(_exact(_met(claims, pages)), context)
+
+
+def _met(claims: DataFrame, pages: DataFrame) -> DataFrame:
+    joined = claims.select("claim_id", "page_key", "quote").join(pages.select("page_key", F.col("text").alias("page")), "page_key", "left")
+    at = F.when(F.length("quote") > 0, F.instr("page", F.col("quote")))
+    return joined.withColumn("at", F.coalesce(at, F.lit(0)))
+
+
+def _exact(staged: DataFrame) -> DataFrame:
+    return staged.where("at > 0").select("claim_id", F.lit("EXACT").alias("method"), F.lit(1.0).alias("score"),
+                                         (F.col("at") - 1).alias("start_char"), (F.col("at") - 1 + F.length("quote")).alias("end_char"), "page")
+
+
+def _spans(every: DataFrame, context: int) -> DataFrame:
     begin = F.greatest(F.lit(0), F.col("start_char") - context)
     return every.select("claim_id", "method", "score", "start_char", "end_char",
                         F.substr("page", F.col("start_char") + 1, F.col("end_char") - F.col("start_char")).alias("matched_text"),

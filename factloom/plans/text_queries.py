@@ -86,7 +86,7 @@ SELECT evidence_id AS claim_id, (pos - 1)::INT AS start_char, (pos - 1 + length(
 substr(text, greatest(1, pos - 200)::BIGINT, least(200, pos - 1)::BIGINT) AS context_before, substr(text, (pos + length(quote))::BIGINT, 200) AS context_after
 FROM m WHERE pos > 0 AND quote <> ''""")
 def evidence_exact(spark: SparkSession, d: str) -> DataFrame:
-    found = ev.verify_claims(*_claims(spark, d)).where("method = 'EXACT'")
+    found = ev.exact_claims(*_claims(spark, d))
     return found.select("claim_id", "start_char", "end_char", "matched_text", "context_before", "context_after")
 
 

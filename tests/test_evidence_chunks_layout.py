@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from factloom.operators.chunks import chunk_pages, tokens
-from factloom.operators.evidence import dice, normal_form, trigrams, verify, verify_claims
+from factloom.operators.evidence import TOKEN, best_window, dice, normal_form, trigrams, verify, verify_claims
 from factloom.operators.layout import assemble
 from factloom.sources.pdf import PdfError, parse_pdf
 
@@ -51,6 +51,22 @@ def test_normal_form_index(text):
     assert len(out) == len(index) and index == sorted(index) and all(i < len(text) for i in index)
 
 
+def brute_window(quote, page):
+    n = len(TOKEN.findall(quote))
+    spans, best = [m.span() for m in TOKEN.finditer(page)], 0.0
+    for size in range(max(5, n - 1), n + 2) if n >= 5 else []:
+        for i in range(len(spans) - size + 1):
+            best = max(best, dice(trigrams(quote), trigrams(page[spans[i][0]:spans[i + size - 1][1]])))
+    return best
+
+
+@given(st.lists(st.sampled_from(["revenue", "a", "$5", "in", "rose", "R.D-x", "12,5", "é"]), min_size=5, max_size=8), st.lists(st.sampled_from(["revenue", "revenues", "a", "$5", "in", "; ", "rose", "R.D-x", "12,5", "b"]), max_size=25))
+@settings(max_examples=150, deadline=None)
+def test_sliding_window_agrees_with_brute_force(quote, page):
+    q, p = " ".join(quote), " ".join(page)
+    assert best_window(q, p)[0] == pytest.approx(brute_window(q, p))
+
+
 def test_chunks():
     pages = [(1, "\n\n".join(f"Paragraph {i} of page one speaks of revenue." for i in range(3))), (2, "\n\n".join(f"Paragraph {i} of page two speaks of costs." for i in range(3)))]
     got = chunk_pages(pages, 40, 8)
