@@ -11,7 +11,9 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -48,6 +50,9 @@ def normal_form(text: str) -> tuple[str, list[int]]:
     return "".join(out), index
 
 
+_normal_page = lru_cache(maxsize=8)(normal_form)  # claims of one page come together
+
+
 def trigrams(text: str) -> Counter:
     padded = f"  {NOT_GRAM.sub(' ', text.lower()).strip()}  "
     return Counter(padded[i:i + 3] for i in range(len(padded) - 2))
@@ -57,50 +62,50 @@ def dice(a: Counter, b: Counter) -> float:
     return 2 * (a & b).total() / (a.total() + b.total())
 
 
+@lru_cache(maxsize=8)
+def _page(page: str) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(normalized text, its trigrams as integers, source starts, source ends, starts, ends of its tokens)."""
+    found = [(m.span(), token) for m in TOKEN.finditer(page) if (token := NOT_GRAM.sub(" ", m.group().lower()).strip())]
+    text = " ".join(t for _, t in found)
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    grams = (code[:-2] << 42) | (code[1:-1] << 21) | code[2:] if len(code) > 2 else np.empty(0, np.int64)
+    sizes = np.array([len(t) for _, t in found], np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]) if len(sizes) else sizes
+    spans = np.array([s for s, _ in found], np.int64).reshape(-1, 2)
+    return text, grams, spans[:, 0], spans[:, 1], starts, starts + sizes
+
+
 def best_window(quote: str, page: str) -> tuple[float, int, int]:
     """(score, start, end) of the best run of tokens about as long as the quote; smaller and earlier runs win ties.
 
-    A run of tokens is a piece of the page's normalized text, so the trigrams it shares with the
-    quote are counted while the run slides on: each character of the page is touched once a size.
+    A run is a piece of the page's normalized text. It cannot share more trigrams than it has of
+    the quote's kinds, and the four at its edges; runs are measured in order of that bound until
+    the bound falls below the best score.
     """
     n = len(TOKEN.findall(quote))
     if n < MIN_FUZZY_TOKENS:
         return 0.0, 0, 0
     want = trigrams(quote)
-    spans, places, text = [], [], ""
-    for m in TOKEN.finditer(page):
-        token = NOT_GRAM.sub(" ", m.group().lower()).strip()
-        if token:
-            text += " " if text else ""
-            spans.append(m.span())
-            places.append((len(text), len(text) + len(token)))
-            text += token
     total = want.total()
-    best = (0.0, 0, 0)
-    grams = [text[i:i + 3] for i in range(len(text) - 2)]
+    text, grams, source_start, source_end, starts, ends = _page(page)
+    kinds = np.array([(ord(g[0]) << 42) | (ord(g[1]) << 21) | ord(g[2]) for g in want], np.int64)
+    known = np.concatenate([[0], np.cumsum(np.isin(grams, kinds)), [0, 0]])
+    known[-2:] = known[-3]
+    best = (0.0, 0, 0, 0)
     for size in range(max(MIN_FUZZY_TOKENS, n - 1), n + 2):
-        have: dict[str, int] = {}
-        shared = lo = hi = 0
-        for i in range(len(spans) - size + 1):
-            start, end = places[i][0], places[i + size - 1][1]
-            while hi < end - 2:
-                g = grams[hi]
-                if g in want:
-                    have[g] = have.get(g, 0) + 1
-                    shared += have[g] <= want[g]
-                hi += 1
-            while lo < start:
-                g = grams[lo]
-                if g in want:
-                    shared -= have[g] <= want[g]
-                    have[g] -= 1
-                lo += 1
-            edges = Counter((f"  {text[start]}", f" {text[start:start + 2]}" if end - start > 1 else f" {text[start]} ", f"{text[end - 2:end]} " if end - start > 1 else "", f"{text[end - 1]}  "))
-            bonus = sum(min(want[g] - have.get(g, 0), k) for g, k in edges.items() if g in want and want[g] > have.get(g, 0))
-            score = 2 * (shared + bonus) / (total + end - start + 2)
-            if score > best[0]:
-                best = (score, spans[i][0], spans[i + size - 1][1])
-    return best
+        if len(starts) < size:
+            break
+        a, b = starts[:len(starts) - size + 1], ends[size - 1:]
+        bound = 2 * (known[np.maximum(b - 2, a)] - known[a] + 4) / (total + b - a + 2)
+        for i in np.argsort(-bound, kind="stable").tolist():
+            if bound[i] < best[0] or not bound[i]:
+                break
+            score = dice(want, trigrams(text[a[i]:b[i]]))
+            if score > best[0] or (score == best[0] and best[3] == size and i < best[1]):
+                best = (score, i, size, size)
+    if not best[2]:
+        return 0.0, 0, 0
+    return best[0], int(source_start[best[1]]), int(source_end[best[1] + best[2] - 1])
 
 
 def verify(quote: str | None, page: str | None, threshold: float = FUZZY_THRESHOLD) -> tuple[str, float, int | None, int | None]:
@@ -112,7 +117,7 @@ def verify(quote: str | None, page: str | None, threshold: float = FUZZY_THRESHO
     if at >= 0:
         return "EXACT", 1.0, at, at + len(quote)
     want, _ = normal_form(quote)
-    have, index = normal_form(page)
+    have, index = _normal_page(page)
     at = have.find(want) if want else -1
     if at >= 0:
         return "NORMALIZED", 1.0, index[at], index[at + len(want) - 1] + 1
@@ -145,7 +150,8 @@ def verify_claims(claims: DataFrame, pages: DataFrame, threshold: float = FUZZY_
     kind = claims.schema["claim_id"].dataType.simpleString()
     # Few bytes but much work for each row: spread over all shuffle partitions, which AQE leaves alone when their number is given.
     parts = int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rest = staged.where("at = 0 and page is not null").select("claim_id", "quote", "page").repartition(parts, "claim_id").mapInPandas(
+    rest = staged.where("at = 0 and page is not null").select("claim_id", "page_key", "quote", "page").repartition(
+        parts, "page_key", F.pmod(F.xxhash64("claim_id"), F.lit(4))).sortWithinPartitions("page_key").drop("page_key").mapInPandas(
         dear, f"claim_id {kind}, method string, score double, start_char int, end_char int, page string")
     return _spans(exact.unionByName(missing).unionByName(rest), context)
 
