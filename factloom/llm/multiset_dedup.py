@@ -75,6 +75,8 @@ def duplicate_sets(facts: DataFrame, id_col: str = "fact_id", scope: str = "docu
         qualifier_map(F.col("qualifiers")).alias("bag"))
     named = {k: F.col(k) for k in fields}
     base = base.withColumn("h1", fingerprint(named, F.col("bag"), 1)).withColumn("h2", fingerprint(named, F.col("bag"), 2))
+    scratch = Scratch(spark, "p7")
+    base = scratch.keep(base)  # folded once, read for the groups and again for their members
     keys = ["scope", "h1", "h2"]
     record = F.struct(*fields, "bag")
     groups = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("fact_id").alias("first"),
@@ -84,7 +86,6 @@ def duplicate_sets(facts: DataFrame, id_col: str = "fact_id", scope: str = "docu
     equal = same_bag(F.col("bag"), F.col("head.bag"))
     for k in fields:
         equal = equal & (F.col(k) == F.col(f"head.{k}"))
-    scratch = Scratch(spark, "p7")
     checked = scratch.keep(met.select("first", "fact_id", equal.alias("equal"), "scope"))
     right = checked.where("equal").select(F.col("first").alias("first_fact_id"), F.col("fact_id").alias("copy_fact_id"))
     collided = checked.where("not equal").select("fact_id")
