@@ -1,10 +1,11 @@
 """Variant spellings of names typed by people (problem 5).
 
-Names are blocked by the suffixes of their tokens: a typing error, an initial or a lost beginning
-leaves the rest of a token intact. A suffix that too many entities share is refined with other
-parts of the name first and dropped only if it stays common. Pairs that meet are compared by the
-longest common subsequence of their parts, in any order; words of trade and given names may be
-abbreviated, familiar or missing.
+Names are blocked by the last letters of their tokens: a typing error, an initial or a lost
+beginning leaves the rest of a token intact. No block is dropped or capped: a common one is split
+over many tasks, and its pairs are first held against the letters they have in common, which
+rejects only pairs that cannot reach the least similarity. What is left is compared by the longest
+common subsequence of the parts, in any order; words of trade and given names may be abbreviated,
+familiar or missing. A name spelled like a known one is found by equality as well.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from factloom.llm.lookalikes import unmask
 from factloom.operators.skew import hot_join
 from factloom.session import Scratch
 
-MIN_SUFFIX, MAX_SUFFIX = 3, 64
-MAX_BLOCK = 24  # entities of one type that may share a key
+SUFFIX = 3  # letters at the end of a token by which names meet
+SPLIT = 2_000  # names or spellings of one key in a task; a key with more is split over several
 SHARE = 500  # a token that over 1 / SHARE of a type's entities have is a word of trade: at most a few SHARE of them
 LEAST_TRADE = 4
 NEAR = 0.02  # scores this close are a tie
@@ -82,21 +83,26 @@ def parts(name: str | None) -> tuple[list[str], list[str], bool]:
     return tokens, [{"limited": "ltd", "corporation": "corp", "incorporated": "inc", "company": "co"}.get(w, w) for w in words if w in LEGAL], inverted
 
 
-def blocking_keys(tokens: list[str]) -> list[tuple[str, int, str]]:
-    """(place, length, key): every suffix of MIN_SUFFIX letters or more, plain and refined by each other token's beginning.
+def blocking_keys(tokens: list[str]) -> list[str]:
+    """The last letters of every token but initials; the name as a whole if it has nothing else."""
+    return sorted({t[-SUFFIX:] for t in tokens if len(t) > 1}) or [" ".join(tokens)]
 
-    The place names the token and the other token; of one place's keys each longer suffix stands for
-    a part of the names of the shorter, so the shortest that is rare enough finds them all.
-    """
-    out = set()
-    for i, t in enumerate(tokens):
-        others = [(j, o[:2]) for j, o in enumerate(tokens) if j != i] or [(i, "")]
-        for k in range(max(0, len(t) - MAX_SUFFIX), max(1, len(t) - MIN_SUFFIX + 1)):
-            suffix = t[k:]
-            if len(suffix) >= MIN_SUFFIX:
-                out.add((f"{i}", len(suffix), suffix))
-                out |= {(f"{i}~{j}", len(suffix), f"{suffix}~{o}") for j, o in others}
-    return sorted(out)
+
+def sketch(text: str) -> tuple[int, int, int]:
+    """(bits, bits, length): the letters and how often they occur; the bits in which two texts differ are at most their letters outside a common subsequence."""
+    first = second = 0
+    counts: dict[int, int] = {}
+    for c in text:
+        k = ord(c) - 97
+        k = k if 0 <= k < 26 else 26 + ord(c) % 11
+        n = counts[k] = counts.get(k, 0) + 1
+        if k >= 26:
+            first, second = (first | 1 << 26 + k, second) if n == 1 else (first, second | 1 << 26 + k)
+        elif n <= 2:
+            first |= 1 << 2 * k + n - 1
+        elif n <= 4:
+            second |= 1 << 2 * k + n - 3
+    return first, second, len(text)
 
 
 def trade_score(word: str, trade: str) -> float:
@@ -122,8 +128,8 @@ def core_score(typed: list[str], core: list[str]) -> float:
     return best
 
 
-def score_name(q: list[str], q_forms: list[str], e: list[str], e_forms: list[str], trades: frozenset[str], own_trade: str | None) -> float:
-    """Names of organisations, products and places; 0 where they cannot mean the same."""
+def core_of(e: list[str], trades: frozenset[str], own_trade: str | None) -> tuple[str | None, list[str]]:
+    """(word of trade, other parts) of a known name; the trade may be one that only the entity's canonical name has."""
     trade = next((t for t in reversed(e) if t in trades), None)
     core = list(e)
     if trade is not None:
@@ -132,7 +138,12 @@ def score_name(q: list[str], q_forms: list[str], e: list[str], e_forms: list[str
         hit = max(((trade_score(t, own_trade), t) for t in e), default=(0, ""))
         if hit[0] >= 0.9 and len(e) > 1:
             core.remove(hit[1])
-    trade = trade or own_trade
+    return trade or own_trade, core
+
+
+def score_name(q: list[str], q_forms: list[str], e: list[str], e_forms: list[str], trades: frozenset[str], own_trade: str | None) -> float:
+    """Names of organisations, products and places; 0 where they cannot mean the same."""
+    trade, core = core_of(e, trades, own_trade)
     if not core or not q:
         return 0.0
     best = 0.0
@@ -153,13 +164,17 @@ def score_name(q: list[str], q_forms: list[str], e: list[str], e_forms: list[str
     return best
 
 
+def initials_first(q: list[str]) -> list[str]:
+    """"Surname GM": the initials stand together."""
+    return [q[1][0], q[1][1], q[0]] if len(q) == 2 and len(q[1]) == 2 and len(q[0]) > 2 else q
+
+
 def score_person(q: list[str], e: list[str]) -> float:
     """Given name, perhaps initials between, surname last."""
     if len(q) < 2 or len(e) < 2:
         return 0.0
     best = 0.0
-    if len(q) == 2 and len(q[1]) == 2 and len(q[0]) > 2:  # "Surname GM": the initials stand together
-        q = [q[1][0], q[1][1], q[0]]
+    q = initials_first(q)
     for order in {tuple(q), tuple(q[1:] + q[:1])}:
         surname, given = ratio(order[-1], e[-1]), order[0]
         if surname < CORE:
@@ -190,33 +205,85 @@ def score_person(q: list[str], e: list[str]) -> float:
 def _prepare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         got = [parts(n) for n in frame["name"]]
-        yield frame.assign(tokens=[" ".join(t) for t, _, _ in got], forms=[" ".join(f) for _, f, _ in got],
-                           keys=[[{"place": a, "size": n, "key": k} for a, n, k in blocking_keys(t)] for t, _, _ in got])
+        yield frame.assign(tokens=[" ".join(t) for t, _, _ in got], forms=[" ".join(f) for _, f, _ in got])
+
+
+SKETCH = "struct<b1: bigint, b2: bigint, size: int>"
+
+
+def _index(trades_cast):
+    """Keys of known names, and the sketch of the part that is compared: the surname, or all but the word of trade."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trades = {k: frozenset(v) for k, v in trades_cast.value.items()}
+        for frame in frames:
+            names = [t.split() for t in frame["tokens"]]
+            cores = [n[-1] if kind == "PERSON" else "".join(core_of(n, trades.get(kind, frozenset()), trade or None)[1]) for n, kind, trade in zip(names, frame["type"], frame["trade"])]
+            yield frame.assign(sketch=[dict(zip(("b1", "b2", "size"), sketch(c))) for c in cores], keys=[blocking_keys(n) for n in names])
+
+    return run
 
 
-KEYS = "array<struct<place: string, size: int, key: string>>"
+def _ask(trades_cast):
+    """Keys of typed names, and the sketches of the parts that may stand for what is compared."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trades = {k: frozenset(v) for k, v in trades_cast.value.items()}
+        known: dict[tuple[str, str], bool] = {}
+        for frame in frames:
+            sketches, keys = [], []
+            for kind, tokens in zip(frame["type"], frame["tokens"]):
+                q = tokens.split()
+                keys.append(blocking_keys(q))
+                if kind == "PERSON":
+                    q = initials_first(q)
+                    texts = {q[-1], q[0]}
+                else:
+                    for w in q:
+                        if (kind, w) not in known:
+                            known[kind, w] = any(trade_score(w, t) for t in trades.get(kind, ()))
+                    texts = {"".join(q)} | {"".join(q[:i] + q[i + 1:]) for i, w in enumerate(q) if known[kind, w]}
+                sketches.append([dict(zip(("b1", "b2", "size"), x)) for x in sorted({sketch(t) for t in texts})])
+            yield frame.assign(sketches=sketches, keys=keys)
+
+    return run
 
 
 def _compare(trades_cast):
-    """Compares a typed name with the names of one block; only pairs that may mean the same go on."""
+    """Compares typed names with known ones; only pairs that may mean the same go on. Equal names do, whatever they consist of."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trades = {k: frozenset(v) for k, v in trades_cast.value.items()}
         for frame in frames:
             out = []
-            for q_id, kind, tokens, forms, block in zip(frame["q"], frame["type"], frame["tokens"], frame["forms"], frame["es"]):
-                q, qf = tokens.split(), forms.split()
-                own = trades.get(kind, frozenset())
-                for c in block:
-                    e, ef = c["tokens"].split(), c["forms"].split()
-                    score = score_person(q, e) if kind == "PERSON" else score_name(q, qf, e, ef, own, c["trade"] or None)
-                    if score:
-                        out.append((q_id, c["entity_id"], float(score)))
+            for q_id, kind, tokens, forms, entity, known, known_forms, trade in zip(*[frame[c] for c in ("q", "type", "tokens", "forms", "entity_id", "e_tokens", "e_forms", "trade")]):
+                q, e = tokens.split(), known.split()
+                score = score_person(q, e) if kind == "PERSON" else score_name(q, forms.split(), e, known_forms.split(), trades.get(kind, frozenset()), trade or None)
+                score = max(score, 1.0) if q == e else score
+                if score:
+                    out.append((q_id, entity, float(score)))
             yield pd.DataFrame(out, columns=["q", "entity_id", "score"])
 
     return run
 
 
+def _meet(index: DataFrame, asks: DataFrame) -> DataFrame:
+    """Pairs of one type and key whose sketches allow the least similarity. A key's pairs are cut into squares of SPLIT by SPLIT, each a task's at most."""
+    many = [x.groupBy("type", "key").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias(c)) for x, c in ((index, "rows"), (asks, "cols"))]
+    # Bounded: a key in it has over SPLIT rows on one side.
+    split = F.broadcast(many[0].join(many[1], ["type", "key"]).where("rows > 1 or cols > 1"))
+    one = F.lit(1)
+
+    def cut(x: DataFrame, own: str, across: str, by: list) -> DataFrame:
+        x = x.join(split, ["type", "key"], "left").withColumn("rows", F.coalesce("rows", one)).withColumn("cols", F.coalesce("cols", one))
+        at = (F.pmod(F.xxhash64(*by), F.col(own)) + 1).cast("int")
+        return x.withColumn(own, at).withColumn(across, F.explode(F.sequence(one, F.col(across))))
+
+    left, right = cut(asks, "cols", "rows", ["q", "s"]), cut(index, "rows", "cols", ["entity_id", "e_tokens", "e_forms"])
+    differ = F.bit_count(F.col("s.b1").bitwiseXOR(F.col("sketch.b1"))) + F.bit_count(F.col("s.b2").bitwiseXOR(F.col("sketch.b2")))
+    return left.join(right, ["type", "key", "rows", "cols"]).where(differ <= (1 - CORE) * (F.col("s.size") + F.col("sketch.size")) + 1e-6)
+
+
 def resolve_names(facts: DataFrame, entities: DataFrame, aliases: DataFrame, documents: DataFrame) -> DataFrame:
     """(fact_id, entity_id, score): facts without entity_id whose subject means an entity of ``entities``.
 
@@ -230,7 +297,7 @@ def resolve_names(facts: DataFrame, entities: DataFrame, aliases: DataFrame, doc
         "fact_id", "document_id", F.col("subject_raw").alias("name"), F.coalesce("subject_type", F.lit("")).alias("type"))
     known = entities.where("entity_id is not null").select("entity_id", F.col("canonical_name").alias("name"), F.col("entity_type").alias("type"))
     scratch = Scratch(spark, "p5")
-    shape = f"entity_id string, name string, type string, tokens string, forms string, keys {KEYS}"
+    shape = "entity_id string, name string, type string, tokens string, forms string"
     base = scratch.keep(known.where("name is not null").distinct().mapInPandas(_prepare, shape))
     # Words of trade: tokens over 1 / SHARE of a type's entities have, so at most a few SHARE of them in each type.
     sizes = base.groupBy("type").agg(F.countDistinct("entity_id").alias("size"))
@@ -249,29 +316,23 @@ def resolve_names(facts: DataFrame, entities: DataFrame, aliases: DataFrame, doc
     traded = base.select("entity_id", "type", trade_of.alias("trade"))
     other = aliases.where("alias is not null").select("entity_id", F.col("alias").alias("name")).distinct().join(known.select("entity_id", "type"), "entity_id").select("entity_id", "name", "type")
     names = base.unionByName(other.mapInPandas(_prepare, shape)).where("tokens <> ''").dropDuplicates(["entity_id", "tokens", "forms"]).join(traded, ["entity_id", "type"])
-    split = scratch.keep(names.select("entity_id", "type", "tokens", "forms", "trade", F.explode(F.array_distinct(F.transform("keys", lambda k: k["key"]))).alias("key")))
-    sizes = split.groupBy("type", "key").agg(F.countDistinct("entity_id").alias("d"))
-    # Plain keys that are rare, and refined keys that are rare though their suffix is common.
-    rare = sizes.where(F.col("d") <= MAX_BLOCK).select("type", "key")
-    index = split.join(rare, ["type", "key"], "left_semi").groupBy("type", "key").agg(F.collect_set(F.struct("entity_id", "tokens", "forms", "trade")).alias("es"))  # bounded: MAX_BLOCK entities
+    shape = f"entity_id string, type string, tokens string, forms string, trade string, sketch {SKETCH}, keys array<string>"
+    index = scratch.keep(names.select("entity_id", "type", "tokens", "forms", "trade").mapInPandas(_index(cast), shape)).withColumnsRenamed({"tokens": "e_tokens", "forms": "e_forms"})
     asked = open_facts.groupBy("name", "type").agg(F.count(F.lit(1)).alias("n"))
-    prepared = scratch.keep(asked.mapInPandas(_prepare, f"name string, type string, n long, tokens string, forms string, keys {KEYS}").where("tokens <> ''").withColumn("q", F.xxhash64("name", "type")))
-    looked = prepared.select("q", "type", F.explode("keys").alias("k")).select("q", "type", "k.place", "k.size", "k.key")
-    chosen = looked.join(rare, ["type", "key"], "left_semi").groupBy("q", "type", "place").agg(F.min(F.struct("size", "key")).alias("k"))
-    # A plain key that is rare at some length makes refined keys of that length and above superfluous.
-    plain = chosen.where(~F.col("place").contains("~")).select("q", F.col("place").alias("token"), F.col("k.size").alias("enough"))
-    refined = chosen.where(F.col("place").contains("~")).withColumn("token", F.split("place", "~")[0])
-    needed = refined.join(plain, ["q", "token"], "left").where("enough is null or k.size < enough").select("q", "type", "k.key")
-    asks = chosen.where(~F.col("place").contains("~")).select("q", "type", "k.key").unionByName(needed).distinct()
-    met = asks.join(prepared.select("q", "tokens", "forms"), "q").join(index, ["type", "key"]).select("q", "type", "tokens", "forms", "es")
-    scored = met.mapInPandas(_compare(cast), "q long, entity_id string, score double").groupBy("q", "entity_id").agg(F.max("score").alias("score"))
-    # At most as many entities as the blocks of one name hold.
-    ranked = scored.groupBy("q").agg(F.max(F.struct("score", "entity_id")).alias("top"), F.collect_list(F.struct("score", "entity_id")).alias("all"))
-    best = ranked.select("q", F.col("top.entity_id").alias("entity_id"), F.col("top.score").alias("score"),
-                         F.transform(F.filter("all", lambda x: x["score"] > F.col("top.score") - NEAR), lambda x: x["entity_id"]).alias("near"))
-    best = best.join(prepared.select("q", "name", "type", "n"), "q").drop("q")
+    prepared = asked.mapInPandas(_prepare, "name string, type string, n long, tokens string, forms string").where("tokens <> ''").withColumn("q", F.xxhash64("name", "type"))
+    prepared = scratch.keep(prepared.mapInPandas(_ask(cast), f"name string, type string, n long, tokens string, forms string, q long, sketches array<{SKETCH}>, keys array<string>"))
+    asks = prepared.select("q", "type", F.explode("keys").alias("key"), "sketches").select("q", "type", "key", F.explode("sketches").alias("s"))
+    met = _meet(index.where("sketch.size > 0").withColumn("key", F.explode("keys")).drop("keys"), asks).select("q", "entity_id", "e_tokens", "e_forms", "trade").distinct()
+    spelled = prepared.select("q", "type", "tokens", "forms")
+    same = spelled.join(index.select("entity_id", "type", "e_tokens", "e_forms", "trade").withColumn("tokens", F.col("e_tokens")), ["type", "tokens"])
+    pairs = met.join(spelled, "q").unionByName(same.select("q", "entity_id", "e_tokens", "e_forms", "trade", "type", "tokens", "forms"))
+    scored = scratch.keep(pairs.mapInPandas(_compare(cast), "q long, entity_id string, score double").groupBy("q", "entity_id").agg(F.max("score").alias("score")))
+    top = scored.groupBy("q").agg(F.max(F.struct("score", "entity_id")).alias("top"))
+    near = scored.join(top, "q").where(F.col("score") > F.col("top.score") - NEAR).select("q", F.col("entity_id").alias("issuer_id"))
+    best = top.join(near.groupBy("q").agg(F.count(F.lit(1)).alias("near")), "q").select("q", F.col("top.entity_id").alias("entity_id"), F.col("top.score").alias("score"), "near")
+    best = best.join(prepared.select("q", "name", "type", "n"), "q")
     hits = hot_join(open_facts, best, ["name", "type"], "n", facts.count())
-    sure = hits.where(F.size("near") == 1).select("fact_id", "entity_id", "score")
+    sure = hits.where("near = 1").select("fact_id", "entity_id", "score")
     issuers = documents.where("document_id is not null and issuer_id is not null").select("document_id", "issuer_id").distinct()
-    tied = hits.where(F.size("near") > 1).join(issuers, "document_id").where(F.array_contains(F.col("near"), F.col("issuer_id")))
+    tied = hits.where("near > 1").join(issuers, "document_id").join(near, ["q", "issuer_id"], "left_semi")
     return sure.unionByName(tied.select("fact_id", F.col("issuer_id").alias("entity_id"), "score"))

@@ -97,6 +97,29 @@ def test_names(spark):
     assert nv.resolve_names(facts(spark, []), e.limit(0), a.limit(0), d.limit(0)).count() == 0
 
 
+def resolved(spark, kind, known, asks, aliases=()):
+    """The entity of each spelling in ``asks``; ``known`` maps entities to names."""
+    e = spark.createDataFrame([(k, n, kind) for k, n in known.items()], "entity_id string, canonical_name string, entity_type string")
+    a = spark.createDataFrame(list(aliases), "entity_id string, alias string")
+    d = spark.createDataFrame([], "document_id string, issuer_id string")
+    rows = [{"fact_id": q, "document_id": "d", "subject_raw": q, "subject_type": kind} for q in asks]
+    return {r["fact_id"]: r["entity_id"] for r in nv.resolve_names(facts(spark, rows), e, a, d).collect()}
+
+
+def test_names_of_a_block_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(nv, "SPLIT", 7, raising=False)  # so that blocks are split here, too
+    # 27 given names and 27 surnames, each beginning alike: every part of a name, with the beginning of the other, is shared by 27 persons.
+    syllables = [a + b for a in "bdgklprtz" for b in "aou"]
+    known = {f"{i:02d}{j:02d}": f"Ma{a}{a}ne Smi{b}{b}ler" for i, a in enumerate(syllables) for j, b in enumerate(syllables)}
+    asks = {"Mababane Smitutuler": "0023", "Smizozoler, Mazuzune": "2625", "Mzuzune Smizozolr": "2625", "Walter Smibabaler": None}
+    assert resolved(spark, "PERSON", known, asks) == {q: e for q, e in asks.items() if e}
+
+
+def test_names_spelled_like_a_known_one(spark):
+    known = {"a": "Li X", "b": "X Y", "c": "Madonna", "d": "Energy"}
+    assert resolved(spark, "PERSON", known, {"X. Y.": "b", "MADONNA": "c", "Stella": None}, [("d", "Sting")]) == {"X. Y.": "b", "MADONNA": "c"}
+
+
 # --- canonical values --------------------------------------------------------------------------------
 
 def test_predicates(spark):
