@@ -1,26 +1,28 @@
 """Mapping free-entered values to a canonical list (problem 6).
 
 The reference list is widened by the wordings of facts that already carry a catalog entry. A
-wording is looked up as it stands, then in a symmetric-delete dictionary: of all entries within a
-bounded edit distance the one with the least weighted Damerau-Levenshtein distance wins, then the
-more frequent one. Wordings without an entry come out as UNMATCHED.
+wording is looked up as it stands, then among all known wordings, however rare or long, by a join
+over symmetric deletes: of all within a bounded edit distance the one with the least weighted
+Damerau-Levenshtein distance wins, then the more frequent one. Wordings without any come out as
+UNMATCHED.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import inf
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom.operators.skew import hot_join
+from factloom.session import Scratch
 
 UNMATCHED = "UNMATCHED"
 MAX_EDITS = 2
-MAX_ENTRIES = 20_000  # entries of the edit dictionary, at most (the most frequent); exact lookup knows all wordings
-MAX_LENGTH = 100  # characters of a wording that is searched by edits; a longer one is looked up as it stands
-SUPPORT = 3  # facts that must carry a wording before the edit dictionary takes it
+MAX_LENGTH = 100  # characters of a wording that is searched by deletes; a longer one is searched by its pieces
 MAJORITY = 0.6  # share of a wording's facts that must agree on the catalog entry
 
 # Words around a measure that do not change which measure it is.
@@ -67,14 +69,15 @@ def distance(a: str, b: str, limit: float = MAX_EDITS) -> float:
     """
     if abs(len(a) - len(b)) > 2 * limit:
         return limit + 1
+    band = int(limit / 0.6) + 1  # off the diagonal by more, the cost is above the limit
     before, last = None, [0.0]
     for j in range(len(b)):
         last.append(last[j] + (0.6 if b[j] == " " or (j and b[j] == b[j - 1]) else 1))
     for i in range(1, len(a) + 1):
         x = a[i - 1]
         gone = 0.6 if x == " " or (i > 1 and x == a[i - 2]) else 1.0
-        row = [last[0] + gone]
-        for j in range(1, len(b) + 1):
+        row = [last[0] + gone] + [inf] * len(b)
+        for j in range(max(1, i - band), min(len(b), i + band) + 1):
             y = b[j - 1]
             if x == y:
                 cost = last[j - 1]
@@ -84,7 +87,7 @@ def distance(a: str, b: str, limit: float = MAX_EDITS) -> float:
             cost = min(cost, last[j] + gone, row[j - 1] + come)
             if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 cost = min(cost, before[j - 2] + 0.8)
-            row.append(cost)
+            row[j] = cost
         if min(row) > limit:
             return limit + 1
         before, last = last, row
@@ -105,7 +108,7 @@ def edits_for(word: str) -> int:
 
 
 class Dictionary:
-    """Symmetric-delete index over (wording, target, frequency); variants of a known wording are left out."""
+    """Symmetric-delete index in memory over (wording, target, frequency), for short lists; variants of a known wording are left out."""
 
     def __init__(self, entries: list[tuple[str, str, int]]):
         self.words: list[tuple[str, str, int]] = []
@@ -142,6 +145,80 @@ class Dictionary:
         return best
 
 
+BASE = 0x9E3779B97F4A7C15
+UNBASE = pow(BASE, -1, 1 << 64)
+
+
+def delete_hashes(word: str, edits: int) -> np.ndarray:
+    """Hashes of ``deletes``; the same in every process. Equal hashes are candidates only."""
+    codes = (np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    size = len(codes)
+    terms = codes * np.multiply.accumulate(np.full(size, BASE, np.uint64))
+    sums = []  # of the first letters, moved by no, one and two places
+    for _ in range(3):
+        sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)]))
+        terms = terms * np.uint64(UNBASE)
+    s0, s1, s2 = sums
+    out = [s0[-1:]]
+    if edits >= 1 and size:
+        i = np.arange(size)
+        out.append(s0[i] + s1[-1] - s1[i + 1])
+    if edits >= 2 and size > 1:
+        i, j = np.triu_indices(size, 1)
+        out.append(s0[i] + s1[j] - s1[i + 1] + s2[-1] - s2[j + 1])
+    return np.unique(np.concatenate(out)).view(np.int64)
+
+
+def _piece(size: int, k: int, text: str) -> int:
+    return int(delete_hashes(f"{size} {k} {text}", 0)[0])
+
+
+def known_hashes(word: str) -> list[int]:
+    """Hashes under which a known wording is found. Two edits are at most four letters deleted, so one of five pieces of a long one stays whole."""
+    n, pieces = len(word), 2 * MAX_EDITS + 1
+    if n <= MAX_LENGTH:
+        return delete_hashes(word, edits_for(word)).tolist()
+    return [_piece(n, k, word[n * k // pieces:n * (k + 1) // pieces]) for k in range(pieces)]
+
+
+def asked_hashes(word: str) -> list[int]:
+    """Hashes that a wording has in common with every known wording within its edits."""
+    m, pieces = len(word), 2 * MAX_EDITS + 1
+    out = set(delete_hashes(word, edits_for(word)).tolist()) if m <= MAX_LENGTH + MAX_EDITS else set()
+    for n in range(max(MAX_LENGTH + 1, m - MAX_EDITS), m + MAX_EDITS + 1):
+        for k in range(pieces):
+            for at in range(max(0, n * k // pieces - MAX_EDITS), n * k // pieces + MAX_EDITS + 1):
+                out.add(_piece(n, k, word[at:at + n * (k + 1) // pieces - n * k // pieces]))
+    return sorted(out)
+
+
+def _hashed(hashes):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), 200):
+                part = frame.iloc[at:at + 200]
+                yield part.assign(h=[hashes(k) for k in part["key"]])
+
+    return run
+
+
+def _measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        frame["distance"] = [distance(k, w, edits_for(k)) for k, w in zip(frame["key"], frame["known"])]
+        yield frame.loc[frame["distance"] <= frame["key"].map(edits_for), ["key", "target", "n", "distance"]]
+
+
+def search_all(keys: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, predicate, distance): the best of all (key, target, n) in ``known`` within the edits of each key that has any."""
+    asks = keys.where(F.length("key") >= 4).select("key").mapInPandas(_hashed(asked_hashes), "key string, h array<bigint>").select("key", F.explode("h").alias("h"))
+    index = known.select("key", "target", "n").mapInPandas(_hashed(known_hashes), "key string, target string, n long, h array<bigint>")
+    index = index.select(F.col("key").alias("known"), "target", "n", F.explode("h").alias("h"))
+    pairs = asks.join(index, "h").select("key", "known", "target", "n").distinct()
+    scored = pairs.mapInPandas(_measured, "key string, target string, n long, distance double")
+    best = scored.groupBy("key").agg(F.min(F.struct("distance", (-F.col("n")).alias("less"), "target")).alias("best"))
+    return best.select("key", F.col("best.target").alias("predicate"), F.col("best.distance").alias("distance"))
+
+
 def known_wordings(facts: DataFrame, catalog: DataFrame) -> DataFrame:
     """(key, target, n): wordings of facts with a catalog entry, by majority; all of them, however rare."""
     valid = catalog.select(F.col("predicate").alias("predicate_canonical")).distinct()
@@ -164,20 +241,6 @@ def map_predicates(facts: DataFrame, catalog: DataFrame) -> DataFrame:
     known = known_wordings(facts, catalog)
     listed = catalog.select(F.explode(F.array(*[F.struct(f(F.col(c)).alias("key"), F.col("predicate").alias("target"))
                                                 for c in ("label", "predicate") for f in (wording, measure)])).alias("x")).select("x.*").where("key <> ''")
-    frequent = known.where(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "key").limit(MAX_ENTRIES).collect()
-    own = [(r["key"], r["target"], 1_000_000) for r in listed.distinct().limit(MAX_ENTRIES).collect()]
-    entries = own + [(r["key"], r["target"], int(r["n"])) for r in frequent]
-    compact = Dictionary(entries).words
-    cast = spark.sparkContext.broadcast(compact)
-    cache: dict[int, Dictionary] = {}
-
-    def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        dictionary = cache.setdefault(0, Dictionary(cast.value))
-        for frame in frames:
-            hits = [dictionary.lookup(k) for k in frame["key"]]
-            yield pd.DataFrame({"key": frame["key"], "n": frame["n"], "predicate": [h[0] if h else UNMATCHED for h in hits],
-                                "distance": [h[1] if h else None for h in hits]})
-
     valid = catalog.select(F.col("predicate").alias("predicate_canonical")).distinct()
     open_facts = facts.join(F.broadcast(valid), "predicate_canonical", "left_anti").select("fact_id", measure(F.col("predicate_raw")).alias("key"))
     keys = open_facts.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
@@ -185,6 +248,8 @@ def map_predicates(facts: DataFrame, catalog: DataFrame) -> DataFrame:
         listed.groupBy("key").agg(F.min("target").alias("target")).withColumn("n", F.lit(1_000_000).cast("bigint")))
     met = keys.join(exact.select("key", "target"), "key", "left")
     direct = met.where("target is not null").select("key", "n", F.col("target").alias("predicate"), F.lit(0.0).alias("distance"))
-    fuzzy = met.where("target is null").select("key", "n").mapInPandas(look, "key string, n long, predicate string, distance double")
-    mapped = direct.unionByName(fuzzy)
+    scratch = Scratch(spark, "p6")
+    fuzzy = scratch.keep(met.where("target is null").select("key", "n"))
+    found = search_all(fuzzy, scratch.keep(exact.select("key", "target", "n")))
+    mapped = direct.unionByName(fuzzy.join(found, "key", "left").withColumn("predicate", F.coalesce("predicate", F.lit(UNMATCHED))))
     return hot_join(open_facts, mapped, ["key"], "n", facts.count()).select("fact_id", "predicate", "distance")

@@ -155,6 +155,31 @@ def test_symmetric_deletes_find_single_edits(word, at, c):
     assert cv.distance(word, word) == 0
 
 
+def test_predicates_near_any_known_wording(spark):
+    cat = spark.createDataFrame([("revenue", "revenue"), ("net_income", "net income")], "predicate string, label string")
+    long = " ".join(f"{a}{b}word" for a in "bcdfghjk" for b in "aeiou")
+    known = [("turnover of stores", "revenue", 1), ("bottom line result", "net_income", 2), (long, "net_income", 1), ("x" * 99 + "yz", "revenue", 1)]
+    asks = [("turnovr of storse", "revenue"), ("botom line resullt", "net_income"), (long[:9] + "q" + long[9:-7] + long[-6:], "net_income"), (long[5:], cv.UNMATCHED), ("x" * 99, "revenue"), ("turnover in shops", cv.UNMATCHED)]
+    rows = [{"fact_id": f"k{i}{j}", "predicate_raw": w, "predicate_canonical": p} for i, (w, p, n) in enumerate(known) for j in range(n)] + [{"fact_id": f"a{i}", "predicate_raw": q} for i, (q, _) in enumerate(asks)]
+    want = {f"a{i}": p for i, (_, p) in enumerate(asks)}
+    assert {r["fact_id"]: r["predicate"] for r in cv.map_predicates(facts(spark, rows), cat).collect()} == want
+
+
+@given(st.text(alphabet="abé ", max_size=9), st.integers(0, 2))
+@settings(max_examples=100, deadline=None)
+def test_delete_hashes(word, edits):
+    assert set(cv.delete_hashes(word, edits).tolist()) == {cv.delete_hashes(d, 0).tolist()[0] for d in cv.deletes(word, edits)}
+
+
+@given(st.text(alphabet="ab", min_size=96, max_size=106), st.lists(st.tuples(st.integers(0, 105), st.sampled_from(["", "a", "b", "ab"])), max_size=2))
+@settings(max_examples=100, deadline=None)
+def test_long_wordings_meet_within_two_edits(word, edits):
+    typed = word
+    for at, c in edits:
+        typed = typed[:at] + (c + typed[at:] if c in ("a", "b") else c[::-1] + typed[at + 2:] if typed[at:at + 2] == c and c else typed[at + 1:])
+    assert set(cv.known_hashes(word)) & set(cv.asked_hashes(typed))
+
+
 # --- contamination -----------------------------------------------------------------------------------
 
 def passage(rng, n):
