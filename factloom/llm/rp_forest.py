@@ -2,7 +2,7 @@
 
 A forest of random-projection trees is fitted on a bounded sample; every vector is routed through
 it on its own. One priority queue over all trees of a vector holds the branches it did not take,
-ordered by the distance to the split; the nearest are visited too. Vectors meet in leaves, where
+ordered by the distance to the split; the nearest are visited too, and branches met on the way join the queue. Vectors meet in leaves, where
 one matrix product compares them all; the best of all leaves are merged by exact similarity.
 """
 
@@ -56,26 +56,31 @@ class Forest:
         """(own, others): bucket numbers, trees and visits - trees of them for each row."""
         p, n, depth = x @ self.directions, len(x), self.depth
         own = np.empty((n, self.trees), np.int64)
-        margin = np.empty((n, self.trees * depth), np.float32)
-        for t in range(self.trees):
-            node = np.zeros(n, np.int64)
+        extra = min(self.visits - self.trees, self.trees * (2**depth - 1))
+        # The queue: branches not taken with the distance to their split, and at least that of the branch they were met on.
+        width = (self.trees + max(extra, 0)) * depth
+        bound, branch, below = np.full((n, width), np.inf, np.float32), np.zeros((n, width), np.int64), np.zeros((n, width), np.int64)
+
+        def descend(t: np.ndarray, node: np.ndarray, start: np.ndarray, least: np.ndarray, slot: int) -> np.ndarray:
             for level in range(depth):
-                gap = p[:, t * depth + level] - self.thresholds[t][level][node]
-                margin[:, t * depth + level] = np.abs(gap)
-                node = node * 2 + (gap > 0)
-            own[:, t] = (t << depth) + node
-        extra = min(self.visits - self.trees, margin.shape[1])
-        if extra <= 0:
-            return own, np.empty((n, 0), np.int64)
-        flips = np.argpartition(margin, extra - 1, axis=1)[:, :extra] if extra < margin.shape[1] else np.tile(np.arange(extra), (n, 1))
-        others = np.empty((n, extra), np.int64)
+                go = start <= level
+                gap = p[rows, t * depth + level] - cuts[t, 2**level - 1 + np.where(go, node, 0)]
+                bound[:, slot + level] = np.where(go, np.maximum(least, np.abs(gap)), np.inf)
+                branch[:, slot + level] = node * 2 + (gap <= 0)
+                below[:, slot + level] = t
+                node = np.where(go, node * 2 + (gap > 0), node)
+            return (t << depth) + node
+
+        rows, none = np.arange(n), np.zeros(n, np.int64)
+        cuts = np.array([np.concatenate(own_cuts) for own_cuts in self.thresholds]) if depth else np.empty((self.trees, 0), np.float32)
         for t in range(self.trees):
-            i, j = np.nonzero(flips // depth == t)
-            flip, node = flips[i, j] % depth, np.zeros(len(i), np.int64)
-            for level in range(depth):
-                right = p[i, t * depth + level] > self.thresholds[t][level][node]
-                node = node * 2 + (right ^ (flip == level))
-            others[i, j] = (t << depth) + node
+            own[:, t] = descend(none + t, none, none, np.zeros(n, np.float32), t * depth)
+        others = np.empty((n, max(extra, 0)), np.int64)
+        for e in range(extra):
+            best = bound.argmin(1)
+            least = bound[rows, best]
+            bound[rows, best] = np.inf
+            others[:, e] = descend(below[rows, best], branch[rows, best], best % depth + 1, least, (self.trees + e) * depth)
         return own, others
 
 

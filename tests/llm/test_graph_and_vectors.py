@@ -105,3 +105,22 @@ def test_top_k():
     s = np.random.default_rng(2).random((7, 300)).astype(np.float32)
     r, c = top_k(s, 5)
     assert all(c[r == i].tolist() == np.argsort(-s[i])[:5].tolist() for i in range(7))
+
+
+def test_route_visits_the_nearest_leaves_of_all_trees():
+    rng = np.random.default_rng(3)
+    forest = Forest(rng.standard_normal((4000, 12)).astype(np.float32), 4, trees=2, visits=14)
+    x = rng.standard_normal((50, 12)).astype(np.float32)
+    own, others = forest.route(x)
+    p = x @ forest.directions
+    twice = 0
+    for i in range(len(x)):
+        far = {}
+        for t in range(2):
+            for leaf in range(16):
+                turned = [abs(g) for level in range(4) for g in [p[i, t * 4 + level] - forest.thresholds[t][level][leaf >> 4 - level]] if (g > 0) != (leaf >> 3 - level & 1)]
+                far[(t << 4) + leaf] = max(turned, default=0)
+                twice += len(turned) > 1 and (t << 4) + leaf in others[i]
+        assert len(set(own[i]) | set(others[i])) == 14 and all(far[b] == 0 for b in own[i])
+        assert np.allclose(sorted(far[b] for b in others[i]), sorted(far.values())[2:14])
+    assert twice  # leaves two turns away are reached
