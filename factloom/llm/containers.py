@@ -1,12 +1,12 @@
 """Filling fixed-capacity containers with texts (problem 8).
 
 Texts are measured in tokens of a public tokenizer. The histogram of lengths - one count for each
-length up to the capacity, whatever the data - is all that planning needs: dynamic programming
-chooses the bucket boundaries of least padding, and token-budget batches form inside each
-bucket, from the longest lengths to the shortest. Space that a bucket's batches cannot use is first
-offered to the next shorter buckets (best fit), because batches of one bucket alone would leave
-almost half of a container empty behind texts just above half the capacity. Rows then find their
-container by their rank among rows of the same length.
+length up to the capacity, whatever the data - is all that planning needs. Containers are planned by
+best fit on it, from the longest lengths to the shortest and across all lengths: a text goes into the
+open container with the least space that takes it. This replaced token-budget batches inside length
+buckets, which leave up to half of a container empty behind texts just above half the capacity. The
+buckets of least padding, by dynamic programming, have no part in it; they are the column ``bucket``
+only. Rows then find their container by their rank among rows of the same length.
 """
 
 from __future__ import annotations
