@@ -1,10 +1,12 @@
 """Evaluation texts leaking into training text (problem 9).
 
 Both sides become streams of letters and digits, so that case, punctuation, layout and look-alike
-characters do not count. The q-gram lemma says how many character q-grams 20 words of an item
-keep when one word in ten is replaced. A text that nowhere has that many q-grams of any item is
-passed over at once; for the rest shared q-grams are counted in overlapping diagonal bands, and
-bands that meet the item's bound are verified by a banded alignment of the item's words.
+characters do not count. Another word may be of any length and moves what follows to another diagonal,
+so the q-gram lemma is applied to what lies between other words: of 10 s words of an item with s others
+among them, the longest unbroken run keeps at least its share of the letters, hence a known number of
+q-grams in a row. A text without such a row of q-grams is passed over at once; for the rest shared
+q-grams are counted in overlapping diagonal bands, and bands that meet the bound are verified by a
+banded alignment of the item's words, as wide as the words around can shift it.
 
 The evaluation items are a small fixed set (their number is checked); every document is read
 whole, in one pass without any shuffle.
@@ -25,8 +27,9 @@ WORDS = 20  # consecutive words that make a case
 ONE_IN = 10  # up to one word in so many may be another
 BITS = 22
 MIX = np.uint64(0x9E3779B97F4A7C15)
-BAND = 64  # width of a diagonal band in characters; bands overlap by half
-SHIFT = 40  # characters by which replaced words may shift the alignment within a band
+BAND = 16  # width of a diagonal band in characters; bands overlap by half
+SEGMENT, STEP = 120, 60  # words of an item that are aligned at once; see Items
+MOST = 5  # other words in the shortest run that makes a case
 MAX_ITEMS = 20_000  # bound of the broadcast side; more items are searched in turns
 BLOCK = 1 << 21
 
@@ -46,34 +49,51 @@ def grams(b: np.ndarray) -> np.ndarray:
     return np.ndarray((n,), "<u8", b, strides=(1,)).copy() if n > 0 else np.empty(0, np.uint64)
 
 
+def bounds_of(sizes: np.ndarray) -> tuple[int, int]:
+    """(in a row, in all): least numbers of q-grams of any case within words of these lengths.
+
+    The shortest run of words that makes a case has fewer than 60 words, hence at most MOST others: a
+    longer one would split into two runs of which one is a case too. With s others there are at
+    least 10 s words, and the others leave at most s + 1 unbroken runs for the remaining letters.
+    """
+    row, every = [1], [1]
+    for s in range(WORDS // ONE_IN, min(MOST, len(sizes) // ONE_IN) + 1):
+        windows = np.lib.stride_tricks.sliding_window_view(sizes, s * ONE_IN)
+        left = int((windows.sum(1) - np.sort(windows, axis=1)[:, -s:].sum(1)).min())
+        row.append(-(-left // (s + 1)) - Q + 1)
+        every.append(left - (s + 1) * (Q - 1))
+    return max(1, min(row[1:])), max(1, min(every[1:]))
+
+
 class Items:
-    """Index of the evaluation items: their streams, q-grams, bounds and the first filter."""
+    """Index of the evaluation items: their streams, q-grams, bounds and the first filter.
+
+    A long item is indexed in segments of SEGMENT words that overlap by half, so that every run of
+    fewer than 60 words lies within one; a segment is found and aligned like an item of its own.
+    """
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.texts, self.starts, self.bounds = [], [], [], []
+        self.ids, self.words, self.texts, self.starts, self.bounds, self.totals = [], [], [], [], [], []
         values, owners, places = [], [], []
-        longest = 0
         for item_id, text in items:
-            words = [w for w in (stream(x) for x in (text or "").split()) if w]
-            if len(words) < WORDS:
-                continue
-            sizes = np.array([len(w) for w in words])
-            bound, spare = None, WORDS // ONE_IN
-            for i in range(len(words) - WORDS + 1):
-                own = sizes[i:i + WORDS]
-                worst = np.sort(own)[-spare:].sum() if spare else 0
-                kept = own.sum() - Q + 1 - worst - spare * (Q - 1)
-                bound = kept if bound is None else min(bound, kept)
-                longest = max(longest, int(own.sum() + spare * own.max()))
-            k, whole = len(self.ids), np.frombuffer(b"".join(words), np.uint8)
-            g = grams(whole)
-            self.ids.append(item_id)
-            self.texts.append(whole)
-            self.starts.append(np.concatenate([[0], np.cumsum(sizes)]))
-            self.bounds.append(max(1, int(bound)))
-            values.append(g)
-            owners.append(np.full(len(g), k, np.int32))
-            places.append(np.arange(len(g), dtype=np.int32))
+            every = [w for w in (stream(x) for x in (text or "").split()) if w]
+            for at in range(0, max(1, len(every) - STEP), STEP):
+                words = every[at:at + SEGMENT]
+                if len(words) < WORDS:
+                    continue
+                sizes = np.array([len(w) for w in words])
+                k, whole = len(self.ids), np.frombuffer(b"".join(words), np.uint8)
+                g = grams(whole)
+                self.ids.append(item_id)
+                self.words.append(words)
+                self.texts.append(whole)
+                self.starts.append(np.concatenate([[0], np.cumsum(sizes)]))
+                row, total = bounds_of(sizes)
+                self.bounds.append(row)
+                self.totals.append(total)
+                values.append(g)
+                owners.append(np.full(len(g), k, np.int32))
+                places.append(np.arange(len(g), dtype=np.int32))
         v = np.concatenate(values) if values else np.empty(0, np.uint64)
         order = np.argsort(v, kind="stable")
         self.values = v[order]
@@ -81,8 +101,8 @@ class Items:
         self.places = np.concatenate(places)[order] if values else np.empty(0, np.int32)
         self.filter = np.zeros(1 << BITS, np.uint8)
         self.filter[(self.values * MIX) >> np.uint64(64 - BITS)] = 1
-        self.least = min(self.bounds, default=1)
-        self.window = max(longest, Q)
+        self.least, self.least_total = min(self.bounds, default=1), min(self.totals, default=1)
+        self.totals = np.array(self.totals, np.int64)
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int]]:
         """(index of text, item id) for every text that holds enough of an item."""
@@ -95,96 +115,116 @@ class Items:
                 index.append(i)
                 size += len(s) + Q
                 if size > BLOCK:
-                    found += self._block(part, index)
+                    found += self._block(part, index, texts)
                     part, index, size = [], [], 0
-        return found + (self._block(part, index) if part else [])
+        return found + (self._block(part, index, texts) if part else [])
 
-    def _block(self, part: list[bytes], index: list[int]) -> list[tuple[int, int]]:
+    def _block(self, part: list[bytes], index: list[int], texts: list[str | None]) -> list[tuple[int, int]]:
         gap = b"\0" * Q
         b = np.frombuffer(gap.join(part) + gap, np.uint8)
         g = grams(b)
         hit = self.filter[(g * MIX) >> np.uint64(64 - BITS)]
-        total = np.concatenate([[0], np.cumsum(hit, dtype=np.int32)])
-        ends = np.minimum(np.arange(len(total)) + self.window, len(total) - 1)
-        dense = np.nonzero(total[ends] - total >= self.least)[0]
-        if not len(dense):
+        total = np.concatenate([[0], np.cumsum(hit, dtype=np.int32), np.zeros(Q - 1, np.int32)])
+        total[len(hit) + 1:] = total[len(hit)]
+        rows = np.nonzero(total[self.least:] - total[:-self.least] == self.least)[0] if len(total) > self.least else []
+        if not len(rows):
             return []
         starts = np.cumsum([0] + [len(s) + Q for s in part])
         out = []
-        for k in np.unique(np.searchsorted(starts, dense, side="right") - 1):
-            if k >= len(part):
+        for k in np.unique(np.searchsorted(starts, rows, side="right") - 1):
+            if k >= len(part) or total[starts[k + 1]] - total[starts[k]] < self.least_total:
                 continue
             lo, hi = starts[k], starts[k] + len(part[k]) - Q + 1
             at = np.nonzero(hit[lo:hi])[0]
-            out += [(index[k], item) for item in self._bands(part[k], g[lo:hi], at)]
+            out += [(index[k], item) for item in self._bands(part[k], texts[index[k]], g[lo:hi], at)]
         return out
 
-    def _bands(self, doc: bytes, g: np.ndarray, at: np.ndarray) -> list[int]:
+    def _bands(self, doc: bytes, text: str, g: np.ndarray, at: np.ndarray) -> list[int]:
         left, right = np.searchsorted(self.values, g[at], "left"), np.searchsorted(self.values, g[at], "right")
         n = right - left
         if not n.sum():
             return []
         pos = np.repeat(at, n)
         entry = np.repeat(left - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        met = np.unique(entry)
+        likely = np.bincount(self.owners[met], minlength=len(self.ids)) >= self.totals
+        if not likely.any():
+            return []
+        keep = likely[self.owners[entry]]
+        pos, entry = pos[keep], entry[keep]
         owner, diagonal = self.owners[entry].astype(np.int64), pos - self.places[entry] + (1 << 24)
         half = BAND // 2
         cell = np.concatenate([(owner << 32) + (diagonal // half), (owner << 32) + (diagonal // half) - 1])
         keys, counts = np.unique(cell, return_counts=True)
-        best: dict[int, list[tuple[int, int]]] = {}
+        best: dict[int, list[int]] = {}
         for key, count in zip(keys.tolist(), counts.tolist()):
             item = key >> 32
             if count >= self.bounds[item]:
-                best.setdefault(item, []).append((count, ((key & 0xFFFFFFFF) * half) - (1 << 24) + half))
+                best.setdefault(item, []).append(((key & 0xFFFFFFFF) * half) - (1 << 24) + half)
+        if not best:
+            return []
         codes = np.frombuffer(doc, np.uint8)
-        return [self.ids[item] for item, bands in best.items()
-                if any(self.verify(codes, item, centre) for _, centre in sorted(bands, reverse=True))]
+        sizes = np.array([n for n in (len(stream(w)) for w in text.split()) if n] or [0])
+        ends = np.cumsum(sizes)
+        found: set[int] = set()
+        for item, centres in best.items():
+            if self.ids[item] not in found and self._near(codes, sizes, ends, item, centres):
+                found.add(self.ids[item])
+        return sorted(found)
 
-    def verify(self, doc: np.ndarray, item: int, centre: int) -> bool:
-        """Banded alignment: each word of the item stands on a diagonal near ``centre`` or is another word.
+    def _near(self, doc: np.ndarray, sizes: np.ndarray, ends: np.ndarray, item: int, centres: list[int]) -> bool:
+        """Aligns the item along the retained bands; bands that can reach each other are aligned at once.
+
+        Other words shift the diagonal by no more than MOST times the longest word of the item or
+        of the document around (``sizes`` and ``ends`` are its words).
+        """
+        long, longest = len(self.texts[item]), int(np.diff(self.starts[item]).max())
+        spans: list[list[int]] = []
+        for centre in sorted(centres):
+            a = max(0, int(np.searchsorted(ends, max(centre, 0))) - SEGMENT)
+            near = sizes[a:int(np.searchsorted(ends, max(centre, 0) + long)) + SEGMENT]
+            reach = BAND + MOST * max(int(near.max(initial=0)), longest)
+            if spans and centre - reach <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], centre + reach)
+            else:
+                spans.append([centre - reach, centre + reach])
+        return any(self.verify(doc, item, lo, hi - lo + 1) for lo, hi in spans)
+
+    def verify(self, doc: np.ndarray, item: int, lo: int, width: int) -> bool:
+        """Banded alignment: each word of the item stands on one of ``width`` diagonals from ``lo`` on or is another word.
 
         Only a word that is another may shift the diagonal. The case holds if some run of at least
         WORDS words, its first and last as in the item, has at most one other word in ONE_IN.
         """
         starts, text = self.starts[item], self.texts[item]
-        reach, long = SHIFT + BAND, len(text)
-        width, lo = 2 * reach + 1, centre - reach
-        around = np.zeros(long + 2 * reach, np.uint8)
+        long, words = len(text), len(starts) - 1
+        around = np.zeros(long + width - 1, np.uint8)
         begin, end = max(lo, 0), min(lo + len(around), len(doc))
         if end > begin:
             around[begin - lo:end - lo] = doc[begin:end]
-        # Row d: the item laid on the document from lo + d on; a word stands there if all its characters agree.
-        alike = np.zeros((width, long + 1), np.int32)
-        np.cumsum(np.lib.stride_tricks.sliding_window_view(around, long) == text, axis=1, out=alike[:, 1:])
-        same = (alike[:, starts[1:]] - alike[:, starts[:-1]] == np.diff(starts)).T
-        words = range(len(same))
-        if same.any(1).sum() < WORDS - WORDS // ONE_IN:
+        # Wherever the words stand: words - ONE_IN x (words that stand nowhere) is not negative over some WORDS or more.
+        there = around.tobytes()
+        gain = np.cumsum([0] + [1 if w in there else 1 - ONE_IN for w in self.words[item]])
+        if words < WORDS or (gain[WORDS:] < np.minimum.accumulate(gain)[:-WORDS]).all():
             return False
-        score = np.zeros(width, np.int32)
-        choice = np.zeros((len(words), width), np.int32)  # -1: the word stands here; else the diagonal before it
-        for i in range(len(words)):
-            top = int(score.argmax())
-            jump = score[top]
-            stay = np.where(same[i], score + 1, -1)
-            choice[i] = np.where(stay >= jump, -1, top)
-            score = np.maximum(stay, jump)
-        d, flags = int(score.argmax()), np.zeros(len(words), bool)
-        for i in range(len(words) - 1, -1, -1):
-            if choice[i, d] < 0:
-                flags[i] = True
-            else:
-                d = int(choice[i, d])
-        return enough(flags)
-
-
-def enough(flags: np.ndarray) -> bool:
-    """Some run of WORDS or more, beginning and ending true, has at most one false in ONE_IN."""
-    other = np.concatenate([[0], np.cumsum(~flags)])
-    true = np.nonzero(flags)[0]
-    for a in true:
-        b = true[true >= a + WORDS - 1]
-        if len(b) and (((other[b + 1] - other[a]) * ONE_IN) <= (b + 1 - a)).any():
-            return True
-    return False
+        # Diagonal d: the item laid on the document from lo + d on; a word stands there if all its characters agree.
+        same = np.empty((words, width), bool)
+        laid = np.lib.stride_tricks.sliding_window_view(around, long)
+        for d in range(0, width, 4096):
+            same[:, d:d + 4096] = np.logical_and.reduceat(laid[d:d + 4096] == text, starts[:-1], axis=1).T
+        # runs[s, d]: length of the longest run with s other words that ends at this word, on diagonal d.
+        runs = np.zeros((MOST + 1, width), np.int32)
+        need = np.maximum(WORDS, ONE_IN * np.arange(MOST + 1))[:, None]
+        for i in range(words):
+            on = runs > 0
+            on[0] = True
+            exact = np.where(on & same[i], runs + 1, 0)
+            if (exact >= need).any():
+                return True
+            best = runs.max(1)
+            other = np.concatenate([[0], np.where(best[:-1] > 0, best[:-1] + 1, 0)])
+            runs = np.maximum(exact, other[:, None])
+        return False
 
 
 def _scan(cast):

@@ -201,10 +201,36 @@ def test_leaks(spark):
     assert ct.leaks(d.limit(0), it).count() == 0 and ct.leaks(d, it.limit(0)).count() == 0
 
 
-def test_enough():
-    t, f = [True], [False]
-    assert ct.enough(np.array(t * 20)) and not ct.enough(np.array(t * 19)) and not ct.enough(np.array(f + t * 19 + f))
-    assert ct.enough(np.array(t * 10 + f * 2 + t * 8)) and not ct.enough(np.array(t * 10 + f * 3 + t * 7)) and ct.enough(np.array(t * 14 + f * 3 + t * 13))
+def planted(item, others, sizes, rng):
+    """A text that holds the words of ``item`` with the given ones replaced by words of the given lengths."""
+    letters = "abcdefghiklmnoprstuvw"
+    words = list(item)
+    for at, n in zip(others, sizes):
+        words[at] = "".join(rng.choice(letters) for _ in range(n))
+    return " ".join(passage(rng, 50) + words + passage(rng, 50))
+
+
+def test_other_words_of_any_length_lose_no_case():
+    rng = random.Random(2)
+    found = wrong = 0
+    for k in range(250):
+        n = rng.choice([20, 20, 25, 30, 40, 55, 90, 150])
+        item = passage(rng, n + rng.randint(0, 100))
+        a = rng.randint(0, len(item) - n)
+        index = ct.Items([(1, " ".join(item))])
+        sizes = [rng.choice([1, 3, 8, 30, 60, 200]) for _ in range(n)]
+        found += bool(index.search([planted(item[a:a + n], rng.sample(range(1, n - 1), n // 10), sizes, rng)]))
+        wrong += bool(index.search([planted(item[a:a + 20], rng.sample(range(1, 19), 3), sizes, rng)]))
+    assert found == 250 and wrong == 0
+
+
+def test_runs_of_an_item():
+    rng = random.Random(6)
+    item = passage(rng, 30)
+    index = ct.Items([(1, " ".join(item))])
+    hit = lambda words: bool(index.search([" ".join(passage(rng, 9) + words + passage(rng, 9))]))
+    assert hit(item[:20]) and not hit(item[:19]) and not hit(["zz"] + item[1:20] + ["zz"])
+    assert hit(item[:10] + ["zz", "zz"] + item[12:20]) and not hit(item[:10] + ["zz"] * 3 + item[13:20]) and hit(item[:14] + ["zz"] * 3 + item[17:30])
 
 
 # --- reading level -----------------------------------------------------------------------------------
