@@ -16,6 +16,8 @@ CONFUSABLE_ROWS = [
     # letters like Kelvin and Angstrom
     ("KÅ", "KÅ"),
 ]
+# Letters drawn like more than one Latin letter; which one is meant, only the word can tell.
+AMBIGUOUS_ROWS = [("ІӀΙǀ", "Il"), ("ӏ", "lI"), ("υս", "uv"), ("νѵ", "vu"), ("ո", "nu"), ("ʼ", "'’")]
 # Marks of punctuation drawn alike.
 PUNCTUATION_ROWS = [("‐‑", "--")]
 
@@ -46,6 +48,10 @@ def _table() -> dict[str, str]:
 
 #: Every character that is drawn like another text -> that text; ignorable ones -> "".
 LOOKS_LIKE = _table()
+#: Letters that may stand for several -> those, likeliest first.
+AMBIGUOUS: dict[str, tuple[str, ...]] = {c: tuple(plain) for odd, plain in AMBIGUOUS_ROWS for c in odd}
+#: All letters of one look -> one of them: words that may read alike have equal skeletons.
+SKELETON = str.maketrans({"I": "l", "v": "u", "n": "u", "’": "'"} | {c: {"I": "l", "v": "u", "n": "u", "'": "'"}.get(x[0], x[0]) for c, x in AMBIGUOUS.items()})
 NON_ASCII = re.compile(r"[^\x00-\x7f]")
 COMBINING = re.compile(r"[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
 

@@ -61,12 +61,34 @@ def test_look_alike_pairs(spark):
     assert vf.look_alike_pairs(e.limit(0), f.limit(0)).count() == 0
 
 
-@given(st.lists(st.sampled_from(["Acme", "Асme", "ré", "ré", "x​y", "ﬁn", "Ⅰ", "½", "́", "漢"]), max_size=6))
+@given(st.lists(st.sampled_from(["Acme", "Асme", "ré", "re\u0301", "x\u200by", "ﬁn", "Ⅰ", "½", "\u0301", "漢"]), max_size=6))
 @settings(max_examples=150, deadline=None)
-def test_trie_agrees_with_the_table(words):
-    trie = vf.Trie([("Acme", 5), ("fin", 2), ("xy", 1)])
-    text = " ".join(words)
-    assert vf.canonical(text, trie, {}) == unmask(text)
+def test_trie_agrees_with_the_table_where_every_letter_has_one_reading(words):
+    trie = vf.Trie([("Acme", 5), ("fin", 2), ("xy", 1), ("ré", 1)])
+    for w in words:
+        assert trie.match(w) in (None, unmask(w))
+    assert vf.canonical(" ".join(words), {}) == unmask(" ".join(words))
+
+
+def test_automaton():
+    trie = vf.Trie([("link", 9), ("Iink", 1), ("unit", 4), ("value", 3), ("café", 2), ("cafe", 8), ("Inc", 5)])
+    assert trie.match("Ӏink") == "link" and trie.match("υnit") == "unit" and trie.match("\u03c5alue") == "value" and trie.match("Іnc") == "Inc"
+    assert trie.match("cаfe\u0301") == "café" and trie.match("cаfe") == "cafe" and trie.match("cafè") is None and trie.match("zzz") is None
+    assert trie.match("lnc") is None and trie.match("inc") is None, "what can be seen is no look-alike"
+    assert trie.match("inc", 0.5) == "Inc" and trie.match("unlt", 1.0) == "unit" and trie.match("unt", 1.0) == "unit" and trie.match("uniit", 1.0) == "unit" and trie.match("uxxt", 1.0) is None
+    assert vf.Trie([]).match("x") is None and vf.Trie([("", 3)]).match("\u200b") == ""
+
+
+def test_the_vocabulary_decides_between_readings(spark, monkeypatch):
+    """Letters that look like two: the table alone tells these apart or wrong, the trie by what the corpus writes."""
+    monkeypatch.setattr(vf, "TURN", 1)  # so that forms are applied in turns here, too
+    texts = ["all links", "all links", "links", "total value", "value unit", "café bill", "Inc", "aӏӏ Ӏinks", "totaІ υalue", "νalue ոnit", "cаfe\u0301 biӏl", "Іnc", "Ӏӏxq", "aǀǀ", None, "", "a\u00a0Ӏinks"]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: r["canonical"] for r in vf.canonical_texts(d).collect()}
+    want = dict(enumerate(texts)) | {7: "all links", 8: "total value", 9: "value ոnit", 10: "café bill", 11: "Inc", 12: "Ilxq", 13: "all", 16: "a links"}
+    want[9] = got[9] if got[9] in ("value unit", "value nnit") else want[9]
+    assert got == want
+    assert unmask("Ӏinks") != "links" and unmask("υalue") != "value"
 
 
 # --- names -------------------------------------------------------------------------------------------
