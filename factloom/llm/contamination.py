@@ -49,20 +49,23 @@ def grams(b: np.ndarray) -> np.ndarray:
     return np.ndarray((n,), "<u8", b, strides=(1,)).copy() if n > 0 else np.empty(0, np.uint64)
 
 
-def bounds_of(sizes: np.ndarray) -> tuple[int, int]:
-    """(in a row, in all): least numbers of q-grams of any case within words of these lengths.
+def bounds_of(sizes: np.ndarray) -> tuple[int, np.ndarray]:
+    """(q-grams in a row, windows) of any case within words of these lengths.
 
     The shortest run of words that makes a case has fewer than 60 words, hence at most MOST others: a
     longer one would split into two runs of which one is a case too. With s others there are at
     least 10 s words, and the others leave at most s + 1 unbroken runs for the remaining letters.
+    Some window (first word, word after the last, q-grams in all) has as many q-grams as it says.
     """
-    row, every = [1], [1]
+    row, windows = [], []
     for s in range(WORDS // ONE_IN, min(MOST, len(sizes) // ONE_IN) + 1):
-        windows = np.lib.stride_tricks.sliding_window_view(sizes, s * ONE_IN)
-        left = int((windows.sum(1) - np.sort(windows, axis=1)[:, -s:].sum(1)).min())
-        row.append(-(-left // (s + 1)) - Q + 1)
-        every.append(left - (s + 1) * (Q - 1))
-    return max(1, min(row[1:])), max(1, min(every[1:]))
+        n = s * ONE_IN
+        words = np.lib.stride_tricks.sliding_window_view(sizes, n)
+        left = words.sum(1) - np.sort(words, axis=1)[:, -s:].sum(1)
+        row.append(-(-int(left.min()) // (s + 1)) - Q + 1)
+        first = np.arange(len(left))
+        windows.append(np.stack([first, first + n, np.maximum(1, left - (s + 1) * (Q - 1))], axis=1))
+    return max(1, min(row)), np.concatenate(windows)
 
 
 class Items:
@@ -73,12 +76,13 @@ class Items:
     """
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.words, self.texts, self.starts, self.bounds, self.totals = [], [], [], [], [], []
+        self.ids, self.words, self.texts, self.starts, self.bounds = [], [], [], [], []
+        base, bases, windows = 0, [], []
         values, owners, places = [], [], []
         for item_id, text in items:
             every = [w for w in (stream(x) for x in (text or "").split()) if w]
-            for at in range(0, max(1, len(every) - STEP), STEP):
-                words = every[at:at + SEGMENT]
+            for cut in range(0, max(1, len(every) - STEP), STEP):
+                words = every[cut:cut + SEGMENT]
                 if len(words) < WORDS:
                     continue
                 sizes = np.array([len(w) for w in words])
@@ -88,9 +92,12 @@ class Items:
                 self.words.append(words)
                 self.texts.append(whole)
                 self.starts.append(np.concatenate([[0], np.cumsum(sizes)]))
-                row, total = bounds_of(sizes)
+                row, window = bounds_of(sizes)
                 self.bounds.append(row)
-                self.totals.append(total)
+                at = self.starts[-1]
+                windows.append(np.stack([np.full(len(window), k), base + at[window[:, 0]], base + np.maximum(at[window[:, 0]], at[window[:, 1]] - Q + 1), window[:, 2]], axis=1))
+                bases.append(base)
+                base += len(whole)
                 values.append(g)
                 owners.append(np.full(len(g), k, np.int32))
                 places.append(np.arange(len(g), dtype=np.int32))
@@ -101,8 +108,10 @@ class Items:
         self.places = np.concatenate(places)[order] if values else np.empty(0, np.int32)
         self.filter = np.zeros(1 << BITS, np.uint8)
         self.filter[(self.values * MIX) >> np.uint64(64 - BITS)] = 1
-        self.least, self.least_total = min(self.bounds, default=1), min(self.totals, default=1)
-        self.totals = np.array(self.totals, np.int64)
+        #: Windows of all items: item, first and last place (of the letters of all items in one row), q-grams in all.
+        self.windows = np.concatenate(windows).T if windows else np.empty((4, 0), np.int64)
+        self.bases, self.letters = np.array(bases, np.int64), base
+        self.least, self.least_total = min(self.bounds, default=1), int(self.windows[3].min(initial=1 << 30))
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int]]:
         """(index of text, item id) for every text that holds enough of an item."""
@@ -147,7 +156,12 @@ class Items:
         pos = np.repeat(at, n)
         entry = np.repeat(left - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         met = np.unique(entry)
-        likely = np.bincount(self.owners[met], minlength=len(self.ids)) >= self.totals
+        there = np.zeros(self.letters + 1, np.int32)
+        there[1 + self.bases[self.owners[met]] + self.places[met]] = 1
+        there = np.cumsum(there)
+        item, lo, hi, need = self.windows
+        likely = np.zeros(len(self.ids), bool)
+        likely[item[there[hi] - there[lo] >= need]] = True
         if not likely.any():
             return []
         keep = likely[self.owners[entry]]
