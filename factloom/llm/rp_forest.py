@@ -20,11 +20,14 @@ VISITS = 6  # leaves a vector visits, one in each tree included
 LEAF = 8192  # vectors of a leaf, about
 SAMPLE = 20_000  # vectors the trees are fitted on, at most
 BROADCAST_ROWS = 1_000_000  # most rows of a set of excluded rows that is broadcast; a larger one is joined by shuffle
+DENSE = 32  # sample vectors a node needs for a threshold of its own; below, that of its last ancestor with as many is used
+CROWDED = 4  # leaves of more than so many times LEAF vectors are compared in pairs of blocks
+BITS = 20  # of a coordinate on its way to the leaves
 SPREAD = 3  # the trees project into the SPREAD x depth leading directions of the sample
 
 
 class Forest:
-    """Trees with one direction for each level and one threshold (the sample's median) for each node."""
+    """Trees with one direction for each level and one threshold (a median of the sample) for each node."""
 
     def __init__(self, sample: np.ndarray, depth: int, trees: int = TREES, visits: int = VISITS, seed: int = 7):
         self.depth, self.trees, self.visits = depth, trees, max(trees, visits if depth else trees)
@@ -40,16 +43,20 @@ class Forest:
         p = sample @ self.directions
         self.thresholds: list[list[np.ndarray]] = []
         for t in range(trees):
-            node, own = np.zeros(len(sample), np.int64), []
+            own, node, founder, groups = [], np.zeros(len(sample), np.int64), np.zeros(1, np.int64), [np.arange(len(sample))]
             for level in range(depth):
                 x = p[:, t * depth + level]
-                cuts, order = np.zeros(2**level, np.float32), np.lexsort((x, node))
-                ends = np.cumsum(np.bincount(node, minlength=2**level))
-                starts = np.concatenate([[0], ends[:-1]])
-                some = ends > starts
-                cuts[some] = x[order[((starts + ends) // 2)[some]]]
-                own.append(cuts)
-                node = node * 2 + (x > cuts[node])
+                size = np.bincount(node, minlength=2**level)
+                ends, order = np.cumsum(size), np.argsort(node, kind="stable")
+                for v in np.nonzero(size >= DENSE)[0]:
+                    founder[v] = len(groups)
+                    groups.append(order[ends[v] - size[v]:ends[v]])
+                middle = np.zeros(len(groups), np.float32)
+                for f in np.unique(founder):
+                    middle[f] = np.median(x[groups[f]])
+                own.append(middle[founder])
+                node = node * 2 + (x > own[-1][node])
+                founder = np.repeat(founder, 2)
             self.thresholds.append(own)
 
     def route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +116,24 @@ def top_k(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return r[rank < k], c[rank < k]
 
 
-def _router(forest_cast, dims: int):
+def pack(x: np.ndarray) -> np.ndarray:
+    """Rows as bytes: coordinates scaled to the largest one, the upper 16 of their BITS bits, then the others."""
+    v = np.round(x * (((1 << BITS - 1) - 1) / np.abs(x).max(axis=1, keepdims=True))).astype(np.int32)
+    low = (v & 15).astype(np.uint8)
+    low = np.pad(low, ((0, 0), (0, low.shape[1] % 2)))
+    return np.concatenate([(v >> 4).astype("<i2").view(np.uint8), low[:, ::2] | low[:, 1::2] << 4], axis=1)
+
+
+def unpack(data: bytes, dims: int) -> np.ndarray:
+    """Unit vectors of packed rows."""
+    rows = np.frombuffer(data, np.uint8).reshape(-1, 2 * dims + (dims + 1) // 2)
+    high, low = rows[:, :2 * dims].copy().view("<i2").astype(np.int32), rows[:, 2 * dims:]
+    both = np.stack([low & 15, low >> 4], axis=2).reshape(len(rows), 2 * low.shape[1])[:, :dims]
+    x = (high * 16 + both).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _router(forest_cast, dims: int, vectors: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest: Forest = forest_cast.value
         for batch in batches:
@@ -118,49 +142,58 @@ def _router(forest_cast, dims: int):
             x = _matrix(batch.column(1), dims)
             own, others = forest.route(x)
             places = np.concatenate([own * 2, others * 2 + 1], axis=1)
-            scale = 32767 / np.abs(x).max(axis=1, keepdims=True)
-            packed = np.round(x * scale).astype("<i2")
+            if not vectors:
+                value, n = np.unique(places >> 1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(n)], names=["bucket", "n"])
+                continue
+            packed = pack(x)
             n, width = places.shape
+            size = packed.shape[1]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0),
-                pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width, dtype=np.int32)), pa.array(places.ravel().astype(np.int32))),
-                pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * dims * 2, dims * 2, dtype=np.int32)), pa.py_buffer(packed.tobytes())]),
+                pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width, dtype=np.int32)), pa.array(places.ravel())),
+                pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * size, size, dtype=np.int32)), pa.py_buffer(packed.tobytes())]),
             ], names=["id", "places", "vec"])
 
     return run
 
 
 def _leaf(k: int, dims: int, chunk: int = 512):
-    def pack(ids: np.ndarray, r: np.ndarray, c: np.ndarray, s: np.ndarray, n: int) -> list[bytes]:
+    """Compares the vectors of a leaf: those whose own path ends here with all, visitors with those.
+
+    Of a pair of blocks (``part`` 0 and 1) only vectors of different blocks are compared.
+    """
+
+    def lists(ids: np.ndarray, r: np.ndarray, c: np.ndarray, s: np.ndarray, n: int) -> list[bytes]:
         sims, names = s.astype("<f4"), ids[c]
         bounds = np.searchsorted(r, np.arange(n + 1))
         sb, nb, w = sims.tobytes(), names.tobytes(), names.dtype.itemsize
         return [bytes([b - a]) + sb[4 * a:4 * b] + nb[w * a:w * b] for a, b in zip(bounds[:-1], bounds[1:])]
 
     def run(table: pa.Table) -> pa.Table:
-        ids = np.array(table.column("id").to_pylist(), dtype=bytes) if table.num_rows else np.empty(0, "S1")
+        table = table.sort_by("role")
         ids = np.char.encode(table.column("id").to_numpy().astype(str), "utf-8")
-        role = table.column("role").to_numpy()
-        x = np.frombuffer(b"".join(table.column("vec").to_pylist()), "<i2").reshape(-1, dims).astype(np.float32)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        _, once = np.unique(ids, return_index=True)
-        own, extra = once[role[once] == 0], once[role[once] == 1]
-        a, b = x[own], x[extra]
+        role, part = table.column("role").to_numpy(), table.column("part").to_numpy()
+        x = unpack(b"".join(table.column("vec").to_pylist()), dims)
+        _, once = np.unique(ids, return_index=True)  # the first of a vector's rows is that of its own path
+        side = [[once[(role[once] == r) & (part[once] == p)] for r in (0, 1)] for p in (0, 1)]
+        if len(side[1][0]) + len(side[1][1]):
+            asked = [(side[p][r], np.concatenate(side[1 - p]) if r == 0 else side[1 - p][0], False) for p in (0, 1) for r in (0, 1)]
+        else:
+            asked = [(side[0][0], np.concatenate(side[0]), True), (side[0][1], side[0][0], False)]
         found_q: list[np.ndarray] = []
         found_p: list[bytes] = []
-        both = np.concatenate([own, extra])
-        for i in range(0, len(own), chunk):
-            s = a[i:i + chunk] @ x[both].T
-            s[np.arange(len(s)), np.arange(i, i + len(s))] = -9
-            r, c = top_k(s, k)
-            found_p += pack(ids[both], r, c, s[r, c], len(s))
-            found_q.append(ids[own[i:i + chunk]])
-        if len(own):
-            for i in range(0, len(extra), chunk):
-                s = b[i:i + chunk] @ a.T
+        for asks, gives, same in asked:
+            if not len(asks) or not len(gives):
+                continue
+            turned = x[gives].T
+            for i in range(0, len(asks), chunk):
+                s = x[asks[i:i + chunk]] @ turned
+                if same:
+                    s[np.arange(len(s)), np.arange(i, i + len(s))] = -9
                 r, c = top_k(s, k)
-                found_p += pack(ids[own], r, c, s[r, c], len(s))
-                found_q.append(ids[extra[i:i + chunk]])
+                found_p += lists(ids[gives], r, c, s[r, c], len(s))
+                found_q.append(ids[asks[i:i + chunk]])
         q = np.concatenate(found_q) if found_q else np.empty(0, "S1")
         return pa.table({"q": pa.array(np.char.decode(q, "utf-8").tolist(), pa.string()), "found": pa.array(found_p, pa.binary())})
 
@@ -225,7 +258,9 @@ def nearest(vectors: DataFrame, k: int = 5, dims: int = 128, trees: int = TREES,
     greatest hash); usable means ``dims`` finite numbers, not all zero. Rows with null id or vector
     are left out, repeated rows count once. Facts with the very same vector are one point of the
     forest: their copies come first in each other's list, by id, so that a vector shared by a third of
-    all facts costs no more than its distinct value. Ties go to the smaller id. Empty: empty.
+    all facts costs no more than its distinct value. Ties go to the smaller id. Empty: empty. A leaf
+    that holds far more vectors than LEAF is compared in pairs of blocks, so that no task holds more
+    than two. Coordinates reach the leaves with BITS bits: similarities are exact to about 1e-6.
     """
     spark: SparkSession = vectors.sparkSession
     rows = vectors.where(F.col("fact_id").isNotNull() & usable("embedding", dims)).select("fact_id", "created_at", "embedding")
@@ -244,15 +279,27 @@ def nearest(vectors: DataFrame, k: int = 5, dims: int = 128, trees: int = TREES,
         side = spare.select("fact_id")
         hashed = hashed.join(F.broadcast(side) if n_spare <= BROADCAST_ROWS else side, "fact_id", "left_anti")
     points = n - n_spare
-    depth = max(0, min(22, round(math.log2(max(1.0, points / leaf)))))
+    depth = max(0, round(math.log2(max(1.0, points / leaf))))
     share = min(1.0, 1.2 * SAMPLE / max(points, 1))
-    taken = rows.where(F.pmod(F.xxhash64("fact_id", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000)).select("embedding").limit(SAMPLE)
+    taken = rows.where(F.pmod(F.xxhash64("fact_id", F.lit(11)), F.lit(1 << 40)) < int(share * (1 << 40))).select("embedding").limit(SAMPLE)
     sample = _matrix(pa.chunked_array(taken.toArrow().column(0).chunks, type=pa.list_(pa.float32())).combine_chunks(), dims) if depth and points else np.zeros((1, dims), np.float32)
+    if not len(sample):
+        depth, sample = 0, np.zeros((1, dims), np.float32)
     forest = spark.sparkContext.broadcast(Forest(sample, depth, trees if depth else 1, visits if depth else 1))
-    routed = hashed.select("fact_id", "embedding").mapInArrow(_router(forest, dims), "id string, places array<int>, vec binary")
+    points_of = hashed.select("fact_id", "embedding")
+    # Leaves the sample did not foresee: they are few, a crowded leaf has CROWDED x leaf vectors or more.
+    sizes = points_of.mapInArrow(_router(forest, dims, vectors=False), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    crowded = [(r["bucket"], -(-r["n"] // (2 * leaf))) for r in sizes.where(F.col("n") > CROWDED * leaf).collect()]
+    routed = points_of.mapInArrow(_router(forest, dims), "id string, places array<bigint>, vec binary")
     placed = routed.select("id", "vec", F.explode("places").alias("place")).select(
-        "id", "vec", F.shiftright("place", 1).alias("bucket"), F.col("place").bitwiseAND(F.lit(1)).alias("role"))
-    met = placed.groupBy("bucket").applyInArrow(_leaf(k, dims), "q string, found binary")
+        "id", "vec", F.shiftright("place", 1).alias("bucket"), F.col("place").bitwiseAND(F.lit(1)).cast("int").alias("role"))
+    if crowded:
+        blocks = placed.join(F.broadcast(spark.createDataFrame(crowded, "bucket bigint, blocks long")), "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        mine = blocks.withColumn("b", F.pmod(F.xxhash64("id"), "blocks")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        celled = mine.select("id", "vec", "bucket", "role", (F.least("b", "j") * F.col("blocks") + F.greatest("b", "j")).alias("cell"), (F.col("b") > F.col("j")).cast("int").alias("part"))
+    else:
+        celled = placed.withColumn("cell", F.lit(0)).withColumn("part", F.lit(0))
+    met = celled.groupBy("bucket", "cell").applyInArrow(_leaf(k, dims), "q string, found binary")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), points * visits // 2_000_000)
     merged = met.repartition(parts, "q").sortWithinPartitions("q").mapInArrow(_merger(k), "q string, c string, sim float")
     if n_spare:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from factloom.llm.components import components, fact_groups
+from factloom.llm import rp_forest as rp
 from factloom.llm.rp_forest import Forest, nearest, similar_pairs, top_k
 
 
@@ -124,3 +125,33 @@ def test_route_visits_the_nearest_leaves_of_all_trees():
         assert len(set(own[i]) | set(others[i])) == 14 and all(far[b] == 0 for b in own[i])
         assert np.allclose(sorted(far[b] for b in others[i]), sorted(far.values())[2:14])
     assert twice  # leaves two turns away are reached
+
+
+def test_packed_vectors_keep_their_similarities():
+    rng = np.random.default_rng(4)
+    for dims in (7, 16):
+        x = rng.standard_normal((200, dims)).astype(np.float32)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y = rp.unpack(rp.pack(x).tobytes(), dims)
+        assert np.abs(x @ x.T - y @ y.T).max() < 3e-6
+    assert rp.unpack(b"", 16).shape == (0, 16)
+
+
+def test_nodes_without_a_sample_cut_like_their_ancestors():
+    """A forest far deeper than its sample still spreads the vectors: no leaf takes a share that grows."""
+    rng = np.random.default_rng(8)
+    forest = Forest(rng.standard_normal((2000, 24)).astype(np.float32), 11, trees=1, visits=1)
+    x = rng.standard_normal((200_000, 24)).astype(np.float32)
+    sizes = np.bincount(forest.route(x)[0][:, 0], minlength=2048)
+    assert sizes.max() < 12 * sizes.mean() and (sizes > 0).mean() > 0.95
+
+
+def test_crowded_leaves_and_ids_beyond_ascii(spark, monkeypatch):
+    from datetime import datetime
+
+    monkeypatch.setattr(rp, "CROWDED", 1)
+    rng = np.random.default_rng(6)
+    vectors = {f"é{i:03d}": rng.standard_normal(8) for i in range(150)}
+    rows = [(n, datetime(2024, 1, 1), [float(x) for x in v], "z", 1) for n, v in vectors.items()]
+    got = {tuple(r) for r in nearest(frame(spark, rows), 3, 8, leaf=100).selectExpr("least(id, neighbour)", "greatest(id, neighbour)").distinct().collect()}
+    assert got == brute({n: np.array(v, np.float32) for n, v in vectors.items()}, 3)
