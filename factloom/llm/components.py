@@ -2,9 +2,9 @@
 
 Rounds of two reductions shrink the graph: vertices of degree one are stripped (each remembers its
 neighbour), chains of vertices of degree two are ranked by pointer doubling and replaced by one
-edge between their ends. What resists - the core - is solved by alternating large-star and
-small-star contractions; then labels are handed back to the removed vertices, last removed first.
-All of it is joins on vertex or edge keys; only counts reach the driver.
+edge between their ends, until no round removes an edge. What resists - the core - is solved by
+alternating large-star and small-star contractions; then labels are handed back to the removed
+vertices, last removed first. All of it is joins on vertex or edge keys; only counts reach the driver.
 """
 
 from __future__ import annotations
@@ -96,39 +96,46 @@ def solve_core(edges: DataFrame, scratch: Scratch) -> DataFrame:
         before = mark
 
 
-def components(pairs: DataFrame, least_gain: float = 0.05) -> DataFrame:
+def reduce_once(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
+    """One round: leaves stripped, chains compressed. Returns the edges left and the links to undo it."""
+    degrees = scratch.keep(_degrees(edges))
+    hang, used = strip_leaves(edges, degrees)
+    hang = scratch.keep(hang)
+    rest = scratch.keep(edges.join(used, ["a", "b"], "left_anti"))
+    scratch.drop(degrees)
+    degrees = scratch.keep(_degrees(rest).where("deg = 2"))
+    if degrees.isEmpty():
+        scratch.drop(degrees)
+        return rest, [hang]
+    chains = scratch.keep(rank_chains(degrees, scratch))
+    gone = chains.select(F.explode(F.array(F.struct(*_edge("v", "u1")), F.struct(*_edge("v", "u2")))).alias("x")).select("x.*").distinct()
+    bridge = chains.where("e1 <> e2").select(*_edge("e1", "e2"))
+    after = scratch.keep(rest.join(gone, ["a", "b"], "left_anti").unionByName(bridge).distinct())
+    # A chain both of whose ends are one vertex hangs on it; any other hangs on its smaller end.
+    inner = scratch.keep(chains.select("v", F.least("e1", "e2").alias("parent")))
+    for old in (degrees, rest, chains):
+        scratch.drop(old)
+    return after, [hang, inner]
+
+
+def components(pairs: DataFrame) -> DataFrame:
     """(id, group_id, n_links) for every vertex of the first two columns of ``pairs``.
 
     group_id is the smallest id of the group. Repeated and reversed pairs count once, null ends and
     loops link nothing, other columns are ignored; no pairs give an empty result. Reductions go on
-    while a round removes ``least_gain`` of the edges; the core takes the rest, whatever its shape.
+    until a round removes no edge; the core takes the rest, whatever its shape.
     """
     spark: SparkSession = pairs.sparkSession
     scratch = Scratch(spark, "p2")
     edges = first = scratch.keep(normal_edges(pairs))
     links: list[DataFrame] = []
-    left = edges.count()
-    while left:
-        degrees = scratch.keep(_degrees(edges))
-        hang, used = strip_leaves(edges, degrees)
-        hang = scratch.keep(hang)
-        rest = scratch.keep(edges.join(used, ["a", "b"], "left_anti"))
-        scratch.drop(degrees)
-        degrees = scratch.keep(_degrees(rest))
-        chains = scratch.keep(rank_chains(degrees, scratch))
-        gone = chains.select(F.explode(F.array(F.struct(*_edge("v", "u1")), F.struct(*_edge("v", "u2")))).alias("x")).select("x.*").distinct()
-        bridge = chains.where("e1 <> e2").select(*_edge("e1", "e2"))
-        after = scratch.keep(rest.join(gone, ["a", "b"], "left_anti").unionByName(bridge).distinct())
-        # A chain both of whose ends are one vertex hangs on it; any other hangs on its smaller end.
-        inner = scratch.keep(chains.select("v", F.least("e1", "e2").alias("parent")))
-        links += [hang, inner]
-        for old in (degrees, rest, chains, *([edges] if edges is not first else [])):
-            scratch.drop(old)
-        edges, now = after, after.count()
-        if now > (1 - least_gain) * left:
-            left = now
-            break
-        left = now
+    left, before = edges.count(), None
+    while left and left != before:
+        after, undo = reduce_once(edges, scratch)
+        links += undo
+        if edges is not first:
+            scratch.drop(edges)
+        edges, before, left = after, left, after.count()
     labels = solve_core(edges, scratch) if left else spark.createDataFrame([], "v string, root string").select(
         F.col("v").cast(first.schema["a"].dataType).alias("v"), F.col("root").cast(first.schema["a"].dataType).alias("root"))
     for stage in reversed(links):
@@ -136,6 +143,7 @@ def components(pairs: DataFrame, least_gain: float = 0.05) -> DataFrame:
         back = stage.join(known, "parent", "left").select("v", F.coalesce("root", "parent").alias("root"))
         after = scratch.keep(labels.unionByName(back))
         scratch.drop(labels)
+        scratch.drop(stage)
         labels = after
     degrees = _degrees(first).select("v", F.col("deg").alias("n_links"))
     placed = scratch.keep(degrees.join(labels, "v", "left").select("v", "n_links", F.coalesce("root", "v").alias("root")))

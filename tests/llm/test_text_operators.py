@@ -265,11 +265,14 @@ def test_reading_levels(spark):
         return " ".join(rng.choice(words[min(5, max(1, level + rng.choice([-1, 0, 0, 0, 1])))]) if i % 3 else rng.choice(["the", "of", "and", "was"]) for i in range(n))
 
     docs = [(i, text(1 + i % 5), "xx") for i in range(300)] + [(900, text(3, 40), "en"), (901, None, "en"), (902, "  ", "en"), (903, " ".join(["der", "die", "das", "und", "nicht"] * 40), "en"), (904, "the " * 200, "en"), (905, text(5, 30000), "en")]
-    d = spark.createDataFrame(docs, "doc_id long, text string, level string")
+    docs = [(*x, "en" if x[0] < 300 and x[0] % 3 else None) for x in docs]
+    docs += [(1000 + i, " ".join(rng.choice(["der", "die", "das", "und", "nicht"]) for _ in range(70)), "xx", "DE ") for i in range(9)] + [(906, " ".join(rng.choice(["wij", "zijn", "ook", "maar", "veel", "vijf"]) for _ in range(120)), "xx", "en"), (907, text(2).replace("a", "а"), "xx", "deu")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, level string, lang string")
     labels = [(i, min(5, max(1, 1 + i % 5 + rng.choice([0, 0, 0, 0, 1, -1]))), f"r{j}") for i in range(0, 200) for j in range(1 + i % 3)] + [(None, 3, "r"), (7, None, "r"), (8, 99, "r"), (5000, 2, "r")]
     lab = spark.createDataFrame(labels, "doc_id long, reading_level int, reader string")
     got = {r["doc_id"]: r["reading_level"] for r in rl.reading_levels(d, lab).collect()}
     held_out = [got[i] == 1 + i % 5 for i in range(200, 300)]
     assert sum(held_out) >= 85 and got[905] == 5
-    assert set(got) == set(range(300)) | {904, 905} and 1 <= got[904] <= 5
+    assert set(got) == set(range(300)) | {904, 905, 907} and 1 <= got[904] <= 5
+    assert {r["doc_id"] for r in rl.reading_levels(d.drop("lang"), lab).collect()} == set(got) | {903, 906}
     assert rl.reading_levels(d, lab.limit(0)).count() == 0 and rl.reading_levels(d.limit(0), lab).count() == 0
