@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 #: White space in the wide sense; trim and \s alone do not cover all of it.
 WIDE = r"[\s\p{Z}\x{FEFF}]+"
@@ -13,13 +17,27 @@ ORGANIZATION_SUFFIXES = ["private limited", "pvt limited", "pvt ltd", "public li
                          "company", "limited", "llc", "corp", "ltd", "inc", "co"]
 # Spellings of predicates that stand for another.
 PREDICATE_ALIASES = {
-    "countries_and_territories_served": "countries_served", "countries_served": "countries_served", "pin_codes_served": "postal_code_reach",
-    "pincode_reach": "postal_code_reach", "postal_codes_served": "postal_code_reach", "postal_code_reach": "postal_code_reach",
+    "countries_and_territories_served": "countries_served",
+    "country_and_territory_reach": "countries_served",
+    "pin_code_reach": "postal_code_reach",
+    "pin_codes_served": "postal_code_reach",
+    "pincode_reach": "postal_code_reach",
+    "postal_codes_served": "postal_code_reach",
 }
 # Words of a predicate that do not change its concept.
 CONCEPT_MODIFIERS = ["annual", "quarterly", "reported", "profit", "loss", "positive", "negative"]
 
 
+@F.arrow_udf(StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
+
+
+def nfkc(c: Column) -> Column:
+    """Compatibility composition. Texts in ASCII are their own form and reach Python as nulls."""
+    return F.coalesce(_nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+
+
 def trim_wide(c: Column) -> Column:
     return F.regexp_replace(c, EDGE, "")
 
@@ -29,8 +47,13 @@ def collapse(c: Column) -> Column:
 
 
 def comparable(c: Column) -> Column:
-    """Subjects, texts and labels as they are compared: collapsed, lower case."""
-    return F.lower(collapse(c))
+    """Subjects, texts and labels as they are compared: compatibility form, collapsed, lower case."""
+    return F.lower(collapse(nfkc(c)))
+
+
+def display_name(c: Column) -> Column:
+    """Names as they are shown: compatibility form, collapsed, letter case kept."""
+    return collapse(nfkc(c))
 
 
 def context_label(c: Column) -> Column:

@@ -19,3 +19,11 @@ def dot(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Null if a vector is zero."""
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def usable_vector(c: Column) -> Column:
+    """Finite numbers of any count, not all of them zero."""
+    top, low = F.array_max(c), F.array_min(c)
+    infinite = F.lit(float("inf"))
+    ok = (F.size(c) > 0) & (F.size(F.array_compact(c)) == F.size(c)) & ~F.isnan(top) & (top < infinite) & (low > -infinite) & ((top != 0) | (low != 0))
+    return F.coalesce(ok, F.lit(False))

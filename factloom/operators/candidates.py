@@ -1,7 +1,8 @@
 """Comparable facts of other documents: by entity and predicate, by entity and vector, by subject and vector.
 
-The two branches of the condition are two joins. Within an entity facts are compared in blocks by
-matrix products: a group never holds more than two blocks, however many facts an entity has.
+Each branch of the condition is a join of its own on the columns that have to be equal: entity and
+predicate, entity and value type, similar subject and value type. Where a key holds many facts they are
+compared in pairs of blocks by matrix products: a group never holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from factloom.functions.vectors import valid_vector
 from factloom.operators.entities import similarities
+from factloom.operators.skew import hot_join
 
 THRESHOLD, TOP_K = 0.62, 10
 SUBJECT_THRESHOLD, VECTOR_BONUS = 0.85, 0.1
@@ -30,41 +32,50 @@ def _unit(column: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _block(threshold: float, top_k: int, by_entity: bool):
+def _best(asks: pd.DataFrame, gives: pd.DataFrame, least: float, top_k: int, direct: bool) -> pd.DataFrame:
+    """For each asking fact the top_k facts of other documents: nearer first, then older, then by id."""
+    if not len(asks) or not len(gives):
+        return pd.DataFrame(columns=["source_id", "candidate_id", "similarity", "direct", "created_at"])
+    sims = _unit(asks["embedding"]) @ _unit(gives["embedding"]).T
+    ok = asks["document_id"].to_numpy()[:, None] != gives["document_id"].to_numpy()[None, :]
+    if not direct:
+        ok &= 1 - sims <= 1 - least
+    r, c = np.nonzero(ok)
+    made, ids = gives["created_at"].to_numpy(), gives["fact_id"].to_numpy()
+    order = np.lexsort((ids[c], made[c], -sims[r, c], r))
+    r, c = r[order], c[order]
+    keep = np.arange(len(r)) - np.searchsorted(r, np.arange(len(asks)))[r] < top_k
+    r, c = r[keep], c[keep]
+    return pd.DataFrame({"source_id": asks["fact_id"].to_numpy()[r], "candidate_id": ids[c], "similarity": sims[r, c], "direct": direct, "created_at": made[c]})
+
+
+def _cell(least: float, top_k: int, direct: bool):
+    """Facts of one block with each other, or of two blocks (side 0 and 1) with those of the other."""
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        asks, gives = frame[frame["role"] == 0], frame[frame["role"] == 1]
-        if not len(asks) or not len(gives):
-            return pd.DataFrame(columns=["source_id", "candidate_id", "similarity", "direct", "created_at"])
-        sims = _unit(asks["embedding"]) @ _unit(gives["embedding"]).T
-        foreign = asks["document_id"].to_numpy()[:, None] != gives["document_id"].to_numpy()[None, :]
-        same_type = asks["value_type"].to_numpy()[:, None] == gives["value_type"].to_numpy()[None, :]
-        if by_entity:
-            direct = asks["predicate"].to_numpy()[:, None] == gives["predicate"].to_numpy()[None, :]
-            ok = foreign & (direct | (same_type & (1 - sims <= 1 - threshold)))
-        else:
-            direct = np.zeros_like(foreign)
-            ok = foreign & same_type & (sims >= min(1.0, threshold + VECTOR_BONUS))
-        r, c = np.nonzero(ok)
-        made, ids = gives["created_at"].to_numpy(), gives["fact_id"].to_numpy()
-        order = np.lexsort((ids[c], made[c], -sims[r, c], ~direct[r, c], r))
-        r, c = r[order], c[order]
-        first = np.searchsorted(r, np.arange(len(asks)))
-        keep = np.arange(len(r)) - first[r] < top_k
-        r, c = r[keep], c[keep]
-        return pd.DataFrame({"source_id": asks["fact_id"].to_numpy()[r], "candidate_id": ids[c], "similarity": sims[r, c], "direct": direct[r, c], "created_at": made[c]})
+        a, b = frame[frame["side"] == 0], frame[frame["side"] == 1]
+        pairs = [(a, b), (b, a)] if len(b) else [(a, a)]
+        return pd.concat([_best(x, y, least, top_k, direct) for x, y in pairs], ignore_index=True)
 
     return run
 
 
-def _within(rows: DataFrame, key: str, threshold: float, top_k: int, by_entity: bool) -> DataFrame:
-    """All facts of a key against all facts of the key, block by block."""
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).where("size > 1")
-    placed = rows.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("fact_id"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    gives = placed.select("*", F.col("own").alias("give"), F.lit(1).alias("role")).withColumn("ask", F.explode(every))
-    asks = placed.select("*", F.col("own").alias("ask"), F.lit(0).alias("role")).withColumn("give", F.explode(every))
-    cells = asks.unionByName(gives).select(key, "ask", "give", "role", "fact_id", "document_id", "value_type", "predicate", "created_at", "embedding")
-    return cells.groupBy(key, "ask", "give").applyInPandas(_block(threshold, top_k, by_entity), OUT)
+def _within(rows: DataFrame, keys: list[str], total: int, least: float, top_k: int, direct: bool) -> DataFrame:
+    """All facts of a key against all facts of the key; each fact is sent once for each block of its key."""
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.count_distinct("document_id").alias("documents")).where("documents > 1")
+    sizes = sizes.select(*keys, "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    placed = hot_join(rows, sizes, keys, "size", total).withColumn("own", F.pmod(F.xxhash64("fact_id"), F.col("blocks")).cast("int"))
+    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = sent.select(*keys, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"),
+                        "fact_id", "document_id", "created_at", "embedding")
+    return cells.groupBy(*keys, "low", "high").applyInPandas(_cell(least, top_k, direct), OUT)
+
+
+def _asked(least: float, top_k: int):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        return _best(frame[frame["role"] == 0], frame[frame["role"] == 1], least, top_k, False)
+
+    return run
 
 
 def retrieve(facts: DataFrame, embeddings: DataFrame, dims: int, threshold: float = THRESHOLD, top_k: int = TOP_K) -> DataFrame:
@@ -74,22 +85,27 @@ def retrieve(facts: DataFrame, embeddings: DataFrame, dims: int, threshold: floa
     Facts without a usable vector take no part.
     """
     base = facts.select("fact_id", "document_id", "entity_id", F.col("subject_normalized").alias("subject"), "predicate_canonical", "value_type", "created_at")
-    rows = base.withColumn("predicate", F.coalesce("predicate_canonical", F.lit("?"))).join(latest_vectors(embeddings, dims), "fact_id")
-    resolved = _within(rows.where("entity_id is not null"), "entity_id", threshold, top_k, True)
+    rows = base.withColumnRenamed("predicate_canonical", "predicate").join(latest_vectors(embeddings, dims), "fact_id")
+    total = facts.count()
+    known = rows.where("entity_id is not null")
+    # Two unknown predicates are not the same predicate.
+    resolved = _within(known.where("predicate is not null"), ["entity_id", "predicate"], total, threshold, top_k, True).unionByName(
+        _within(known.where("value_type is not null"), ["entity_id", "value_type"], total, threshold, top_k, False))
     # Unresolved facts ask all facts with a similar subject: similar subjects are found through their distinct spellings.
     loose = rows.where("entity_id is null and subject is not null")
     spelled = loose.select(F.col("subject").alias("name"), F.lit("").alias("type")).distinct()
-    known = rows.where("subject is not null").select(F.col("subject").alias("key"), F.col("subject").alias("other"), F.lit("").alias("type")).distinct()
-    pairs = similarities(spelled, known, SUBJECT_THRESHOLD).select("name", F.col("key").alias("subject"))
-    gives = rows.join(pairs, "subject").select("name", "fact_id", "document_id", "value_type", "predicate", "created_at", "embedding", F.lit(1).alias("role"))
-    asks = loose.select(F.col("subject").alias("name"), "fact_id", "document_id", "value_type", "predicate", "created_at", "embedding", F.lit(0).alias("role"))
-    every = asks.unionByName(gives)
-    sizes = every.groupBy("name").agg(F.ceil(F.greatest(F.count_if(F.col("role") == 0), F.count_if(F.col("role") == 1)) / BLOCK).cast("int").alias("blocks"))
-    cells = every.join(sizes, "name").withColumn("own", F.pmod(F.xxhash64("fact_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.withColumn("ask", F.when(F.col("role") == 0, F.col("own")).otherwise(F.col("other"))).withColumn("give", F.when(F.col("role") == 1, F.col("own")).otherwise(F.col("other")))
-    unresolved = cells.select("name", "ask", "give", "role", "fact_id", "document_id", "value_type", "predicate", "created_at", "embedding").groupBy(
-        "name", "ask", "give").applyInPandas(_block(threshold, top_k, False), OUT)
-    met = resolved.withColumn("by_subject", F.lit(False)).unionByName(unresolved.withColumn("by_subject", F.lit(True)))
+    subjects = rows.where("subject is not null").select(F.col("subject").alias("key"), F.col("subject").alias("other"), F.lit("").alias("type")).distinct()
+    pairs = similarities(spelled, subjects, SUBJECT_THRESHOLD).select("name", F.col("key").alias("subject"))
+    fields = ["name", "value_type", "fact_id", "document_id", "created_at", "embedding", "role"]
+    gives = rows.join(pairs, "subject").withColumn("role", F.lit(1)).select(*fields)
+    asks = loose.withColumn("name", F.col("subject")).withColumn("role", F.lit(0)).select(*fields)
+    every = asks.unionByName(gives).where("value_type is not null")
+    sizes = every.groupBy("name", "value_type").agg(F.ceil(F.greatest(F.count_if(F.col("role") == 0), F.count_if(F.col("role") == 1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("size"))
+    sent = hot_join(every, sizes, ["name", "value_type"], "size", total).withColumn("own", F.pmod(F.xxhash64("fact_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = sent.withColumn("ask", F.when(F.col("role") == 0, F.col("own")).otherwise(F.col("other"))).withColumn("give", F.when(F.col("role") == 1, F.col("own")).otherwise(F.col("other")))
+    unresolved = cells.select("ask", "give", *fields).groupBy("name", "value_type", "ask", "give").applyInPandas(_asked(min(1.0, threshold + VECTOR_BONUS), top_k), OUT)
+    either = resolved.withColumn("by_subject", F.lit(False)).unionByName(unresolved.withColumn("by_subject", F.lit(True)))
+    met = either.groupBy("source_id", "candidate_id").agg(F.max("direct").alias("direct"), F.max("similarity").alias("similarity"), F.min("created_at").alias("created_at"), F.bool_and("by_subject").alias("by_subject"))
     order = Window.partitionBy("source_id").orderBy(F.desc("direct"), F.desc("similarity"), "created_at", "candidate_id")
     reason = F.when(F.col("by_subject"), "UNRESOLVED_SUBJECT_VECTOR").when(F.col("direct"), "ENTITY_PREDICATE").otherwise("ENTITY_VECTOR")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select(

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from factloom.functions.text import entity_name, word_trigrams
 from factloom.operators.skew import hot_join
+from factloom.session import Scratch
 
 THRESHOLD = 0.85
 LIMIT = 5
@@ -72,9 +70,8 @@ def resolve(facts: DataFrame, entities: DataFrame, aliases: DataFrame, threshold
     """(fact_id, entity_id, match_method, similarity) for unresolved facts with a name.
 
     Ladder: alias, canonical name, trigram similarity, else a new entity (id from its name). Names
-    that end up alike found one entity: the first seen founds it, later ones join through similarity
-    edges. The ordered pass over those edges runs for each entity type and connected first letter
-    block of the unmatched names only; it sees edges, never all pairs.
+    that end up alike found one entity: the first seen founds it, later ones join it through the
+    similarity edges between them.
     """
     names = mentions(facts)
     by_alias = alias_exact(names, entities, aliases).withColumn("match_method", F.lit("ALIAS_EXACT")).withColumn("similarity", F.lit(1.0))
@@ -83,60 +80,49 @@ def resolve(facts: DataFrame, entities: DataFrame, aliases: DataFrame, threshold
     rest = rest.join(by_name.select("name", "type"), ["name", "type"], "left_anti")
     old = trigram_candidates(rest, entities, aliases, threshold, 1).select("name", "type", "entity_id", "similarity")
     edges = similarities(rest, rest.select(F.col("name").alias("key"), F.col("name").alias("other"), "type"), threshold).where("name <> key")
-    # One row for each unmatched name: its order, its best old entity, its edges to other unmatched names.
-    links = edges.groupBy("name", "type").agg(F.collect_list(F.struct("key", "similarity")).alias("links"))
-    work = rest.join(old, ["name", "type"], "left").join(links, ["name", "type"], "left")
-    lone = work.where("links is null").select(
-        "name", "type", F.coalesce("entity_id", F.concat(F.lit("new-"), F.sha2(F.concat_ws("|", "type", "name"), 256))).alias("entity_id"),
-        F.when(F.col("entity_id").isNull(), "CREATED").otherwise("TRIGRAM").alias("match_method"), F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
-
-    def ordered(frame: pd.DataFrame) -> pd.DataFrame:
-        import hashlib
-
-        frame = frame.sort_values("at")
-        place: dict[str, str] = {}
-        out = []
-        for name, kind, entity, sim, linked in zip(frame["name"], frame["type"], frame["entity_id"], frame["similarity"], frame["links"]):
-            best = (sim, entity) if isinstance(entity, str) else (0.0, None)
-            for e in linked:
-                if e["key"] in place and e["similarity"] > best[0]:
-                    best = (e["similarity"], place[e["key"]])
-            if best[1] is None:
-                found = ("new-" + hashlib.sha256(f"{kind}|{name}".encode()).hexdigest(), "CREATED", 1.0)
-            else:
-                found = (best[1], "TRIGRAM", float(best[0]))
-            place[name] = found[0]
-            out.append((name, kind, *found))
-        return pd.DataFrame(out, columns=["name", "type", "entity_id", "match_method", "similarity"])
-
-    # Linked names share trigrams of one component; grouping by component keeps a group as small as a family of spellings.
-    joined = _families(edges)
-    linked = work.where("links is not null").join(joined, ["name", "type"]).select("name", "type", "entity_id", "similarity", "links", F.col("first_at").alias("at"), "family")
-    staged = linked.withColumn("at", F.concat_ws("|", F.date_format("at.created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"), "at.fact_id"))
-    grown = staged.groupBy("family").applyInPandas(ordered, "name string, type string, entity_id string, match_method string, similarity double")
-    every = by_alias.select("name", "type", "entity_id", "match_method", "similarity").unionByName(by_name.select("name", "type", "entity_id", "match_method", "similarity")).unionByName(lone).unionByName(grown)
+    grown = place_in_order(rest.join(old, ["name", "type"], "left").select("name", "type", "first_at", "entity_id", "similarity"), edges)
+    every = by_alias.select("name", "type", "entity_id", "match_method", "similarity").unionByName(by_name.select("name", "type", "entity_id", "match_method", "similarity")).unionByName(grown)
     every = every.join(names.select("name", "type", "n"), ["name", "type"])
     named = facts.where(F.col("entity_id").isNull()).select("fact_id", entity_name(F.col("subject_raw"), F.col("subject_type")).alias("name"), F.col("subject_type").alias("type"))
     return hot_join(named, every, ["name", "type"], "n", facts.count()).select("fact_id", "entity_id", "match_method", "similarity")
 
 
-def _families(edges: DataFrame) -> DataFrame:
-    """(name, type, family) by spreading the least name along the edges; rounds end when nothing changes."""
-    from factloom.session import Scratch
-
-    scratch = Scratch(edges.sparkSession, "families")
-    links = scratch.keep(edges.select("name", "type", "key"))
-    label = scratch.keep(links.groupBy("name", "type").agg(F.least(F.min("key"), F.first("name")).alias("family")))
-    while True:
-        around = links.join(label.withColumnRenamed("name", "key"), ["key", "type"]).groupBy("name", "type").agg(F.min("family").alias("near"))
-        jump = label.select(F.col("name").alias("family"), "type", F.col("family").alias("root"))
-        after = scratch.keep(label.join(around, ["name", "type"]).join(jump, ["family", "type"], "left").select(
-            "name", "type", F.least("family", "near", F.coalesce("root", "family")).alias("family"), F.col("family").alias("was")))
-        changed = after.where("family <> was").limit(1).count()
-        scratch.drop(label)
-        label = after.select("name", "type", "family")
-        if not changed:
-            return label.select("name", "type", F.concat_ws("|", "type", "family").alias("family"))
+def place_in_order(names: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, type, entity_id, match_method, similarity): what a pass over the names in order of first_at would decide.
+
+    names: name, type, first_at and, where an old entity is similar, entity_id and similarity. A name
+    follows the most similar of its old entity and the similar names before it (of equals the old entity, then
+    the earliest name); a name with neither founds an entity. A name is decided once all names before it
+    that are similar are: rounds of joins, as many as the longest chain of such names, and no group in one task.
+    """
+    scratch = Scratch(names.sparkSession, "entities")
+    order = names.select(F.col("name").alias("key"), "type", F.col("first_at").alias("before"))
+    earlier = scratch.keep(edges.select("name", "type", "key", F.col("similarity").alias("s")).join(names.select("name", "type", "first_at"), ["name", "type"])
+                           .join(order, ["key", "type"]).where("before < first_at").select("name", "type", "key", "s", "before"))
+    waits = earlier.groupBy("name", "type").agg(F.count(F.lit(1)).alias("waits"))
+    pending = scratch.keep(names.join(waits, ["name", "type"], "left").fillna(0, ["waits"]))
+
+    def decide(rows: DataFrame) -> DataFrame:
+        old = F.when(F.col("entity_id").isNotNull() & (F.col("similarity") >= F.coalesce("near.s", F.lit(0.0))), F.struct("entity_id", F.col("similarity").alias("s")))
+        best = F.coalesce(old, F.when(F.col("near").isNotNull(), F.struct(F.col("near.entity_id").alias("entity_id"), F.col("near.s").alias("s"))))
+        new = F.concat(F.lit("new-"), F.sha2(F.concat_ws("|", "type", "name"), 256))
+        return rows.withColumn("best", best).select(
+            "name", "type", F.coalesce("best.entity_id", new).alias("entity_id"), F.when(F.col("best").isNull(), "CREATED").otherwise("TRIGRAM").alias("match_method"),
+            F.coalesce("best.s", F.lit(1.0)).alias("similarity"))
+
+    near = "struct<entity_id:string,s:double>"
+    done = scratch.keep(decide(pending.where("waits = 0").withColumn("near", F.lit(None).cast(near))))
+    pending = scratch.keep(pending.where("waits > 0"))
+    while not pending.isEmpty():
+        known = done.select(F.col("name").alias("key"), "type", F.col("entity_id").alias("to"))
+        met = earlier.join(known, ["key", "type"]).groupBy("name", "type").agg(
+            F.count(F.lit(1)).alias("seen"), F.min_by(F.struct(F.col("to").alias("entity_id"), "s"), F.struct(-F.col("s"), "before", "key")).alias("near"))
+        ready = scratch.keep(decide(pending.join(met, ["name", "type"]).where("seen = waits")))
+        after, rest = scratch.keep(done.unionByName(ready)), scratch.keep(pending.join(ready.select("name", "type"), ["name", "type"], "left_anti"))
+        for gone in (done, pending, ready):
+            scratch.drop(gone)
+        done, pending = after, rest
+    return done
 
 
 def learned_aliases(resolved: DataFrame, facts: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -33,6 +33,12 @@ class EmbeddingProvider(Protocol):
     def embed(self, text: str) -> list[float]: ...
 
 
+class RelationshipReasoningProvider(Protocol):
+    model: str
+
+    def reason(self, pair: dict) -> tuple[str, float, str]: ...
+
+
 class TransientError(RuntimeError):
     """A call that may succeed if repeated."""
 
@@ -87,6 +93,60 @@ class HashedEmbedding:
         return (v / n).tolist()
 
 
+class OfflineReasoner:
+    """The published decision rules: what differs first explains the pair, then the values decide."""
+
+    model = "rules"
+    EXPLAINS = ["scope", "geography", "basis"]
+
+    def reason(self, pair: dict) -> tuple[str, float, str]:
+        """(outcome, confidence, decisive dimension) of the fields of both facts, prefixed l_ and r_."""
+        known = lambda name: (pair.get(f"l_{name}"), pair.get(f"r_{name}"))
+        differ = lambda name: None not in known(name) and known(name)[0] != known(name)[1]
+        if differ("currency"):
+            return "UNCERTAIN", 0.65, "currency"
+        if differ("period"):
+            return "RECONCILABLE", 0.95, "period"
+        for name in self.EXPLAINS:
+            if differ(name):
+                return "RECONCILABLE", 0.85, name
+        if None not in known("number"):
+            a, b = map(abs, known("number"))
+            equal = a == b or abs(a - b) / max(a, b) <= 0.005
+        elif None not in known("text"):
+            equal = not differ("text")
+        else:
+            return "UNCERTAIN", 0.5, "value"
+        return ("CORROBORATES", 0.8, "value") if equal else ("CONTRADICTS", 0.95, "value")
+
+
+def reason_pairs(pairs: DataFrame, provider: RelationshipReasoningProvider, gate: float = 0.60, concurrency: int | None = None) -> DataFrame:
+    """(l_fact_id, r_fact_id, outcome, confidence, decisive, model, error): pairs of ``paired`` judged by a provider.
+
+    A judgement below the gate becomes UNCERTAIN; a pair whose call fails after its retries gives a
+    row with an error. ``concurrency`` bounds the calls made at once, whatever the cluster's size.
+    """
+    fields = [f"{s}_{n}" for s in "lr" for n in ("fact_id", "number", "text", "unit", "currency", "period", "scope", "geography", "basis")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for pair in batch.to_pylist():
+                try:
+                    outcome, sure, why = with_retries(lambda pair=pair: provider.reason(pair))
+                    out.append((outcome if sure >= gate else "UNCERTAIN", float(sure), why, None))
+                except Exception as e:
+                    out.append((None, None, None, f"RELATIONSHIP_REASONING_FAILURE: {e}"))
+            cols = list(zip(*out)) if out else [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(batch.schema.get_field_index("r_fact_id")), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.string()),
+                                              pa.array([provider.model] * len(out), pa.string()), pa.array(cols[3], pa.string())],
+                                             names=["l_fact_id", "r_fact_id", "outcome", "confidence", "decisive", "model", "error"])
+
+    rows = pairs.select(*fields)
+    return (rows.repartition(concurrency) if concurrency else rows).mapInArrow(
+        run, "l_fact_id string, r_fact_id string, outcome string, confidence double, decisive string, model string, error string")
+
+
 def extract_facts(chunks: DataFrame, provider: FactExtractionProvider | None = None, text: str = "text", key: str = "document_id") -> DataFrame:
     """Drafts of every chunk; a chunk whose extraction fails gives one row with an error and no draft."""
     provider = provider or TemplateExtraction()

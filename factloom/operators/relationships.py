@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from factloom.functions.dates import period as period_of
 from factloom.functions.text import predicates_compatible
-from factloom.functions.values import TOLERANCE, relative_difference
+from factloom.functions.values import TOLERANCE, normalize_value, relative_difference
 
 GATE = 0.60
 
@@ -27,7 +28,8 @@ def fact_view(facts: DataFrame, side: str) -> DataFrame:
                         F.get_json_object("qualifiers", "$.period"))
     columns = {"fact_id": F.col("fact_id"), "document_id": F.col("document_id"), "entity_id": F.col("entity_id"), "subject": F.col("subject_normalized"),
                "predicate": F.col("predicate_canonical"), "value_type": F.col("value_type"), "number": F.col("normalized_number").cast("double"), "unit": F.col("unit"),
-               "currency": F.col("currency"), "period": period, "scope": context["scope"], "geography": context["geography"], "basis": context["basis"]}
+               "text": normalize_value(F.col("value_raw"), F.col("value_type"))["text"],
+               "currency": F.col("currency"), "kind": period_of(context["time_label"])["kind"], "period": period, "scope": context["scope"], "geography": context["geography"], "basis": context["basis"]}
     return facts.select(*[c.alias(f"{side}_{n}") for n, c in columns.items()])
 
 
@@ -37,13 +39,18 @@ def compatible(a: str = "l", b: str = "r") -> Column:
     return same_entity & (x("value_type") == y("value_type")) & F.coalesce(predicates_compatible(x("predicate"), y("predicate")), F.lit(False))
 
 
+def equal_values(a: str = "l", b: str = "r") -> Column:
+    """Numbers within tolerance or equal texts; null where the facts state no values of one sort."""
+    x, y = (lambda n: F.col(f"{a}_{n}")), (lambda n: F.col(f"{b}_{n}"))
+    return F.when(x("number").isNotNull() & y("number").isNotNull(), relative_difference(x("number"), y("number")) <= TOLERANCE).otherwise(x("text") == y("text"))
+
+
 def corroborated(a: str = "l", b: str = "r") -> Column:
-    """The rule: one entity, type, predicate concept, period and scope; numbers within tolerance in one unit and currency."""
+    """The rule: one entity, type, predicate concept, kind and label of period, and scope; equal values, numbers in one unit and currency."""
     x, y = (lambda n: F.col(f"{a}_{n}")), (lambda n: F.col(f"{b}_{n}"))
-    numbers = x("number").isNotNull() & y("number").isNotNull()
-    close = relative_difference(x("number"), y("number")) <= TOLERANCE
-    same = x("period").eqNullSafe(y("period")) & x("scope").eqNullSafe(y("scope"))
-    return compatible(a, b) & same & F.coalesce(numbers & close, F.lit(False)) & x("currency").eqNullSafe(y("currency")) & x("unit").eqNullSafe(y("unit"))
+    alike = [x(n).eqNullSafe(y(n)) for n in ("kind", "period", "scope")]
+    measured = (x("currency").eqNullSafe(y("currency")) & x("unit").eqNullSafe(y("unit"))) | x("number").isNull() | y("number").isNull()
+    return compatible(a, b) & alike[0] & alike[1] & alike[2] & measured & F.coalesce(equal_values(a, b), F.lit(False))
 
 
 def _differ(name: str, a: str, b: str) -> Column:
@@ -58,8 +65,8 @@ def decide(pairs: DataFrame, a: str = "l", b: str = "r") -> DataFrame:
     reasoner says below the confidence gate becomes UNCERTAIN.
     """
     x, y = (lambda n: F.col(f"{a}_{n}")), (lambda n: F.col(f"{b}_{n}"))
-    missing = x("number").isNull() | y("number").isNull()
-    equal = relative_difference(x("number"), y("number")) <= TOLERANCE
+    equal = equal_values(a, b)
+    missing = equal.isNull()
     context = _differ("scope", a, b) | _differ("geography", a, b) | _differ("basis", a, b)
     skipped = F.when(x("document_id") == y("document_id"), "SAME_DOCUMENT").when(~compatible(a, b), "INCOMPATIBLE")
     rule = corroborated(a, b)
@@ -78,8 +85,13 @@ def decide(pairs: DataFrame, a: str = "l", b: str = "r") -> DataFrame:
 
 def context_rows(pairs: DataFrame, a: str = "l", b: str = "r") -> DataFrame:
     """One row for each compared dimension: same, explains the difference, or conflicts."""
+    def said(side: str, column: str) -> Column:
+        if column == "number":  # the value, as far as it is known
+            return F.coalesce(F.col(f"{side}_number").cast("decimal(38,6)").cast("string"), F.col(f"{side}_text"))
+        return F.col(f"{side}_{column}")
+
     def entry(name: str, column: str) -> Column:
-        x, y = F.col(f"{a}_{column}").cast("string"), F.col(f"{b}_{column}").cast("string")
+        x, y = said(a, column), said(b, column)
         effect = F.when(x.eqNullSafe(y), "SAME").when(F.lit(name) == "value", "CONFLICTS").otherwise("EXPLAINS_DIFFERENCE")
         return F.struct(F.lit(name).alias("dimension"), x.alias("fact_a"), y.alias("fact_b"), effect.alias("effect"))
 

@@ -45,3 +45,14 @@ def cascade(documents: DataFrame, gone: DataFrame, children: dict[str, DataFrame
         hit = gone.select("document_id").distinct().withColumn("__gone", F.lit(True))
         left["entity_aliases"] = a.join(hit, "document_id", "left").withColumn("document_id", F.when(F.col("__gone").isNull(), F.col("document_id"))).drop("__gone").select(*a.columns)
     return left
+
+
+def insert_counts(facts: DataFrame, evidence: DataFrame, stored: DataFrame) -> DataFrame:
+    """(document_id, facts_received, facts_inserted, evidence_inserted) of a delivery against the stored fact ids.
+
+    Evidence goes in with its fact or not at all.
+    """
+    judged = facts.join(stored.select("fact_id").distinct().withColumn("known", F.lit(True)), "fact_id", "left").select("fact_id", "document_id", F.col("known").isNull().alias("new"))
+    n = evidence.groupBy("fact_id").agg(F.count(F.lit(1)).alias("n"))
+    return judged.join(n, "fact_id", "left").groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("facts_received"), F.count_if("new").alias("facts_inserted"), F.coalesce(F.sum(F.when(F.col("new"), F.coalesce("n", F.lit(0)))), F.lit(0)).alias("evidence_inserted"))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factloom.functions.vectors import valid_vector
+from factloom.functions.vectors import usable_vector, valid_vector
 from factloom.operators import candidates as cd, entities as en, relationships as rl, store as st
-from factloom.operators.providers import by_confidence, cache_misses
+from factloom.functions.sql_functions import register_functions
+from factloom.operators.providers import OfflineReasoner, by_confidence, cache_misses, reason_pairs
 from factloom.plans import read_api as api
-from factloom.plans.text_queries import comparison_texts
+from factloom.plans.sql import nfkc_sql
+from factloom.plans.text_queries import _COMPARED, comparison_texts
 from factloom.tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -157,7 +159,7 @@ def confidence_partition(spark: SparkSession, d: str) -> DataFrame:
 # --- entities ---------------------------------------------------------------------------------
 
 _SUFFIXES = "private limited|pvt limited|pvt ltd|public limited|incorporated|corporation|company|limited|llc|corp|ltd|inc|co"
-NAMES = rf"""raw AS (SELECT fact_id, subject_type AS type, created_at, trim(regexp_replace(lower(trim(regexp_replace(subject_raw, '[\s\x{{A0}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{3000}}\x{{FEFF}}]+', ' ', 'g'))), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS clean
+NAMES = rf"""raw AS (SELECT fact_id, subject_type AS type, created_at, trim(regexp_replace(lower(trim(regexp_replace({nfkc_sql('subject_raw')}, '[\s\x{{A0}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{3000}}\x{{FEFF}}]+', ' ', 'g'))), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS clean
 FROM facts WHERE entity_id IS NULL),
 names AS (SELECT name, type, count(*) AS n FROM (SELECT CASE WHEN coalesce(type, 'ORGANIZATION') = 'ORGANIZATION' THEN regexp_replace(clean, '(?:(?:^| )(?:{_SUFFIXES}))+$', '') ELSE clean END AS name, type FROM raw) WHERE name <> '' GROUP BY 1, 2)"""
 
@@ -206,13 +208,10 @@ def embedding_validation(spark: SparkSession, d: str) -> DataFrame:
     return v.select("fact_id", "model", valid_vector(F.col("embedding"), DIMS).alias("valid"), F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("size"))
 
 
-@query(r"""
-WITH t AS (SELECT f.fact_id, 'Entity: ' || coalesce(e.canonical_name, trim(f.subject_normalized)) || E'\nPredicate: ' || trim(f.predicate_canonical) || E'\nValue type: ' || f.value_type
-|| E'\nPeriod: ' || coalesce(nullif(trim(f.normalized_context.time_label), ''), 'unspecified') || E'\nScope: ' || coalesce(nullif(trim(f.normalized_context.scope), ''), 'unspecified') AS comparison_text
-FROM facts f LEFT JOIN entities e USING (entity_id) WHERE f.predicate_canonical IS NOT NULL)
-SELECT fact_id FROM t WHERE NOT EXISTS (SELECT 1 FROM fact_embeddings v WHERE v.fact_id = t.fact_id AND v.comparison_text = t.comparison_text AND v.model = 'finvec-2' AND v.dimensions = 128)""")
+@query(f"""WITH t AS ({_COMPARED})
+SELECT fact_id FROM t WHERE comparison_text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM fact_embeddings v WHERE v.fact_id = t.fact_id AND v.comparison_text = t.comparison_text AND v.model = 'finvec-2' AND v.dimensions = 128)""")
 def embedding_cache_misses(spark: SparkSession, d: str) -> DataFrame:
-    wanted = comparison_texts(spark, d).withColumn("model", F.lit("finvec-2")).withColumn("dimensions", F.lit(DIMS))
+    wanted = comparison_texts(spark, d).where("error is null").drop("error").withColumn("model", F.lit("finvec-2")).withColumn("dimensions", F.lit(DIMS))
     return cache_misses(wanted, table(spark, d, "fact_embeddings")).select("fact_id")
 
 
@@ -227,11 +226,48 @@ def embedding_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH first AS (SELECT entity_id, normalized_alias, min((created_at, alias_id)) AS k FROM entity_aliases GROUP BY 1, 2)
-SELECT a.entity_id, a.normalized_alias, a.alias FROM entity_aliases a JOIN first f ON a.entity_id = f.entity_id AND a.normalized_alias = f.normalized_alias AND (a.created_at, a.alias_id) = f.k""")
+WITH old AS (SELECT * FROM entity_aliases WHERE created_at <= (SELECT quantile_disc(created_at, 0.5) FROM entity_aliases)), new AS (SELECT * FROM entity_aliases WHERE created_at > (SELECT quantile_disc(created_at, 0.3) FROM entity_aliases)),
+first AS (SELECT entity_id, normalized_alias, arg_min(alias, (created_at, alias_id)) AS alias FROM new GROUP BY 1, 2)
+SELECT entity_id, normalized_alias, alias, 'old' AS origin FROM old UNION ALL SELECT entity_id, normalized_alias, alias, 'new' FROM first f WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.entity_id = f.entity_id AND o.normalized_alias = f.normalized_alias)""")
 def alias_insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
+    """Aliases of a later delivery, part of which is stored already: the first writer of a key wins."""
     a = table(spark, d, "entity_aliases").select("entity_id", "normalized_alias", "alias", F.struct("created_at", "alias_id").alias("at"))
-    return st.insert_if_absent(a.limit(0), a, ["entity_id", "normalized_alias"], "at").select("entity_id", "normalized_alias", "alias")
+    micros = F.unix_micros(F.col("at.created_at").cast("timestamp"))
+    ranked = a.select(micros.alias("t")).agg(F.expr("percentile_disc(0.5) within group (order by t)").alias("m5"), F.expr("percentile_disc(0.3) within group (order by t)").alias("m3"))
+    middle = ranked.select(*[F.timestamp_micros(F.col(m).cast("bigint")).alias(m) for m in ("m5", "m3")])
+    dated = a.crossJoin(F.broadcast(middle))  # one row
+    old = dated.where("at.created_at <= m5").drop("m5", "m3").withColumn("origin", F.lit("old"))
+    new = dated.where("at.created_at > m3").drop("m5", "m3").withColumn("origin", F.lit("new"))
+    return st.insert_if_absent(old, new, ["entity_id", "normalized_alias"], "at").select("entity_id", "normalized_alias", "alias", "origin")
+
+
+@query(f"WITH {PAIRS}, old AS (SELECT * FROM pairs WHERE relationship_type <> 'UNCERTAIN'), new AS (SELECT left_fact_id, right_fact_id, 'RECONCILABLE' AS relationship_type, 0.85::DOUBLE AS confidence, relationship_id FROM pairs WHERE relationship_type IN ('UNCERTAIN', 'CONTRADICTS')) "
+       "SELECT * FROM new UNION ALL SELECT * FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.left_fact_id = o.left_fact_id AND n.right_fact_id = o.right_fact_id)")
+def relationship_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs judged anew replace the stored judgement of the same pair; pairs never stored are added."""
+    pairs = _pairs(spark, d).select("left_fact_id", "right_fact_id", "relationship_type", "confidence", "relationship_id")
+    new = pairs.where("relationship_type in ('UNCERTAIN', 'CONTRADICTS')").withColumn("relationship_type", F.lit("RECONCILABLE")).withColumn("confidence", F.lit(0.85))
+    return st.keyed_upsert(pairs.where("relationship_type <> 'UNCERTAIN'"), new, ["left_fact_id", "right_fact_id"], "relationship_id")
+
+
+@query("""
+WITH old AS (SELECT * FROM facts WHERE extraction_method = (SELECT min(extraction_method) FROM facts)), e AS (SELECT f.document_id, e.evidence_id, e.fact_id FROM (SELECT DISTINCT evidence_id, fact_id FROM evidence) e JOIN facts f USING (fact_id))
+SELECT f.document_id, count(*) AS facts_received, count(*) FILTER (f.fact_id NOT IN (SELECT fact_id FROM old)) AS facts_inserted,
+(SELECT count(*) FROM e WHERE e.document_id = f.document_id AND e.fact_id NOT IN (SELECT fact_id FROM old)) AS evidence_inserted FROM facts f GROUP BY 1""")
+def facts_insert_counts(spark: SparkSession, d: str) -> DataFrame:
+    """A whole delivery of facts and evidence against a store that has part of the facts: what was new, by document."""
+    f, e = table(spark, d, "facts"), table(spark, d, "evidence").select("evidence_id", "fact_id").distinct()
+    old = f.join(F.broadcast(f.agg(F.min("extraction_method").alias("extraction_method"))), "extraction_method", "left_semi").select("fact_id")
+    return st.insert_counts(f.select("fact_id", "document_id"), e, old)
+
+
+@query("""WITH n AS (SELECT *, lower(normalized_name) AS k FROM entities) SELECT entity_id, normalized_name, entity_type FROM n
+QUALIFY row_number() OVER (PARTITION BY split_part(k, ' ', 1), entity_type ORDER BY created_at, entity_id) = 1""")
+def entity_insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
+    """Entities inserted in order of creation under the first word of their name: the first writer of a key stays."""
+    e = table(spark, d, "entities").select("entity_id", "normalized_name", "entity_type", F.element_at(F.split(F.lower("normalized_name"), " "), 1).alias("k"), F.struct("created_at", "entity_id").alias("at"))
+    old = e.groupBy("k", "entity_type").agg(F.min_by(F.struct("entity_id", "normalized_name", "at"), "at").alias("x")).select("x.entity_id", "x.normalized_name", "entity_type", "k", "x.at").where("entity_type = 'ORGANIZATION'")
+    return st.insert_if_absent(old, e, ["k", "entity_type"], "at").select("entity_id", "normalized_name", "entity_type")
 
 
 @query("""
@@ -272,10 +308,10 @@ def cascade_delete_effect(spark: SparkSession, d: str) -> DataFrame:
 
 _CANDIDATES = f"""WITH good AS (SELECT fact_id, arg_max(embedding, (created_at, model)) AS v FROM fact_embeddings
 WHERE len(embedding) = {DIMS} AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1),
-r AS (SELECT f.fact_id, document_id, entity_id, subject_normalized AS subject, coalesce(predicate_canonical, '?') AS predicate, value_type, created_at, v FROM facts f JOIN good USING (fact_id)),
+r AS (SELECT f.fact_id, document_id, entity_id, subject_normalized AS subject, predicate_canonical AS predicate, value_type, created_at, v FROM facts f JOIN good USING (fact_id)),
 g AS (SELECT subject, {GRAMS.format('subject')} AS g FROM (SELECT DISTINCT subject FROM r)),
 sp AS (SELECT a.subject AS s1, b.subject AS s2 FROM g a JOIN g b ON round(len(list_intersect(a.g, b.g))::DOUBLE / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))), 6) >= 0.85),
-m AS (SELECT s.fact_id AS source_id, c.fact_id AS candidate_id, list_cosine_similarity(s.v::DOUBLE[], c.v::DOUBLE[]) AS similarity, s.predicate = c.predicate AS direct, c.created_at, s.value_type = c.value_type AS st, false AS by_subject
+m AS (SELECT s.fact_id AS source_id, c.fact_id AS candidate_id, list_cosine_similarity(s.v::DOUBLE[], c.v::DOUBLE[]) AS similarity, coalesce(s.predicate = c.predicate, false) AS direct, c.created_at, s.value_type = c.value_type AS st, false AS by_subject
  FROM r s JOIN r c ON s.entity_id = c.entity_id AND s.document_id <> c.document_id
  UNION ALL SELECT s.fact_id, c.fact_id, list_cosine_similarity(s.v::DOUBLE[], c.v::DOUBLE[]), false, c.created_at, s.value_type = c.value_type, true
  FROM r s JOIN sp ON s.subject = sp.s1 JOIN r c ON c.subject = sp.s2 WHERE s.entity_id IS NULL AND s.document_id <> c.document_id),
@@ -293,21 +329,34 @@ def _paired(spark: SparkSession, d: str) -> DataFrame:
     return rl.paired(_pairs(spark, d).select("left_fact_id", "right_fact_id"), table(spark, d, "facts"))
 
 
+_MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december"
+_NUMBERS = " ".join(f"WHEN '{m}' THEN '{i + 1:02d}'" for i, m in enumerate(_MONTHS.split("|")))
+#: Kind of a period label, by the forms in their order; dates the calendar lacks are no dates.
+PERIOD_KIND = f"""(CASE WHEN coalesce(trim({{0}}), '') = '' THEN 'UNKNOWN'
+WHEN TRY_CAST(CASE WHEN regexp_matches(lower(trim({{0}})), '^\\d{{{{4}}}}-\\d{{{{1,2}}}}-\\d{{{{1,2}}}}$') THEN trim({{0}})
+ WHEN regexp_matches(lower(trim({{0}})), '^\\d{{{{1,2}}}} ({_MONTHS}) \\d{{{{4}}}}$') THEN split_part(trim({{0}}), ' ', 3) || '-' || (CASE split_part(lower(trim({{0}})), ' ', 2) {_NUMBERS} END) || '-' || lpad(split_part(trim({{0}}), ' ', 1), 2, '0')
+ WHEN regexp_matches(lower(trim({{0}})), '^({_MONTHS}) \\d{{{{1,2}}}},? \\d{{{{4}}}}$') THEN split_part(trim({{0}}), ' ', 3) || '-' || (CASE split_part(lower(trim({{0}})), ' ', 1) {_NUMBERS} END) || '-' || lpad(replace(split_part(trim({{0}}), ' ', 2), ',', ''), 2, '0') END AS DATE) IS NOT NULL THEN 'EXACT_DATE'
+WHEN regexp_matches(lower(trim({{0}})), '^as of .') THEN 'AS_OF' WHEN regexp_matches(lower(trim({{0}})), '^q[1-4]\\s*((fiscal year|fy)\\s*)?(\\d{{{{4}}}}|\\d{{{{2}}}})$') THEN 'QUARTER'
+WHEN regexp_matches(lower(trim({{0}})), '^h[12]\\s*((fiscal year|fy)\\s*)?(\\d{{{{4}}}}|\\d{{{{2}}}})$') THEN 'HALF_YEAR' WHEN regexp_matches(lower(trim({{0}})), '^(fiscal year|fy)\\s*(\\d{{{{4}}}}|\\d{{{{2}}}})$') THEN 'FISCAL_YEAR'
+WHEN regexp_matches(lower(trim({{0}})), '^(calendar year )?\\d{{{{4}}}}$') THEN 'CALENDAR_YEAR' WHEN regexp_matches(lower(trim({{0}})), '^({_MONTHS}) \\d{{{{4}}}}$') THEN 'MONTH' ELSE 'UNKNOWN' END)"""
 _CONCEPT = "array_to_string(list_filter(string_split({0}, '_'), lambda t: t <> '' AND NOT regexp_matches(t, '^(annual|quarterly|reported|profit|loss|positive|negative|fy\\d{{2}}(\\d{{2}})?|q[1-4]|\\d{{4}})$')), '_')"
 PAIRED = f"""{PAIRS}, v AS (SELECT fact_id, document_id, entity_id, subject_normalized AS subject, predicate_canonical AS predicate, {_CONCEPT.format('predicate_canonical')} AS concept, value_type, normalized_number::DOUBLE AS number, unit, currency,
-coalesce(normalized_context.time_label, json_extract_string(qualifiers, '$.reportingPeriod'), json_extract_string(qualifiers, '$.reporting_period'), json_extract_string(qualifiers, '$.period')) AS period,
+CASE WHEN value_type NOT IN ('MONEY', 'PERCENTAGE', 'NUMBER', 'QUANTITY') AND NOT regexp_matches(trim(value_raw), '(?i)^[+-]?\\d+(?:\\.\\d+)?\\s*x$') THEN lower(regexp_replace(trim(value_raw), '\\s+', ' ', 'g')) END AS text,
+{PERIOD_KIND.format('normalized_context.time_label')} AS kind, coalesce(normalized_context.time_label, json_extract_string(qualifiers, '$.reportingPeriod'), json_extract_string(qualifiers, '$.reporting_period'), json_extract_string(qualifiers, '$.period')) AS period,
 normalized_context.scope AS scope, normalized_context.geography AS geography, normalized_context.basis AS basis FROM facts),
 j AS (SELECT l.fact_id AS l_fact_id, r.fact_id AS r_fact_id, l.document_id AS l_document_id, l.document_id = r.document_id AS same_document,
 (coalesce(l.entity_id = r.entity_id, false) OR coalesce(l.subject = r.subject, false)) AND l.value_type = r.value_type AND coalesce(l.predicate = r.predicate OR (l.concept <> '' AND l.concept = r.concept), false) AS compatible,
-CASE WHEN greatest(abs(l.number), abs(r.number)) = 0 THEN 0 ELSE abs(abs(l.number) - abs(r.number)) / greatest(abs(l.number), abs(r.number)) END AS gap, l.number IS NULL OR r.number IS NULL AS missing,
-l.period IS NOT DISTINCT FROM r.period AND l.scope IS NOT DISTINCT FROM r.scope AND l.currency IS NOT DISTINCT FROM r.currency AND l.unit IS NOT DISTINCT FROM r.unit AS same,
+CASE WHEN greatest(abs(l.number), abs(r.number)) = 0 THEN 0 ELSE abs(abs(l.number) - abs(r.number)) / greatest(abs(l.number), abs(r.number)) END AS gap, l.number IS NULL OR r.number IS NULL AS bare, l.text = r.text AS same_text,
+l.kind = r.kind AND l.period IS NOT DISTINCT FROM r.period AND l.scope IS NOT DISTINCT FROM r.scope AS same, l.currency IS NOT DISTINCT FROM r.currency AND l.unit IS NOT DISTINCT FROM r.unit AS same_unit,
+coalesce(l.number::DECIMAL(38,6)::VARCHAR, l.text) AS l_value, coalesce(r.number::DECIMAL(38,6)::VARCHAR, r.text) AS r_value,
 coalesce(l.currency <> r.currency, false) AS dc, coalesce(l.period <> r.period, false) AS dp, coalesce(l.scope <> r.scope, false) AS ds, coalesce(l.geography <> r.geography, false) AS dg, coalesce(l.basis <> r.basis, false) AS db,
 l.period AS l_period, r.period AS r_period, l.scope AS l_scope, r.scope AS r_scope, l.currency AS l_currency, r.currency AS r_currency
 FROM pairs p JOIN v l ON l.fact_id = p.left_fact_id JOIN v r ON r.fact_id = p.right_fact_id),
-c AS (SELECT *, compatible AND same AND NOT missing AND gap <= 0.005 AS rule FROM j),
+e AS (SELECT *, CASE WHEN bare THEN same_text ELSE gap <= 0.005 END AS equal FROM j),
+c AS (SELECT *, equal IS NULL AS missing, compatible AND same AND (bare OR same_unit) AND coalesce(equal, false) AS rule FROM e),
 o AS (SELECT *, CASE WHEN same_document THEN 'SAME_DOCUMENT' WHEN NOT compatible THEN 'INCOMPATIBLE' END AS skipped,
-CASE WHEN dc THEN 'UNCERTAIN' WHEN dp THEN 'RECONCILABLE' WHEN ds OR dg OR db THEN 'RECONCILABLE' WHEN missing THEN 'UNCERTAIN' WHEN gap <= 0.005 THEN 'CORROBORATES' ELSE 'CONTRADICTS' END AS said,
-CASE WHEN dc THEN 0.65 WHEN dp THEN 0.95 WHEN ds OR dg OR db THEN 0.85 WHEN missing THEN 0.5 WHEN gap <= 0.005 THEN 0.8 ELSE 0.95 END::DOUBLE AS sure,
+CASE WHEN dc THEN 'UNCERTAIN' WHEN dp THEN 'RECONCILABLE' WHEN ds OR dg OR db THEN 'RECONCILABLE' WHEN missing THEN 'UNCERTAIN' WHEN equal THEN 'CORROBORATES' ELSE 'CONTRADICTS' END AS said,
+CASE WHEN dc THEN 0.65 WHEN dp THEN 0.95 WHEN ds OR dg OR db THEN 0.85 WHEN missing THEN 0.5 WHEN equal THEN 0.8 ELSE 0.95 END::DOUBLE AS sure,
 CASE WHEN dc THEN 'currency' WHEN dp THEN 'period' WHEN ds THEN 'scope' WHEN dg THEN 'geography' WHEN db THEN 'basis' ELSE 'value' END AS why FROM c),
 decided AS (SELECT l_fact_id, r_fact_id, l_document_id, skipped, CASE WHEN skipped IS NULL THEN CASE WHEN rule THEN 'CORROBORATES' WHEN sure < 0.6 THEN 'UNCERTAIN' ELSE said END END AS outcome,
 CASE WHEN skipped IS NULL THEN CASE WHEN rule THEN 1.0 ELSE sure END END::DOUBLE AS decided_confidence, CASE WHEN skipped IS NULL AND NOT rule THEN why END AS decisive, CASE WHEN skipped IS NULL THEN CASE WHEN rule THEN 'RULE' ELSE 'REASONER' END END AS method FROM o)"""
@@ -332,7 +381,44 @@ def relationship_run_metrics(spark: SparkSession, d: str) -> DataFrame:
         F.count(F.lit(1)).alias("evaluated"), F.count_if(F.col("skipped").isNotNull()).alias("skipped"), *[F.count_if(F.coalesce(F.col("outcome") == k, F.lit(False))).alias(k.lower()) for k in kinds])
 
 
-@query(f"""WITH {PAIRED} SELECT l_fact_id, r_fact_id, dimension, fact_a, fact_b, CASE WHEN fact_a IS NOT DISTINCT FROM fact_b THEN 'SAME' ELSE 'EXPLAINS_DIFFERENCE' END AS effect FROM
-(SELECT l_fact_id, r_fact_id, 'time' AS dimension, l_period AS fact_a, r_period AS fact_b FROM c UNION ALL SELECT l_fact_id, r_fact_id, 'scope', l_scope, r_scope FROM c UNION ALL SELECT l_fact_id, r_fact_id, 'currency', l_currency, r_currency FROM c)""")
+@query(f"""WITH {PAIRED} SELECT l_fact_id, r_fact_id, dimension, fact_a, fact_b, CASE WHEN fact_a IS NOT DISTINCT FROM fact_b THEN 'SAME' WHEN dimension = 'value' THEN 'CONFLICTS' ELSE 'EXPLAINS_DIFFERENCE' END AS effect FROM
+(SELECT l_fact_id, r_fact_id, 'time' AS dimension, l_period AS fact_a, r_period AS fact_b FROM c UNION ALL SELECT l_fact_id, r_fact_id, 'scope', l_scope, r_scope FROM c UNION ALL SELECT l_fact_id, r_fact_id, 'currency', l_currency, r_currency FROM c
+UNION ALL SELECT l_fact_id, r_fact_id, 'value', l_value, r_value FROM c)""")
 def context_comparison(spark: SparkSession, d: str) -> DataFrame:
-    return rl.context_rows(_paired(spark, d)).where("dimension <> 'value'")
+    return rl.context_rows(_paired(spark, d))
+
+
+@query(f"""WITH {PAIRED} SELECT 'RELATIONSHIP_UNCERTAIN:' || l_fact_id || '|' || r_fact_id AS issue_id, 'RELATIONSHIP_UNCERTAIN' AS issue_type, 'RELATIONSHIP_REASONING' AS stage, 'WARNING' AS severity, l_document_id AS document_id, l_fact_id AS fact_id
+FROM o WHERE skipped IS NULL AND NOT rule AND sure < 0.6""")
+def relationship_issues(spark: SparkSession, d: str) -> DataFrame:
+    """Judgements below the confidence gate, as issues."""
+    return api.relationship_issues(rl.decide(_paired(spark, d)))
+
+
+@query(f"WITH {PAIRED} SELECT l_fact_id, r_fact_id, outcome, decided_confidence AS confidence FROM decided WHERE method = 'REASONER'")
+def reasoner_provider(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs the rule leaves open, judged by the pluggable reasoner (the offline one)."""
+    open_ = rl.decide(_paired(spark, d)).where("method = 'REASONER'")
+    return reason_pairs(open_, OfflineReasoner()).select("l_fact_id", "r_fact_id", "outcome", "confidence")
+
+
+@query(f"""WITH n AS (SELECT canonical_name AS name, lead(canonical_name) OVER (ORDER BY entity_id) AS other FROM entities), g AS (SELECT name, other, {GRAMS.format('name')} AS a, {GRAMS.format('other')} AS b FROM n WHERE other IS NOT NULL)
+SELECT name, other, round(len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))), 6) AS similarity FROM g""")
+def sql_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """The named SQL function on neighbouring entities."""
+    register_functions(spark)
+    table(spark, d, "entities").createOrReplaceTempView("factloom_entities")
+    return spark.sql("""SELECT name, other, round(similarity(name, other), 6) AS similarity
+FROM (SELECT canonical_name AS name, lead(canonical_name) OVER (ORDER BY entity_id) AS other FROM factloom_entities) WHERE other IS NOT NULL""")
+
+
+@query("""WITH v AS (SELECT fact_id, embedding, created_at, lead(embedding) OVER (PARTITION BY fact_id ORDER BY created_at, model) AS other FROM fact_embeddings)
+SELECT fact_id, len(embedding)::INT AS dims, round(1 - list_cosine_similarity(embedding::DOUBLE[], other::DOUBLE[]), 6) AS distance FROM v WHERE len(embedding) = len(other) AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+AND len(list_filter(other, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AND len(list_filter(other, lambda x: x <> 0)) > 0""")
+def sql_cosine_distance(spark: SparkSession, d: str) -> DataFrame:
+    """The named SQL functions on the successive vectors of a fact."""
+    register_functions(spark)
+    table(spark, d, "fact_embeddings").withColumn("usable", usable_vector(F.col("embedding"))).createOrReplaceTempView("factloom_vectors")
+    return spark.sql("""SELECT fact_id, vector_dims(embedding) AS dims, round(cosine_distance(embedding, other), 6) AS distance FROM
+(SELECT fact_id, embedding, usable, lead(embedding) OVER w AS other, lead(usable) OVER w AS other_usable FROM factloom_vectors WINDOW w AS (PARTITION BY fact_id ORDER BY created_at, model))
+WHERE usable AND other_usable AND size(embedding) = size(other)""")

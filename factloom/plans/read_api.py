@@ -149,6 +149,21 @@ def issues(documents: DataFrame, facts: DataFrame, evidence: DataFrame, embeddin
     return out
 
 
+def page_issues(pages: DataFrame) -> DataFrame:
+    """EMPTY_PAGE for each page without text, and OCR_REQUIRED beside it where the page holds images (document_id, page_number, text, n_images)."""
+    blank = F.coalesce(F.length(F.regexp_replace("text", r"[\s\p{Z}]+", "")) == 0, F.lit(True))
+    kinds = F.filter(F.array(F.lit("EMPTY_PAGE"), F.when(F.col("n_images") > 0, "OCR_REQUIRED")), lambda k: k.isNotNull())
+    return pages.where(blank).select("document_id", "page_number", F.explode(kinds).alias("issue_type"), F.lit("PARSING").alias("stage"), F.lit("WARNING").alias("severity"))
+
+
+def relationship_issues(decided: DataFrame, gate: float = 0.60) -> DataFrame:
+    """RELATIONSHIP_UNCERTAIN for each judgement of the reasoner below the gate."""
+    name = "RELATIONSHIP_UNCERTAIN"
+    low = decided.where((F.col("method") == "REASONER") & (F.col("decided_confidence") < gate))
+    return low.select(F.concat(F.lit(name + ":"), "l_fact_id", F.lit("|"), "r_fact_id").alias("issue_id"), F.lit(name).alias("issue_type"), F.lit("RELATIONSHIP_REASONING").alias("stage"),
+                      F.lit("WARNING").alias("severity"), F.col("l_document_id").alias("document_id"), F.col("l_fact_id").alias("fact_id"))
+
+
 def where_issues(rows: DataFrame, document_id: str | None = None, stage: str | None = None, issue_type: str | None = None, severity: str | None = None) -> DataFrame:
     check(stage=stage)
     out = rows

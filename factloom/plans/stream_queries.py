@@ -23,7 +23,9 @@ def events_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"incremental_link_stream": incremental_link_stream, "events_by_hour": events_by_hour}
 ORACLE = {
     "incremental_link_stream": """WITH f AS (SELECT fact_id, document_id, entity_id, predicate_canonical, value_raw, coalesce(normalized_context.time_label, '') AS period FROM facts
-WHERE entity_id IS NOT NULL AND predicate_canonical IS NOT NULL AND normalized_number IS NOT NULL)
-SELECT DISTINCT least(a.fact_id, b.fact_id) AS left_fact_id, greatest(a.fact_id, b.fact_id) AS right_fact_id FROM f a JOIN f b USING (entity_id, predicate_canonical, value_raw, period) WHERE a.document_id <> b.document_id""",
+WHERE entity_id IS NOT NULL AND predicate_canonical IS NOT NULL AND normalized_number IS NOT NULL),
+k AS (SELECT entity_id, predicate_canonical, value_raw, period, count(*) AS total, count(DISTINCT document_id) AS documents, min(fact_id) AS class_id FROM f GROUP BY ALL),
+p AS (SELECT entity_id, predicate_canonical, value_raw, period, document_id, count(*) AS n FROM f GROUP BY ALL)
+SELECT fact_id, class_id, total - n AS n_links FROM f JOIN k USING (entity_id, predicate_canonical, value_raw, period) JOIN p USING (entity_id, predicate_canonical, value_raw, period, document_id) WHERE documents > 1""",
     "events_by_hour": """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom.functions import dates, text as tx, values as vs
-from factloom.operators import chunks as ck, evidence as ev, hints as hn, layout as ly
+from factloom.operators import chunks as ck, evidence as ev, grounded as gr, hints as hn, layout as ly
 from factloom.operators.providers import HashedEmbedding, embed_texts, extract_facts
 from factloom.sources.ingest import first_of_content, latest_delivery
 from factloom.tables import table
@@ -60,7 +60,11 @@ def token_estimates(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def chunk_packing(spark: SparkSession, d: str) -> DataFrame:
-    return ck.chunks_of_single_pages(table(spark, d, "documents").where("text is not null")).drop("text", "page_numbers")
+    """Chunks of documents laid out in pages of twelve paragraphs, with text, pages and overlaps."""
+    paragraphs = table(spark, d, "documents").where("text is not null").select("document_id", F.posexplode(tx.blocks(F.col("text"))).alias("i", "p"))
+    pages = paragraphs.groupBy("document_id", (F.floor(F.col("i") / 12) + 1).cast("int").alias("page_number")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "p"))), lambda x: x["p"]), "\n\n").alias("text"))
+    return ck.chunks(pages).withColumn("page_numbers", F.array_join("page_numbers", ","))
 
 
 @query("""
@@ -189,28 +193,26 @@ def context_labels(spark: SparkSession, d: str) -> DataFrame:
                                            F.coalesce(c["time_label"], q("reportingPeriod"), q("period")).alias("period"), q("sourceNote").alias("source_note"), q("tableNo").alias("table_no"))
 
 
+_COMPARED = r"""SELECT f.fact_id, 'Task: identify facts that describe the same entity property for cross-document comparison.' || E'\nEntity: ' || nullif(trim(coalesce(nullif(trim(e.canonical_name), ''), f.subject_normalized)), '') || E'\nPredicate: ' || nullif(trim(f.predicate_canonical), '')
+|| E'\nValue type: ' || f.value_type || E'\nPeriod: ' || coalesce(nullif(trim(f.normalized_context.time_label), ''), 'unspecified') || E'\nScope: ' || coalesce(nullif(trim(f.normalized_context.scope), ''), 'unspecified') AS comparison_text
+FROM facts f LEFT JOIN entities e USING (entity_id)"""
+
+
 def comparison_texts(spark: SparkSession, d: str) -> DataFrame:
-    c = F.col("normalized_context")
-    lines = [("Entity", F.coalesce("canonical_name", F.trim("subject_normalized"))), ("Predicate", F.trim("predicate_canonical")), ("Value type", F.col("value_type")),
-             ("Period", F.coalesce(F.nullif(F.trim(c["time_label"]), F.lit("")), F.lit("unspecified"))), ("Scope", F.coalesce(F.nullif(F.trim(c["scope"]), F.lit("")), F.lit("unspecified")))]
-    facts = table(spark, d, "facts").where("predicate_canonical is not null").join(table(spark, d, "entities").select("entity_id", "canonical_name"), "entity_id", "left")
-    return facts.select("fact_id", F.concat_ws("\n", *[F.concat(F.lit(f"{n}: "), v) for n, v in lines]).alias("comparison_text"))
+    return gr.comparison_texts(table(spark, d, "facts"), table(spark, d, "entities"))
 
 
-@query(r"""
-SELECT f.fact_id, 'Entity: ' || coalesce(e.canonical_name, trim(f.subject_normalized)) || E'\nPredicate: ' || trim(f.predicate_canonical) || E'\nValue type: ' || f.value_type
-|| E'\nPeriod: ' || coalesce(nullif(trim(f.normalized_context.time_label), ''), 'unspecified') || E'\nScope: ' || coalesce(nullif(trim(f.normalized_context.scope), ''), 'unspecified') AS comparison_text
-FROM facts f LEFT JOIN entities e USING (entity_id) WHERE f.predicate_canonical IS NOT NULL""")
+@query(f"WITH t AS ({_COMPARED}) SELECT fact_id, comparison_text, CASE WHEN comparison_text IS NULL THEN 'EMBEDDING_FAILURE: entity and predicate are needed' END AS error FROM t")
 def fact_comparison_text(spark: SparkSession, d: str) -> DataFrame:
     return comparison_texts(spark, d)
 
 
 @query()
 def offline_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct comparison texts embedded by the offline provider, with the length of each vector."""
-    texts = comparison_texts(spark, d).select("comparison_text").distinct().withColumn("fact_id", F.sha2("comparison_text", 256))
+    """Distinct comparison texts with the vectors of the offline provider."""
+    texts = comparison_texts(spark, d).where("error is null").select("comparison_text").distinct().withColumn("fact_id", F.sha2("comparison_text", 256))
     made = embed_texts(texts, HashedEmbedding(256))
-    return made.select("fact_id", "model", "dimensions", F.size("embedding").alias("size"), "error")
+    return made.select("fact_id", "model", "dimensions", F.size("embedding").alias("size"), F.to_json("embedding").alias("embedding"), "error")
 
 
 @query()
@@ -219,14 +221,41 @@ def offline_extraction(spark: SparkSession, d: str) -> DataFrame:
     return extract_facts(table(spark, d, "documents").where("text is not null"), key="doc_id").drop("error")
 
 
-@query(r"""
-SELECT sha256(concat_ws(E'\x01', document_id, lower(trim(subject_normalized)), coalesce(predicate_canonical, ''), coalesce(normalized_number::VARCHAR, ''), coalesce(unit, ''), coalesce(currency, ''),
-coalesce(normalized_context.time_label, ''), coalesce(normalized_context.scope, ''))) AS signature, min(fact_id) AS fact_id, count(*) AS n FROM facts GROUP BY 1""")
+_LATEST_EVIDENCE = """(SELECT evidence_id, unnest(arg_max({'fact_id': fact_id, 'page_number': page_number, 'quote': quote, 'start_char': start_char, 'end_char': end_char, 'created_at': created_at,
+'verification_method': verification_method, 'verification_score': verification_score}, (ingested_at, fact_id))) FROM evidence GROUP BY evidence_id)"""
+
+
+@query(rf"""
+WITH p AS (SELECT fact_id, list(json_object('endChar', end_char, 'pageNumber', page_number, 'quote', quote, 'startChar', start_char) ORDER BY page_number NULLS FIRST, start_char NULLS FIRST, end_char NULLS FIRST, quote NULLS FIRST) AS places
+FROM {_LATEST_EVIDENCE} GROUP BY 1),
+s AS (SELECT f.fact_id, f.document_id, sha256(json_object('context', json_object('basis', normalized_context.basis, 'geography', normalized_context.geography, 'scope', normalized_context.scope, 'time', normalized_context.time_label),
+ 'documentId', f.document_id, 'evidence', coalesce(places, []), 'predicate', predicate_canonical, 'subject', subject_normalized, 'value', json_object('currency', currency, 'number', normalized_number::VARCHAR,
+ 'text', CASE WHEN normalized_number IS NULL AND value_type NOT IN ('MONEY', 'PERCENTAGE', 'NUMBER', 'QUANTITY') THEN lower(regexp_replace(trim(value_raw), '\s+', ' ', 'g')) END, 'unit', unit))::VARCHAR) AS signature
+FROM facts f LEFT JOIN p USING (fact_id))
+SELECT signature, min(fact_id) AS fact_id, count(*) AS n FROM s GROUP BY 1""")
 def fact_signature_dedup(spark: SparkSession, d: str) -> DataFrame:
-    c, empty = F.col("normalized_context"), F.lit("")
-    sign = F.sha2(F.concat_ws("\x01", "document_id", F.lower(F.trim("subject_normalized")), F.coalesce("predicate_canonical", empty), F.coalesce(F.col("normalized_number").cast("string"), empty),
-                              F.coalesce("unit", empty), F.coalesce("currency", empty), F.coalesce(c["time_label"], empty), F.coalesce(c["scope"], empty)), 256)
-    return table(spark, d, "facts").groupBy(sign.alias("signature")).agg(F.min("fact_id").alias("fact_id"), F.count(F.lit(1)).alias("n"))
+    """One fact for each signature: document, subject, predicate, value, context and evidence agree."""
+    signed = gr.stored_signatures(table(spark, d, "facts"), table(spark, d, "evidence"))
+    return signed.groupBy("signature").agg(F.min("fact_id").alias("fact_id"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT fact_id, count(*) AS n_evidence, list({{'page_number': page_number, 'evidence_id': evidence_id, 'quote': quote}} ORDER BY page_number NULLS FIRST, created_at NULLS FIRST, evidence_id)::JSON::VARCHAR AS evidence
+FROM {_LATEST_EVIDENCE} GROUP BY 1""")
+def fact_evidence_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The nested evidence of each fact's detail view, as JSON."""
+    lists = gr.evidence_lists(table(spark, d, "evidence"))
+    shown = F.transform("evidence", lambda e: F.struct(e["page_number"].alias("page_number"), e["evidence_id"].alias("evidence_id"), e["quote"].alias("quote")))
+    return lists.select("fact_id", "n_evidence", F.to_json(shown, {"ignoreNullFields": "false"}).alias("evidence"))
+
+
+@query(f"SELECT evidence_id, fact_id, page_number FROM {_LATEST_EVIDENCE} WHERE verification_score = (SELECT max(verification_score) FROM evidence)")
+def linked_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Links to the surest evidence, resolved inside the nested lists."""
+    e = table(spark, d, "evidence")
+    details = gr.evidence_lists(e)
+    best = F.broadcast(e.agg(F.max("verification_score").alias("verification_score")))
+    wanted = details.select(F.explode("evidence").alias("e")).select("e.evidence_id", "e.verification_score").join(best, "verification_score")
+    return gr.linked_evidence(details, wanted)
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -257,10 +286,10 @@ def line_assembly_offsets(spark: SparkSession, d: str) -> DataFrame:
     return _placed(spark, d).select("page_key", "line_number", "text", "start_char", "end_char")
 
 
-@query(f"""WITH {_ITEMS} SELECT page_key, count(*)::INT AS n_items, max(end_char)::INT AS n_chars FROM o GROUP BY 1""")
+@query(f"""WITH {_ITEMS} SELECT page_key, count(*)::INT AS n_items, string_agg((CASE sep WHEN 0 THEN '' WHEN 1 THEN CASE WHEN pl <> line_number THEN E'\\n' ELSE ' ' END ELSE E'\\n\\n' END) || text, '' ORDER BY line_number, x, text) AS text FROM o GROUP BY 1""")
 def page_assembly(spark: SparkSession, d: str) -> DataFrame:
     """Pages assembled item by item, as the reader of files does it."""
-    return ly.assemble_pages(_items(spark, d)).select("page_key", "n_items", F.length("text").alias("n_chars"))
+    return ly.assemble_pages(_items(spark, d)).select("page_key", "n_items", "text")
 
 
 @query(f"""WITH {_ITEMS}, e AS (SELECT page_key, 5 AS a, 30 AS b FROM o GROUP BY 1)

@@ -7,7 +7,9 @@ or where the result (not the speed) depends on them.
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -50,18 +52,40 @@ def apply_semantics(spark: SparkSession) -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (tests) one of our own."""
+    """The folder all executors share: spark.checkpoint.dir; only a local session gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="factloom-scratch-")
+        atexit.register(shutil.rmtree, found[len("file://"):], ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Scratch folders of this process that are still there.
+_LIVE: set[tuple[SparkSession, str]] = set()
+
+
+def release(spark: SparkSession | None = None) -> int:
+    """Removes the scratch folders of ``spark`` (of all sessions, if none is given); frames read from them are lost.
+
+    Runs by itself when the process ends, so that no job leaves tables behind.
+    """
+    mine = [x for x in _LIVE if spark is None or x[0] is spark]
+    for session, path in mine:
+        _LIVE.discard((session, path))
+        try:
+            remove(session, path)
+        except Exception:  # the session is gone and its file system with it
+            pass
+    return len(mine)
+
+
 class Scratch:
     """Tables written to the shared folder in order to cut lineage.
 
@@ -74,6 +98,10 @@ class Scratch:
         self.base = f"{scratch_root(spark).rstrip('/')}/factloom-{name}-{uuid.uuid4().hex[:12]}"
         self.paths: dict[int, str] = {}
         self.count = 0
+        if not _LIVE:
+            atexit.unregister(release)
+            atexit.register(release)
+        _LIVE.add((spark, self.base))
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/t{self.count}"
@@ -97,3 +125,8 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factloom.session import Scratch
+from factloom.operators.skew import hot_join
+from factloom.session import Scratch, exists
 
 
 def drain(spark: SparkSession, path: str, schema, handle: Callable[[DataFrame, int], None], checkpoint: str, file_format: str = "parquet", max_files: int = 1) -> int:
@@ -29,41 +30,56 @@ def batch_writer(target: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def link_new(new: DataFrame, stored: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of new facts with facts of other documents under the same keys, without the pairs that are known.
+def class_parts(new: DataFrame, keys: list[str]) -> DataFrame:
+    """What a batch adds to the classes of equal keys: for each key and document the number of facts and the least id."""
+    return new.groupBy(*keys, "document_id").agg(F.count(F.lit(1)).alias("n"), F.min("fact_id").alias("first"))
 
-    New facts meet stored ones and each other once; the smaller id stands left.
+
+def classes(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, document_id, n, class_id, n_links): keys found in two documents or more; n facts of the document link with n_links others."""
+    merged = parts.groupBy(*keys, "document_id").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    whole = merged.groupBy(*keys).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("documents"), F.min("first").alias("class_id")).where("documents > 1")
+    return merged.join(whole, keys).select(*keys, "document_id", "n", "class_id", (F.col("total") - F.col("n")).alias("n_links"))
+
+
+def link_writer(spark: SparkSession, target: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """Stores the facts of a batch and what it adds to the classes, each in the batch's own folder.
+
+    Nothing written depends on other batches, and a batch that runs again replaces what it wrote: whatever
+    was cut short, the merged classes are those of every fact once.
+    """
+    facts, parts = batch_writer(f"{target}/facts"), batch_writer(f"{target}/parts")
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        rows = df.select("fact_id", "document_id", *keys)
+        facts(rows, batch_id)
+        parts(class_parts(rows, keys), batch_id)
+
+    return write
+
+
+def linked_facts(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
+    """(fact_id, class_id, n_links) of all facts so far that share their keys with facts of other documents.
+
+    One row for each fact in place of all pairs: class_id is the smallest fact of the class, n_links the
+    number of its facts in other documents.
     """
-    a = new.select(*keys, F.col("fact_id").alias("f1"), F.col("document_id").alias("d1"))
-    b = stored.select("fact_id", "document_id", *keys).unionByName(new.select("fact_id", "document_id", *keys)).select(*keys, F.col("fact_id").alias("f2"), F.col("document_id").alias("d2"))
-    met = a.join(b, keys).where("d1 <> d2").select(F.least("f1", "f2").alias("left_fact_id"), F.greatest("f1", "f2").alias("right_fact_id")).distinct()
-    return met.join(known.select("left_fact_id", "right_fact_id"), ["left_fact_id", "right_fact_id"], "left_anti")
+    if not exists(spark, f"{target}/facts"):
+        return spark.createDataFrame([], "fact_id string, class_id string, n_links bigint")
+    facts, parts = spark.read.parquet(f"{target}/facts"), spark.read.parquet(f"{target}/parts")
+    return hot_join(facts, classes(parts, keys), [*keys, "document_id"], "n", facts.count()).select("fact_id", "class_id", "n_links")
 
 
 def run_incremental_links(spark: SparkSession, facts: DataFrame, batches: int, keys: list[str]) -> DataFrame:
-    """Facts arrive in batches through a file stream; each batch is linked with all that came before."""
+    """Facts arrive as files of a queue, about ``batches`` micro-batches of them; each adds to the classes of all before."""
     scratch = Scratch(spark, "stream")
-    source, linked, seen = f"{scratch.base}/in", f"{scratch.base}/links", f"{scratch.base}/facts"
+    source, target = f"{scratch.base}/in", f"{scratch.base}/links"
     rows = facts.select("fact_id", "document_id", *keys)
-    for k in range(batches):
-        rows.where(F.pmod(F.xxhash64("document_id"), F.lit(batches)) == k).coalesce(1).write.mode("append").parquet(source)
-    links_schema = "left_fact_id string, right_fact_id string"
-
-    def stored(path: str, schema) -> DataFrame:
-        try:
-            return spark.read.schema(schema).parquet(path)
-        except Exception:
-            return spark.createDataFrame([], schema)
-
-    def handle(df: DataFrame, batch_id: int) -> None:
-        df = df.select(*rows.columns)
-        before = stored(seen, rows.schema)
-        known = stored(linked, links_schema)
-        link_new(df, before, known, keys).write.mode("overwrite").parquet(f"{linked}/batch={batch_id}")
-        df.write.mode("overwrite").parquet(f"{seen}/batch={batch_id}")
-
-    drain(spark, source, rows.schema, handle, f"{scratch.base}/offsets")
-    return spark.read.schema(links_schema).parquet(linked).select("left_fact_id", "right_fact_id")
+    arrival = F.pmod(F.xxhash64("document_id"), F.lit(batches)).cast("int")
+    rows.withColumn("arrival", arrival).write.partitionBy("arrival").parquet(source)
+    files = len(spark.read.schema(rows.schema).parquet(source).inputFiles())
+    drain(spark, source, rows.schema, link_writer(spark, target, keys), f"{scratch.base}/offsets", max_files=max(1, -(-files // batches)))
+    return linked_facts(spark, target, keys)
 
 
 def windowed_counts(events: DataFrame, length: str = "1 hour", late: str = "2 hours", time: str = "ts") -> DataFrame:

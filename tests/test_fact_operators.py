@@ -9,7 +9,7 @@ from factloom.operators import candidates as cd, entities as en, relationships a
 from factloom.operators.providers import HashedEmbedding, TemplateExtraction, TransientError, embed_texts, with_retries
 from factloom.operators.skew import hot_join
 from factloom.plans import read_api as api
-from factloom.streaming.incremental import link_new
+from factloom.streaming import incremental as inc
 
 FACT = ("fact_id string, document_id string, entity_id string, subject_raw string, subject_type string, subject_normalized string, predicate_raw string, predicate_canonical string, value_raw string, value_type string, "
         "normalized_number double, unit string, currency string, qualifiers string, normalized_context struct<time_label: string, geography: string, scope: string, basis: string>, confidence double, created_at timestamp")
@@ -38,6 +38,8 @@ def decide(spark, a, b):
     ({"normalized_number": 5.0, "normalized_context": context("H1 FY2025")}, {"normalized_number": 10.0, "normalized_context": context("FY2025")}, "RECONCILABLE", "REASONER"),
     ({"normalized_number": 5.0, "currency": "USD"}, {"normalized_number": 5.0, "currency": "EUR"}, "UNCERTAIN", "REASONER"),
     ({"normalized_number": 5.0, "normalized_context": context(scope="india")}, {"normalized_number": 9.0, "normalized_context": context(scope="global")}, "RECONCILABLE", "REASONER"),
+    ({"value_type": "STATUS", "value_raw": "In  Force"}, {"value_type": "STATUS", "value_raw": "in force"}, "CORROBORATES", "RULE"), ({"value_type": "STATUS", "value_raw": "in force"}, {"value_type": "STATUS", "value_raw": "lapsed"}, "CONTRADICTS", "REASONER"),
+    ({"normalized_number": 5.0, "normalized_context": context("FY2024")}, {"normalized_number": 5.0, "qualifiers": '{"period":"FY2024"}'}, "CORROBORATES", "REASONER"),
     ({"normalized_number": 5.0}, {}, "UNCERTAIN", "REASONER"), ({"entity_id": "x", "subject_normalized": "other", "normalized_number": 5.0}, {"normalized_number": 5.0}, None, None),
     ({"normalized_number": 5.0, "document_id": "d2"}, {"normalized_number": 5.0}, None, None), ({"normalized_number": 5.0, "predicate_canonical": "employee_count"}, {"normalized_number": 5.0}, None, None),
 ])
@@ -139,9 +141,115 @@ def test_providers(spark):
     assert all(made[k]["embedding"] is None and made[k]["error"].startswith("EMBEDDING_FAILURE") for k in ("f2", "f3", "f4"))
 
 
-def test_incremental_links(spark):
-    shape = "fact_id string, document_id string, k string"
-    old = spark.createDataFrame([("a", "d1", "x"), ("b", "d2", "x"), ("z", "d1", "y")], shape)
-    new = spark.createDataFrame([("c", "d3", "x"), ("d", "d1", "x")], shape)
-    known = spark.createDataFrame([("a", "c")], "left_fact_id string, right_fact_id string")
-    assert sorted(map(tuple, link_new(new, old, known, ["k"]).collect())) == [("b", "c"), ("b", "d"), ("c", "d")]
+def test_replayed_batches_lose_no_links(spark, tmp_path):
+    """A batch that is cut short anywhere and runs again leaves the classes as if nothing had happened."""
+    rows = [("a", "d1", "k"), ("b", "d1", "k"), ("c", "d2", "k"), ("d", "d3", "z"), ("e", "d3", "z"), ("f", "d4", "q")]
+    f = spark.createDataFrame(rows, "fact_id string, document_id string, key string")
+    want = [("a", "a", 1), ("b", "a", 1), ("c", "a", 2)]
+    plain, cut = f"{tmp_path}/plain", f"{tmp_path}/cut"
+    assert inc.linked_facts(spark, plain, ["key"]).count() == 0
+    for target in (plain, cut):
+        write = inc.link_writer(spark, target, ["key"])
+        for batch, ids in enumerate((["a", "d"], ["b", "c"], ["e", "f"])):
+            mine = f.where(f.fact_id.isin(ids))
+            if target == cut:
+                inc.batch_writer(f"{target}/facts")(mine, batch)  # the run dies after the first of its two tables
+                write(mine, batch)
+            write(mine, batch)
+    for target in (plain, cut):
+        assert sorted(tuple(r) for r in inc.linked_facts(spark, target, ["key"]).collect()) == want
+
+
+def test_a_killed_stream_resumes(spark, tmp_path):
+    f = spark.createDataFrame([(f"f{i}", f"d{i % 5}", "k") for i in range(20)], "fact_id string, document_id string, key string")
+    f.repartition(4).write.parquet(f"{tmp_path}/in")
+    write, seen = inc.link_writer(spark, f"{tmp_path}/out", ["key"]), []
+
+    def dies_once(df, batch_id):
+        write(df, batch_id)
+        seen.append(batch_id)
+        if len(seen) == 2:
+            raise RuntimeError("killed")
+
+    with pytest.raises(Exception):
+        inc.drain(spark, f"{tmp_path}/in", f.schema, dies_once, f"{tmp_path}/offsets")
+    inc.drain(spark, f"{tmp_path}/in", f.schema, dies_once, f"{tmp_path}/offsets")
+    assert seen.count(1) == 2
+    got = inc.linked_facts(spark, f"{tmp_path}/out", ["key"]).collect()
+    assert len(got) == 20 and {(r["class_id"], r["n_links"]) for r in got} == {("f0", 16)}
+
+
+
+def test_grounded_facts(spark):
+    from factloom.operators import grounded as gr
+
+    shape = ("fact_id string, document_id string, subject string, predicate string, value string, value_type string, context struct<time_label: string, scope: string, status_as_of: string>, "
+             "evidence array<struct<page: int, quote: string>>, qualifiers array<struct<name: string, value: string>>")
+    one = ("f1", "d", "  Ａcme  Corp ", "PIN code reach", "31 March 2024", "DATE", ("q1 2025", " Group ", "2024-3-1"), [(2, "b"), (1, "a")], [(" no ", "1"), ("no", "2"), (None, "x")])
+    two = ("f2", "d", "acme corp", "pincode_reach", "31 march 2024", "DATE", ("Q1 FY2025", "group", "1 March 2024"), [(1, "a"), (2, "b")], None)
+    other = ("f3", "d", "acme corp", "pincode_reach", "32 march 2024", "DATE", (None, None, None), None, [])
+    rows = spark.createDataFrame([one, two, other], shape)
+    got = {r["fact_id"]: r for r in gr.normalize_facts(rows).collect()}
+    assert got["f1"]["subject_normalized"] == "acme corp" and got["f1"]["predicate_canonical"] == "postal_code_reach"
+    assert str(got["f1"]["normalized_value"]["date"]) == "2024-03-31" and got["f1"]["normalized_value"]["text"] is None and got["f3"]["normalized_value"]["text"] == "32 march 2024"
+    c = got["f1"]["normalized_context"]
+    assert (c["time"]["kind"], c["time"]["label"], c["scope"], c["geography"], c["status_as_of"]) == ("QUARTER", "Q1 FY2025", "group", None, "2024-03-01")
+    assert got["f1"]["fact_signature"] == got["f2"]["fact_signature"] != got["f3"]["fact_signature"]
+    assert [tuple(r) for r in gr.qualifier_maps(rows).collect()] == [("f1", {"no": "2"})]
+
+
+def test_comparison_texts_and_issues(spark):
+    from factloom.operators import grounded as gr
+
+    f = facts(spark, [{"fact_id": "a", "document_id": "d", "entity_id": "e", "normalized_context": context("FY2024", scope=" ")}, {"fact_id": "b", "document_id": "d", "predicate_canonical": None}, {"fact_id": "c", "document_id": "d", "subject_normalized": " ", "entity_id": "gone"}])
+    e = spark.createDataFrame([("e", " Acme Group ")], "entity_id string, canonical_name string")
+    got = {r["fact_id"]: r for r in gr.comparison_texts(f, e).collect()}
+    assert got["a"]["comparison_text"].split("\n")[1:] == ["Entity: Acme Group", "Predicate: revenue", "Value type: MONEY", "Period: FY2024", "Scope: unspecified"] and got["a"]["error"] is None
+    assert all(got[k]["comparison_text"] is None and got[k]["error"].startswith("EMBEDDING_FAILURE") for k in "bc")
+    pages = spark.createDataFrame([("d", 1, "  ", 2), ("d", 2, None, 0), ("d", 3, "x", 5)], "document_id string, page_number int, text string, n_images int")
+    assert sorted((r["page_number"], r["issue_type"]) for r in api.page_issues(pages).collect()) == [(1, "EMPTY_PAGE"), (1, "OCR_REQUIRED"), (2, "EMPTY_PAGE")]
+
+
+def test_reasoning_provider(spark):
+    from factloom.operators.providers import OfflineReasoner, reason_pairs
+
+    class Failing(OfflineReasoner):
+        def reason(self, pair):
+            if pair["r_number"] == 7.0:
+                raise ValueError("no answer")
+            return super().reason(pair)
+
+    f = facts(spark, [{"fact_id": f"f{i}", "document_id": f"d{i}", "entity_id": "e", "normalized_number": n, "currency": c} for i, (n, c) in enumerate([(5.0, "USD"), (5.01, "USD"), (7.0, "USD"), (9.0, "EUR"), (None, "USD")])])
+    pairs = rl.paired(spark.createDataFrame([("f0", f"f{i}") for i in range(1, 5)], "left_fact_id string, right_fact_id string"), f)
+    got = {r["r_fact_id"]: (r["outcome"], r["error"]) for r in reason_pairs(pairs, Failing(), concurrency=2).collect()}
+    assert got == {"f1": ("CORROBORATES", None), "f2": (None, "RELATIONSHIP_REASONING_FAILURE: no answer"), "f3": ("UNCERTAIN", None), "f4": ("UNCERTAIN", None)}
+
+
+def test_names_join_what_came_before(spark):
+    """The rounds of joins decide as a pass over the names in order would."""
+    import random
+
+    rng = random.Random(5)
+    names = [f"n{i:02d}" for i in range(40)]
+    sims = {}
+    for a in range(40):
+        for b in range(a):
+            if rng.random() < 0.08:
+                sims[names[a], names[b]] = sims[names[b], names[a]] = round(0.85 + rng.random() * 0.14, 3)
+    old = {n: (f"old{n}", round(0.85 + rng.random() * 0.14, 3)) for n in names if rng.random() < 0.2}
+    order = sorted(names, key=lambda n: (hash(n) % 7, n))
+    at = {n: i for i, n in enumerate(order)}
+    place = {}
+    for n in order:
+        best = old.get(n, (None, 0.0))
+        for m in order[:at[n]]:
+            if (n, m) in sims and sims[n, m] > best[1]:
+                best = (place[m], sims[n, m])
+        place[n] = best[0] or "new"
+        if place[n] == "new":
+            place[n] = f"new of {n}"
+    f = spark.createDataFrame([(n, "T", at[n], *old.get(n, (None, None))) for n in names], "name string, type string, first_at int, entity_id string, similarity double")
+    e = spark.createDataFrame([(a, b, "T", s) for (a, b), s in sims.items()], "name string, key string, type string, similarity double")
+    got = {r["name"]: r["entity_id"] for r in en.place_in_order(f, e).collect()}
+    heads = {got[n]: f"new of {n}" for n in names if place[n] == f"new of {n}"}
+    assert {n: heads.get(x, x) for n, x in got.items()} == place
