@@ -15,9 +15,7 @@ from pyspark.sql import types as T
 
 from factloom.functions import quantities as Q
 
-KIND_OF_TYPE = {"MONEY": "money", "PERCENTAGE": "pct", "DURATION": "time"}
 NUMBER = r"\d(?:[\d.,]*\d)?"
-MARK = "#"
 
 
 def _number(text: Column, comma_notation: Column) -> Column:
@@ -168,105 +166,123 @@ def unify_units(facts: DataFrame, factors: DataFrame, id_col: str = "fact_id") -
 # --- units that nobody states -------------------------------------------------------------------
 
 BIN = 0.05  # width of a bin of log10
-LOW, HIGH = -9.0, 18.0
+LOW, HIGH = -12.0, 38.0  # all that DECIMAL(38,12) can hold
 BINS = int(round((HIGH - LOW) / BIN))
+ZERO = -1  # the bin of zero, which has no logarithm
+ENOUGH = 50  # stated amounts a group needs for a mixture of its own
+CENTRES = LOW + (np.arange(BINS) + 0.5) * BIN
 
 
 def _bin(c: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.log10(c) - LOW) / BIN).cast("int")))
+    return F.when(c == 0, ZERO).otherwise(F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.log10(F.abs(c)) - LOW) / BIN).cast("int"))))
 
 
-def fit_mixture(stated: np.ndarray, missing: np.ndarray, offsets: np.ndarray, prior: np.ndarray,
-                components: int = 4, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """Fit on histograms of log10 amounts; returns weights of the units and log density of amounts.
-
-    stated: histogram of amounts in the common unit. missing: histogram of bare numbers. The bare
-    numbers follow a mixture whose component u is the density of amounts shifted by -offsets[u].
-    The density is a Gaussian mixture with means on the stated quantiles, fitted by EM.
-    """
-    x = LOW + (np.arange(BINS) + 0.5) * BIN
-    w = stated + 1e-9
-    cum = np.cumsum(w) / w.sum()
-    mu = np.interp((np.arange(components) + 0.5) / components, cum, x)
-    sd = np.full(components, max(0.3, math.sqrt(np.average((x - np.average(x, weights=w)) ** 2, weights=w)) / 2))
+def fit_density(histogram: np.ndarray, components: int = 4, rounds: int = 60):
+    """Log density of log10 amounts: a Gaussian mixture fitted to a histogram by EM, its means from the quantiles."""
+    w = histogram + 1e-9
+    mean = np.average(CENTRES, weights=w)
+    mu = np.interp((np.arange(components) + 0.5) / components, np.cumsum(w) / w.sum(), CENTRES)
+    sd = np.full(components, max(0.3, math.sqrt(np.average((CENTRES - mean) ** 2, weights=w)) / 2))
     pi = np.full(components, 1 / components)
     for _ in range(rounds):
-        d = np.log(pi) - np.log(sd) - (x[:, None] - mu) ** 2 / (2 * sd**2)
+        d = np.log(pi) - np.log(sd) - (CENTRES[:, None] - mu) ** 2 / (2 * sd**2)
         r = np.exp(d - d.max(1, keepdims=True))
         r = r / r.sum(1, keepdims=True) * w[:, None]
         n = r.sum(0) + 1e-9
-        pi, mu = n / n.sum(), (r * x[:, None]).sum(0) / n
-        sd = np.sqrt((r * (x[:, None] - mu) ** 2).sum(0) / n + 0.02)
+        pi, mu = n / n.sum(), (r * CENTRES[:, None]).sum(0) / n
+        sd = np.sqrt((r * (CENTRES[:, None] - mu) ** 2).sum(0) / n + 0.02)
 
     def density(y: np.ndarray) -> np.ndarray:
         d = np.log(pi) - np.log(sd * math.sqrt(2 * math.pi)) - (y[..., None] - mu) ** 2 / (2 * sd**2)
         m = d.max(-1)
         return m + np.log(np.exp(d - m[..., None]).sum(-1))
 
-    like = density(x[:, None] + offsets)
+    return density
+
+
+def fit_weights(like: np.ndarray, missing: np.ndarray, prior: np.ndarray, strength: float = 5.0, rounds: int = 60) -> np.ndarray:
+    """Weights of all components of one mixture, of whatever kind, for a histogram of bare numbers."""
     weights = prior.copy()
     for _ in range(rounds):
-        post = np.log(weights + 1e-12) + like
-        post = np.exp(post - post.max(1, keepdims=True))
-        post /= post.sum(1, keepdims=True)
-        weights = (post * missing[:, None]).sum(0) + prior * 5
+        post = posterior(like, weights)
+        weights = (post * missing[:, None]).sum(0) + prior * strength
         weights /= weights.sum()
-    return weights, like
+    return weights
+
+
+def posterior(like: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    d = np.log(weights + 1e-12) + like
+    d = np.exp(d - d.max(1, keepdims=True))
+    return d / d.sum(1, keepdims=True)
+
+
+def _mixture(seen: dict[str, np.ndarray], units: dict[str, float], gap: np.ndarray, zeros: float, kinds: dict[str, dict]) -> list[tuple[int, str, float]]:
+    """(bin, unit, posterior): one mixture over the units of all kinds seen; zeros go by its weights."""
+    codes = [c for c, k in kinds.items() if k["unit_kind"] in seen]
+    like = np.empty((BINS, len(codes)))
+    for kind, histogram in seen.items():
+        density = fit_density(histogram)
+        for j, c in enumerate(codes):
+            if kinds[c]["unit_kind"] == kind:  # a bare number x means the amount x times the factor
+                like[:, j] = density(CENTRES + math.log10(kinds[c]["factor"]))
+    prior = np.array([units.get(c, 0.0) + 0.5 for c in codes])
+    weights = fit_weights(like, gap, prior / prior.sum())
+    post = posterior(like, weights)
+    best, likeliest = post.argmax(1), int(weights.argmax())
+    return [(i, codes[j], float(post[i, j])) for i, j in enumerate(best)] + [(ZERO, codes[likeliest], float(weights[likeliest]))]
 
 
-def infer_units(amounts: DataFrame, factors: DataFrame, sure: float = 0.9) -> DataFrame:
+def infer_units(amounts: DataFrame, factors: DataFrame, sure: float = 0.9, group: str | None = None) -> DataFrame:
     """Units by posterior for the facts of ``unify_units`` whose status is unit_missing.
 
-    One mixture for each unit kind of the fact's value type: the histogram of stated amounts
-    (bounded: kinds x bins) gives the density of amounts, known factors the offsets of the
-    components; weights are fitted on the histogram of bare numbers. Kind and unit with the
-    highest posterior are assigned; ``certain`` is false below ``sure``. Zero has no logarithm: such
-    rows get the likeliest unit by prior and certain = false. Without any stated amount of the
-    value type nothing is assigned (unit null). Only histograms reach the driver.
+    Bare numbers of one value type (and one ``group``, a column with a bounded number of values, where
+    ENOUGH amounts are stated) follow one mixture. Its components are all units of all kinds stated
+    there: the density of a kind's amounts, shifted by the unit's factor; weights are fitted
+    jointly. The unit of the highest posterior is assigned; ``certain`` is false below ``sure``. Zero has no
+    logarithm: such rows get the likeliest unit by weight and certain = false. Without any stated
+    amount of the value type nothing is assigned (unit null). Only histograms reach the driver.
     """
     spark = amounts.sparkSession
     kinds = {r["unit_code"]: r.asDict() for r in factors.select("unit_kind", "unit_code", "common_unit", "factor").collect()}
-    usable = amounts.where(F.col("number").isNotNull())
-    stated = usable.where((F.col("status") == "stated") & (F.col("amount") != 0)).groupBy(
-        "value_type", "unit_kind", "unit_code", _bin(F.abs("amount")).alias("bin")).count()
-    missing = usable.where((F.col("status") == "unit_missing") & (F.col("number") != 0)).groupBy(
-        "value_type", F.lit(None).cast("string").alias("unit_kind"), F.lit(None).cast("string").alias("unit_code"),
-        _bin(F.abs("number")).alias("bin")).count()
-    seen: dict[tuple, np.ndarray] = {}
-    gaps: dict[str, np.ndarray] = {}
-    units: dict[tuple, float] = {}
-    for r in stated.unionByName(missing).collect():  # at most (kinds + types) x BINS rows
-        if r["unit_kind"] is None:
-            gaps.setdefault(r["value_type"], np.zeros(BINS))[r["bin"]] += r["count"]
-        else:
-            seen.setdefault((r["value_type"], r["unit_kind"]), np.zeros(BINS))[r["bin"]] += r["count"]
-            key = (r["value_type"], r["unit_kind"], r["unit_code"])
-            units[key] = units.get(key, 0) + r["count"]
+    grouped = amounts.withColumn("grp", F.coalesce(F.col(group).cast("string"), F.lit("")) if group else F.lit(""))
+    usable = grouped.where(F.col("number").isNotNull())
+    none = F.lit(None).cast("string")
+    stated = usable.where((F.col("status") == "stated") & (F.col("amount") != 0)).groupBy("value_type", "grp", "unit_kind", "unit_code", _bin(F.col("amount")).alias("bin")).count()
+    missing = usable.where(F.col("status") == "unit_missing").groupBy("value_type", "grp", none.alias("unit_kind"), none.alias("unit_code"), _bin(F.col("number")).alias("bin")).count()
+    seen: dict[tuple, dict[str, np.ndarray]] = {}
+    units: dict[tuple, dict[str, float]] = {}
+    gaps: dict[tuple, np.ndarray] = {}
+    for r in stated.unionByName(missing).collect():  # at most (kinds + 1) x groups x BINS rows
+        for key in {(r["value_type"], r["grp"]), (r["value_type"], "")}:
+            if r["unit_kind"] is None:
+                gaps.setdefault(key, np.zeros(BINS + 1))[r["bin"]] += r["count"]  # the last one is ZERO
+            else:
+                seen.setdefault(key, {}).setdefault(r["unit_kind"], np.zeros(BINS))[r["bin"]] += r["count"]
+                own = units.setdefault(key, {})
+                own[r["unit_code"]] = own.get(r["unit_code"], 0.0) + r["count"]
     rows = []
-    for vt, gap in gaps.items():
-        columns, codes = [], []
-        for (t, kind), hist in seen.items():
-            if t != vt:
-                continue
-            own = [c for c, k in kinds.items() if k["unit_kind"] == kind]
-            offsets = np.array([math.log10(kinds[c]["factor"]) for c in own])
-            prior = np.array([units.get((vt, kind, c), 0) + 0.5 for c in own])
-            weights, like = fit_mixture(hist, gap, offsets, prior / prior.sum())
-            columns.append(np.log(weights + 1e-12) + like + math.log(hist.sum()))
-            codes += own
-        if not columns:
-            continue
-        post = np.concatenate(columns, axis=1)
-        post = np.exp(post - post.max(1, keepdims=True))
-        post /= post.sum(1, keepdims=True)
-        best = post.argmax(1)
-        rows += [(vt, i, kinds[codes[j]]["unit_kind"], codes[j], kinds[codes[j]]["common_unit"],
-                  float(kinds[codes[j]]["factor"]), float(post[i, j])) for i, j in enumerate(best)]
-    table = spark.createDataFrame(rows, "value_type string, bin int, unit_kind string, unit_code string, common_unit string, factor double, posterior double")
-    lost = amounts.where(F.col("status") == "unit_missing").select(
-        "fact_id", "value_type", "number",
-        F.when(F.col("number") != 0, _bin(F.abs("number"))).otherwise(F.lit(BINS // 3)).alias("bin"))
-    return lost.join(F.broadcast(table), ["value_type", "bin"], "left").select(
-        "fact_id", "value_type", "number", "unit_kind", "unit_code", "common_unit",
-        F.round(F.col("number") * F.col("factor")).cast("bigint").alias("common_amount"), "posterior",
-        F.coalesce((F.col("posterior") >= sure) & (F.col("number") != 0), F.lit(False)).alias("certain"))
+    for key, gap in gaps.items():
+        if key in seen and (key[1] == "" or sum(units[key].values()) >= ENOUGH):
+            for i, code, p in _mixture(seen[key], units[key], gap[:BINS], gap[ZERO], kinds):
+                k = kinds[code]
+                rows.append((*key, i, k["unit_kind"], code, k["common_unit"], float(k["factor"]), p))
+    shape = "value_type string, grp string, bin int, unit_kind string, unit_code string, common_unit string, factor double, posterior double"
+    table = spark.createDataFrame(rows, shape)
+    hit = F.struct("unit_kind", "unit_code", "common_unit", "factor", "posterior")
+    fine = table.select("value_type", "grp", "bin", hit.alias("fine"))
+    coarse = table.where("grp = ''").select("value_type", "bin", hit.alias("coarse"))
+    lost = grouped.where(F.col("status") == "unit_missing").select("fact_id", "value_type", "grp", "number", _bin(F.col("number")).alias("bin"))
+    told = lost.join(F.broadcast(fine), ["value_type", "grp", "bin"], "left").join(F.broadcast(coarse), ["value_type", "bin"], "left").withColumn("x", F.coalesce("fine", "coarse"))
+    return told.select(
+        "fact_id", "value_type", "number", F.col("x.unit_kind").alias("unit_kind"), F.col("x.unit_code").alias("unit_code"), F.col("x.common_unit").alias("common_unit"),
+        F.round(F.col("number") * F.col("x.factor")).cast("bigint").alias("common_amount"), F.col("x.posterior").alias("posterior"),
+        F.coalesce((F.col("x.posterior") >= sure) & (F.col("number") != 0), F.lit(False)).alias("certain"))
+
+
+def hide_units(amounts: DataFrame, one_in: int = 4) -> DataFrame:
+    """Stated amounts as if one in so many had no unit: what ``infer_units`` is measured by. Adds ``true_code``."""
+    hidden = (F.col("status") == "stated") & (F.pmod(F.xxhash64("fact_id", F.lit(5)), F.lit(one_in)) == 0)
+    drop = lambda c: F.when(~hidden, F.col(c)).alias(c)
+    blank = {"unit_kind", "unit_code", "common_unit", "amount", "common_amount"}
+    kept = [drop(c) if c in blank else F.col(c) for c in amounts.columns if c != "status"]
+    return amounts.select(*kept, F.when(hidden, "unit_missing").otherwise(F.col("status")).alias("status"), F.when(hidden, F.col("unit_code")).alias("true_code"))

@@ -1,8 +1,9 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
-from factloom.operators.units import infer_units, unify_units
+from factloom.operators.units import hide_units, infer_units, unify_units
 
 FACTORS = [("money", "USD", "USD", 1.0), ("money", "EUR", "USD", 1.0842), ("money", "INR", "USD", 0.0119), ("money", "JPY", "USD", 0.0066), ("money", "CHF", "USD", 1.1305), ("money", "GBP", "USD", 1.2614),
            ("money", "CAD", "USD", 0.7312), ("pct", "percent", "basis_point", 100.0), ("pct", "basis_point", "basis_point", 1.0), ("pct", "fraction", "basis_point", 10000.0), ("pct", "permille", "basis_point", 10.0),
@@ -65,3 +66,32 @@ def test_missing_units_get_the_likeliest_one(spark, factors):
 def test_nothing_to_learn_from(spark, factors):
     got = infer_units(unify_units(rows(spark, [("5", "MONEY", None, None)]), factors), factors).collect()
     assert [(r["unit_code"], r["certain"]) for r in got] == [(None, False)]
+
+
+def test_one_mixture_over_all_kinds(spark, factors):
+    """Masses near 5 tonnes and lengths near 40 m, two thirds masses: what is bare is told by kind and unit, and as surely as it is right."""
+    import random
+
+    rng = random.Random(3)
+    cases = []
+    for i in range(900):
+        grams = 10 ** rng.gauss(3.7, 0.15)
+        cases.append((f"{grams:.0f} kg" if i % 2 else f"{grams / 1000:.2f} t", "QUANTITY", None, None) if i % 3 else (f"{10 ** rng.gauss(1.6, 0.1):.1f} m", "QUANTITY", None, None))
+    cases += [("0 kg", "QUANTITY", None, None), ("0", "QUANTITY", "?", None)]
+    amounts = unify_units(rows(spark, cases), factors)
+    hidden = hide_units(amounts, 3)
+    truth = {r["fact_id"]: r["true_code"] for r in hidden.where("true_code is not null").collect()}
+    got = {r["fact_id"]: r for r in infer_units(hidden, factors).collect()}
+    right = {i: got[i]["unit_code"] == c for i, c in truth.items()}
+    sure = [right[i] for i in truth if got[i]["certain"]]
+    assert sum(right.values()) / len(right) > 0.97 and len(sure) > 0.8 * len(right) and sum(sure) / len(sure) > 0.97
+    zero = got[f"f{len(cases) - 1:03d}"]
+    assert zero["unit_code"] in ("kg", "tonne") and not zero["certain"] and zero["common_amount"] == 0
+
+
+def test_groups_with_enough_amounts_have_mixtures_of_their_own(spark, factors):
+    cases = [("3.1%", "PERCENTAGE", None, None)] * 60 + [("250 bp", "PERCENTAGE", None, None)] * 60 + [("240", "PERCENTAGE", None, None)] * 2
+    amounts = unify_units(rows(spark, cases), factors).withColumn("g", F.when(F.col("unit_code") == "percent", "a").otherwise("b"))
+    bare = amounts.where("status = 'unit_missing'").withColumn("g", F.when(F.col("fact_id") == "f120", "b").otherwise("few"))
+    got = {r["fact_id"]: r["unit_code"] for r in infer_units(amounts.where("status = 'stated'").unionByName(bare), factors, group="g").collect()}
+    assert got["f120"] == "basis_point" and got["f121"] is not None
