@@ -32,21 +32,19 @@ def _edge(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def strip_leaves(edges: DataFrame, degrees: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links v -> parent, edges used). Of an edge between two leaves the greater end goes."""
-    leaves = degrees.where("deg = 1").select("v", *_edge("v", "n1"))
-    used = leaves.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("v").alias("v"))
-    return used.select("v", F.when(F.col("v") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("parent")), used.select("a", "b")
+def strip_leaves(edges: DataFrame) -> DataFrame:
+    """(v, parent, a, b): leaves with their edges. Of an edge between two leaves the greater end goes."""
+    leaves = _degrees(edges).where("deg = 1").select("v", *_edge("v", "n1"))
+    used = leaves.groupBy("a", "b").agg(F.max("v").alias("v"))
+    return used.select("v", F.when(F.col("v") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("parent"), "a", "b")
 
 
-def rank_chains(degrees: DataFrame, scratch: Scratch) -> DataFrame:
-    """(v, e1, r1, e2, r2): for each vertex inside a chain its two ends and the steps to them.
+def _rank(inner: DataFrame, scratch: Scratch) -> DataFrame:
+    """Arcs (v, u) of the vertices (v, n1, n2) with the end they lead to and the steps to it; null on a cycle.
 
     An arc v -> u means leaving v towards u; its successor leaves u on the other side. Pointer
-    doubling over arcs reaches the end of a chain of length L in log2(L) rounds. Arcs of pure
-    cycles never end; they stay in the graph, for the core.
+    doubling over arcs reaches the end of a chain of length L in log2(L) rounds.
     """
-    inner = scratch.keep(degrees.where("deg = 2").select("v", "n1", "n2"))
     arcs = inner.select("v", F.explode(F.array("n1", "n2")).alias("u"))
     follow = inner.select(F.col("v").alias("u"), "n1", "n2")
     state = scratch.keep(arcs.join(follow, "u", "left").select(
@@ -57,7 +55,7 @@ def rank_chains(degrees: DataFrame, scratch: Scratch) -> DataFrame:
     while True:
         still = state.where("end is null").count()
         if still == 0 or still == open_before:
-            break
+            return state
         open_before = still
         target = state.select(F.col("v").alias("cv"), F.col("u").alias("cu"), F.col("end").alias("t_end"),
                               F.col("rank").alias("t_rank"), F.col("cv").alias("t_cv"), F.col("cu").alias("t_cu"))
@@ -67,8 +65,21 @@ def rank_chains(degrees: DataFrame, scratch: Scratch) -> DataFrame:
         after = scratch.keep(state.where("end is not null").unionByName(moved))
         scratch.drop(state)
         state = after
-    sides = state.where("end is not null").select(
-        "v", F.struct(F.col("u").alias("u"), F.col("end").alias("end"), F.col("rank").alias("rank")).alias("side"))
+
+
+def rank_chains(inner: DataFrame, scratch: Scratch) -> DataFrame:
+    """(v, u1, u2, e1, r1, e2, r2): for each vertex inside a chain (v, n1, n2) its neighbours, its two ends and the steps to them.
+
+    A component that is one cycle has no ends: its vertices smaller than both their neighbours are
+    taken for ends, which makes chains of the rest.
+    """
+    state = _rank(inner, scratch)
+    arcs = state.where("end is not null")
+    round_ = state.where("end is null").select("v").distinct()
+    if not round_.isEmpty():
+        cut = scratch.keep(inner.join(round_, "v", "left_semi").where(F.col("v") > F.least("n1", "n2")))
+        arcs = arcs.unionByName(_rank(cut, scratch))
+    sides = arcs.select("v", F.struct(F.col("u").alias("u"), F.col("end").alias("end"), F.col("rank").alias("rank")).alias("side"))
     return (sides.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("side").alias("s1"), F.max("side").alias("s2")).where("n = 2")
             .select("v", F.col("s1.u").alias("u1"), F.col("s2.u").alias("u2"), F.col("s1.end").alias("e1"), F.col("s1.rank").alias("r1"),
                     F.col("s2.end").alias("e2"), F.col("s2.rank").alias("r2")))
@@ -97,25 +108,21 @@ def solve_core(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def reduce_once(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
-    """One round: leaves stripped, chains compressed. Returns the edges left and the links to undo it."""
-    degrees = scratch.keep(_degrees(edges))
-    hang, used = strip_leaves(edges, degrees)
-    hang = scratch.keep(hang)
-    rest = scratch.keep(edges.join(used, ["a", "b"], "left_anti"))
-    scratch.drop(degrees)
-    degrees = scratch.keep(_degrees(rest).where("deg = 2"))
-    if degrees.isEmpty():
-        scratch.drop(degrees)
+    """One round: leaves stripped, chains compressed. Returns the edges left and the links (v, parent) to undo it."""
+    hang = scratch.keep(strip_leaves(edges))
+    rest = scratch.keep(edges.join(hang.select("a", "b"), ["a", "b"], "left_anti"))
+    inside = scratch.keep(_degrees(rest).where("deg = 2").select("v", "n1", "n2"))
+    if inside.isEmpty():
+        scratch.drop(inside)
         return rest, [hang]
-    chains = scratch.keep(rank_chains(degrees, scratch))
+    chains = scratch.keep(rank_chains(inside, scratch))
     gone = chains.select(F.explode(F.array(F.struct(*_edge("v", "u1")), F.struct(*_edge("v", "u2")))).alias("x")).select("x.*").distinct()
     bridge = chains.where("e1 <> e2").select(*_edge("e1", "e2"))
     after = scratch.keep(rest.join(gone, ["a", "b"], "left_anti").unionByName(bridge).distinct())
+    scratch.drop(inside)
+    scratch.drop(rest)
     # A chain both of whose ends are one vertex hangs on it; any other hangs on its smaller end.
-    inner = scratch.keep(chains.select("v", F.least("e1", "e2").alias("parent")))
-    for old in (degrees, rest, chains):
-        scratch.drop(old)
-    return after, [hang, inner]
+    return after, [hang, chains]
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -140,7 +147,8 @@ def components(pairs: DataFrame) -> DataFrame:
         F.col("v").cast(first.schema["a"].dataType).alias("v"), F.col("root").cast(first.schema["a"].dataType).alias("root"))
     for stage in reversed(links):
         known = labels.select(F.col("v").alias("parent"), "root")
-        back = stage.join(known, "parent", "left").select("v", F.coalesce("root", "parent").alias("root"))
+        hung = stage.select("v", "parent" if "parent" in stage.columns else F.least("e1", "e2").alias("parent"))
+        back = hung.join(known, "parent", "left").select("v", F.coalesce("root", "parent").alias("root"))
         after = scratch.keep(labels.unionByName(back))
         scratch.drop(labels)
         scratch.drop(stage)
