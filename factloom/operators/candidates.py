@@ -8,7 +8,7 @@ compared in pairs of blocks by matrix products: a group never holds more than tw
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from factloom.functions.vectors import valid_vector
@@ -19,7 +19,7 @@ THRESHOLD, TOP_K = 0.62, 10
 SUBJECT_THRESHOLD, VECTOR_BONUS = 0.85, 0.1
 BLOCK = 2048
 
-OUT = "source_id string, candidate_id string, similarity double, direct boolean, created_at timestamp"
+OUT = "source_id string, candidate_id string, similarity double, direct boolean, created bigint"
 
 
 def latest_vectors(embeddings: DataFrame, dims: int) -> DataFrame:
@@ -27,55 +27,70 @@ def latest_vectors(embeddings: DataFrame, dims: int) -> DataFrame:
     return good.groupBy("fact_id").agg(F.max_by("embedding", F.struct("created_at", "model")).alias("embedding"))
 
 
-def _unit(column: pd.Series) -> np.ndarray:
-    x = np.stack(column.to_numpy()).astype(np.float64)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+ASKS, GIVES, BOTH = 0, 1, 2
 
 
-def _best(asks: pd.DataFrame, gives: pd.DataFrame, least: float, top_k: int, direct: bool) -> pd.DataFrame:
-    """For each asking fact the top_k facts of other documents: nearer first, then older, then by id."""
-    if not len(asks) or not len(gives):
-        return pd.DataFrame(columns=["source_id", "candidate_id", "similarity", "direct", "created_at"])
-    sims = _unit(asks["embedding"]) @ _unit(gives["embedding"]).T
-    ok = asks["document_id"].to_numpy()[:, None] != gives["document_id"].to_numpy()[None, :]
-    if not direct:
-        ok &= 1 - sims <= 1 - least
-    r, c = np.nonzero(ok)
-    made, ids = gives["created_at"].to_numpy(), gives["fact_id"].to_numpy()
-    order = np.lexsort((ids[c], made[c], -sims[r, c], r))
-    r, c = r[order], c[order]
-    keep = np.arange(len(r)) - np.searchsorted(r, np.arange(len(asks)))[r] < top_k
-    r, c = r[keep], c[keep]
-    return pd.DataFrame({"source_id": asks["fact_id"].to_numpy()[r], "candidate_id": ids[c], "similarity": sims[r, c], "direct": direct, "created_at": made[c]})
+class _Rows:
+    """Columns of a group as arrays."""
 
+    def __init__(self, t: pa.Table):
+        n = t.num_rows
+        x = t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+        self.x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        self.ids = t.column("fact_id").to_numpy()
+        self.documents = np.unique(t.column("document_id").to_numpy().astype(str), return_inverse=True)[1]
+        self.made = t.column("created").to_numpy()
+        self.key, self.side, self.role = (t.column(c).to_numpy() for c in ("k", "side", "role"))
+
+    def best(self, asks: np.ndarray, gives: np.ndarray, least: float, top_k: int, direct: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(asking, given, similarity): for each asking fact the top_k facts of other documents: nearer first, then older, then by id."""
+        asks, gives = asks[self.role[asks] != GIVES], gives[self.role[gives] != ASKS]
+        sims = self.x[asks] @ self.x[gives].T
+        ok = self.documents[asks][:, None] != self.documents[gives][None, :]
+        if not direct:
+            ok &= 1 - sims <= 1 - least
+        r, c = np.nonzero(ok)
+        order = np.lexsort((self.ids[gives[c]], self.made[gives[c]], -sims[r, c], r)) if len(r) else r
+        r, c = r[order], c[order]
+        keep = np.arange(len(r)) - np.searchsorted(r, np.arange(len(asks)))[r] < top_k
+        r, c = r[keep], c[keep]
+        return asks[r], gives[c], sims[r, c]
 
-def _cell(least: float, top_k: int, direct: bool):
-    """Facts of one block with each other, or of two blocks (side 0 and 1) with those of the other."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = frame[frame["side"] == 0], frame[frame["side"] == 1]
-        pairs = [(a, b), (b, a)] if len(b) else [(a, a)]
-        return pd.concat([_best(x, y, least, top_k, direct) for x, y in pairs], ignore_index=True)
+def _cell(least: float, top_k: int, direct: bool):
+    """Of each key, facts of one block with each other, or of two blocks (side 0 and 1) with those of the other."""
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = _Rows(t)
+        order = np.lexsort((rows.side, rows.key))
+        ends = np.append(np.nonzero(np.diff(rows.key[order]))[0] + 1, len(order))
+        found, start = [], 0
+        for end in ends:
+            mine = order[start:end]
+            start = end
+            second = int(np.searchsorted(rows.side[mine], 1))
+            a, b = mine[:second], mine[second:]
+            found += [rows.best(x, y, least, top_k, direct) for x, y in ([(a, b), (b, a)] if len(b) else [(a, a)])]
+        r, c, s = (np.concatenate(z) for z in zip(*found))
+        return pa.table({"source_id": pa.array(rows.ids[r], pa.string()), "candidate_id": pa.array(rows.ids[c], pa.string()), "similarity": s,
+                         "direct": np.full(len(r), direct), "created": rows.made[c]})
 
     return run
 
 
 def _within(rows: DataFrame, keys: list[str], total: int, least: float, top_k: int, direct: bool) -> DataFrame:
-    """All facts of a key against all facts of the key; each fact is sent once for each block of its key."""
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.count_distinct("document_id").alias("documents")).where("documents > 1")
+    """All facts of a key against all facts of the key; each fact is sent once for each block of its key.
+
+    A group is one block or two; keys of a single block share groups of about as many facts.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.min("document_id").alias("d1"), F.max("document_id").alias("d2")).where("d1 <> d2")
     sizes = sizes.select(*keys, "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    placed = hot_join(rows, sizes, keys, "size", total).withColumn("own", F.pmod(F.xxhash64("fact_id"), F.col("blocks")).cast("int"))
+    placed = hot_join(rows, sizes, keys, "size", total).withColumn("own", F.pmod(F.xxhash64("fact_id"), F.col("blocks")).cast("int")).withColumn("k", F.xxhash64(*keys))
     sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = sent.select(*keys, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"),
-                        "fact_id", "document_id", "created_at", "embedding")
-    return cells.groupBy(*keys, "low", "high").applyInPandas(_cell(least, top_k, direct), OUT)
-
-
-def _asked(least: float, top_k: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return _best(frame[frame["role"] == 0], frame[frame["role"] == 1], least, top_k, False)
-
-    return run
+    shared = F.when(F.col("blocks") > 1, F.col("k")).otherwise(F.pmod("k", F.lit(max(1, total // BLOCK))))
+    cells = sent.select((F.col("blocks") > 1).alias("many"), shared.alias("group"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+                        (F.col("own") > F.col("other")).cast("int").alias("side"), "role", "k", "fact_id", "document_id", "created", "embedding")
+    return cells.groupBy("many", "group", "low", "high").applyInArrow(_cell(least, top_k, direct), OUT)
 
 
 def retrieve(facts: DataFrame, embeddings: DataFrame, dims: int, threshold: float = THRESHOLD, top_k: int = TOP_K) -> DataFrame:
@@ -84,10 +99,10 @@ def retrieve(facts: DataFrame, embeddings: DataFrame, dims: int, threshold: floa
     Direct predicate matches come first, then the nearer vector, the older fact, the smaller id.
     Facts without a usable vector take no part.
     """
-    base = facts.select("fact_id", "document_id", "entity_id", F.col("subject_normalized").alias("subject"), "predicate_canonical", "value_type", "created_at")
+    base = facts.select("fact_id", "document_id", "entity_id", F.col("subject_normalized").alias("subject"), "predicate_canonical", "value_type", F.unix_micros(F.col("created_at").cast("timestamp")).alias("created"))
     rows = base.withColumnRenamed("predicate_canonical", "predicate").join(latest_vectors(embeddings, dims), "fact_id")
     total = facts.count()
-    known = rows.where("entity_id is not null")
+    known = rows.where("entity_id is not null").withColumn("role", F.lit(BOTH))
     # Two unknown predicates are not the same predicate.
     resolved = _within(known.where("predicate is not null"), ["entity_id", "predicate"], total, threshold, top_k, True).unionByName(
         _within(known.where("value_type is not null"), ["entity_id", "value_type"], total, threshold, top_k, False))
@@ -96,17 +111,14 @@ def retrieve(facts: DataFrame, embeddings: DataFrame, dims: int, threshold: floa
     spelled = loose.select(F.col("subject").alias("name"), F.lit("").alias("type")).distinct()
     subjects = rows.where("subject is not null").select(F.col("subject").alias("key"), F.col("subject").alias("other"), F.lit("").alias("type")).distinct()
     pairs = similarities(spelled, subjects, SUBJECT_THRESHOLD).select("name", F.col("key").alias("subject"))
-    fields = ["name", "value_type", "fact_id", "document_id", "created_at", "embedding", "role"]
-    gives = rows.join(pairs, "subject").withColumn("role", F.lit(1)).select(*fields)
-    asks = loose.withColumn("name", F.col("subject")).withColumn("role", F.lit(0)).select(*fields)
+    fields = ["name", "value_type", "fact_id", "document_id", "created", "embedding", "role"]
+    gives = rows.join(pairs, "subject").withColumn("role", F.lit(GIVES)).select(*fields)
+    asks = loose.withColumn("name", F.col("subject")).withColumn("role", F.lit(ASKS)).select(*fields)
     every = asks.unionByName(gives).where("value_type is not null")
-    sizes = every.groupBy("name", "value_type").agg(F.ceil(F.greatest(F.count_if(F.col("role") == 0), F.count_if(F.col("role") == 1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("size"))
-    sent = hot_join(every, sizes, ["name", "value_type"], "size", total).withColumn("own", F.pmod(F.xxhash64("fact_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = sent.withColumn("ask", F.when(F.col("role") == 0, F.col("own")).otherwise(F.col("other"))).withColumn("give", F.when(F.col("role") == 1, F.col("own")).otherwise(F.col("other")))
-    unresolved = cells.select("ask", "give", *fields).groupBy("name", "value_type", "ask", "give").applyInPandas(_asked(min(1.0, threshold + VECTOR_BONUS), top_k), OUT)
+    unresolved = _within(every, ["name", "value_type"], total, min(1.0, threshold + VECTOR_BONUS), top_k, False)
     either = resolved.withColumn("by_subject", F.lit(False)).unionByName(unresolved.withColumn("by_subject", F.lit(True)))
-    met = either.groupBy("source_id", "candidate_id").agg(F.max("direct").alias("direct"), F.max("similarity").alias("similarity"), F.min("created_at").alias("created_at"), F.bool_and("by_subject").alias("by_subject"))
-    order = Window.partitionBy("source_id").orderBy(F.desc("direct"), F.desc("similarity"), "created_at", "candidate_id")
+    met = either.groupBy("source_id", "candidate_id").agg(F.max("direct").alias("direct"), F.max("similarity").alias("similarity"), F.min("created").alias("created"), F.bool_and("by_subject").alias("by_subject"))
+    order = Window.partitionBy("source_id").orderBy(F.desc("direct"), F.desc("similarity"), "created", "candidate_id")
     reason = F.when(F.col("by_subject"), "UNRESOLVED_SUBJECT_VECTOR").when(F.col("direct"), "ENTITY_PREDICATE").otherwise("ENTITY_VECTOR")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select(
         "source_id", "candidate_id", F.round("similarity", 6).alias("similarity"), reason.alias("match_reason"), "rank")

@@ -35,19 +35,24 @@ def similarities(names: DataFrame, known: DataFrame, least: float) -> DataFrame:
 
     names (name, type) and known (key, other, type) meet on shared trigrams, and only through the
     rarest of them: with a trigrams, a pair above the bound shares at least ceil(a * least), so it
-    shares one of the a - ceil(a * least) + 1 rarest. Exact, no pair is lost.
+    shares one of the a - ceil(a * least) + 1 rarest. The first trigram shared, in order of rarity, also
+    tells how many can follow on either side; pairs that cannot reach the bound are left out before
+    they are gathered. Exact, no pair is lost.
     """
     a = names.select("name", "type").distinct().withColumn("g", word_trigrams(F.col("name")))
-    b = known.select("key", "other", "type").withColumn("g", word_trigrams(F.col("other")))
+    b = known.select("key", "other", "type").distinct().withColumn("g", word_trigrams(F.col("other")))
     weight = a.select("type", F.explode("g").alias("t")).unionByName(b.select("type", F.explode("g").alias("t"))).groupBy("type", "t").agg(F.count(F.lit(1)).alias("df"))
 
-    def prefixes(rows: DataFrame, ids: list[str]) -> DataFrame:
+    def prefixes(rows: DataFrame, ids: list[str], side: str) -> DataFrame:
         each = rows.select(*ids, "type", F.size("g").alias("size"), F.explode("g").alias("t")).join(weight, ["type", "t"])
         ordered = each.withColumn("r", F.row_number().over(Window.partitionBy(*ids, "type").orderBy("df", "t")))
-        return ordered.where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).select(*ids, "type", "t")
+        return ordered.where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).select(
+            *ids, "type", "t", F.col("size").alias(f"size_{side}"), (F.col("size") - F.col("r") + 1).alias(f"left_{side}"))
 
-    met = prefixes(a, ["name"]).join(prefixes(b, ["key", "other"]), ["type", "t"]).select("name", "type", "key", "other").distinct()
-    full = met.join(a, ["name", "type"]).withColumnRenamed("g", "ga").withColumn("gb", word_trigrams(F.col("other")))
+    shares = F.ceil((F.col("size_a") + F.col("size_b")) * (least / (1 + least)) - 1e-6)
+    met = (prefixes(a, ["name"], "a").join(prefixes(b, ["key", "other"], "b"), ["type", "t"]).where(F.least("left_a", "left_b") >= shares)
+           .select("name", "type", "key", "other").distinct())
+    full = met.join(a.withColumnRenamed("g", "ga"), ["name", "type"]).join(b.withColumnRenamed("g", "gb"), ["key", "other", "type"])
     shared = F.size(F.array_intersect("ga", "gb"))
     sim = F.round(shared / (F.size("ga") + F.size("gb") - shared), 6)
     return full.select("name", "type", "key", sim.alias("similarity")).where(F.col("similarity") >= least)

@@ -64,6 +64,23 @@ def documents_by_status(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(F.broadcast(first), "status").select(*api.DOCUMENT_COLUMNS)
 
 
+@query("SELECT document_id, filename FROM documents WHERE contains(lower(filename), 'report')")
+def documents_by_filename(spark: SparkSession, d: str) -> DataFrame:
+    return api.where_documents(table(spark, d, "documents"), filename="Report").select("document_id", "filename")
+
+
+@query("SELECT document_id, filename, status FROM documents ORDER BY ingested_at DESC, document_id LIMIT 5")
+def recent_documents(spark: SparkSession, d: str) -> DataFrame:
+    return api.recent(table(spark, d, "documents")).select("document_id", "filename", "status")
+
+
+@query(r"""WITH b AS (SELECT document_id, unnest(list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda p: trim(regexp_replace(p, '\s+', ' ', 'g'))), lambda p: p <> '')) AS p,
+generate_subscripts(list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda p: trim(regexp_replace(p, '\s+', ' ', 'g'))), lambda p: p <> ''), 1) AS i FROM documents WHERE text IS NOT NULL)
+SELECT document_id, (floor((i - 1) / 12) + 1)::INT AS page_number, string_agg(p, E'\n\n' ORDER BY i) AS text, length(string_agg(p, E'\n\n' ORDER BY i))::INT AS n_chars FROM b GROUP BY 1, 2""")
+def document_pages(spark: SparkSession, d: str) -> DataFrame:
+    return api.pages(table(spark, d, "documents"))
+
+
 @query("SELECT document_id, filename, page_count FROM documents WHERE page_count BETWEEN 2 AND 3")
 def small_samples(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where(F.col("page_count").between(2, 3)).select("document_id", "filename", "page_count")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from factloom.functions.text import contains_folded
+from factloom.functions.text import blocks, contains_folded
 from factloom.functions.vectors import valid_vector
 
 MAX_PAGE = 100
@@ -79,6 +79,27 @@ def where_facts(facts: DataFrame, document_id: str | None = None, entity_id: str
     return out
 
 
+def where_documents(documents: DataFrame, status: str | None = None, filename: str | None = None) -> DataFrame:
+    out = documents
+    if status is not None:
+        out = out.where(F.col("status") == status)
+    if filename is not None:
+        out = out.where(contains_folded(F.col("filename"), filename))
+    return out
+
+
+def recent(documents: DataFrame, n: int = 5) -> DataFrame:
+    """The documents ingested last."""
+    return documents.orderBy(F.desc("ingested_at"), "document_id").limit(n)
+
+
+def pages(documents: DataFrame, per_page: int = 12) -> DataFrame:
+    """(document_id, page_number, text, n_chars): stored texts laid out in pages of so many paragraphs, in order; texts without any have no page."""
+    each = documents.where(F.col("text").isNotNull()).select("document_id", F.posexplode(blocks(F.col("text"))).alias("i", "p"))
+    made = each.groupBy("document_id", (F.floor(F.col("i") / per_page) + 1).cast("int").alias("page_number")).agg(F.sort_array(F.collect_list(F.struct("i", "p"))).alias("ps"))
+    return made.select("document_id", "page_number", F.array_join(F.transform("ps", lambda x: x["p"]), "\n\n").alias("text")).withColumn("n_chars", F.length("text"))
+
+
 def fact_details(facts: DataFrame, entities: DataFrame, documents: DataFrame, evidence: DataFrame) -> DataFrame:
     """Facts with entity name, file name and their evidence, counted and best first by page and time."""
     quotes = evidence.groupBy("fact_id").agg(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factloom.streaming.incremental import run_incremental_links, windowed_counts
+from factloom.streaming.incremental import run_incremental_links, stream_windows
 from factloom.tables import table
 
 
@@ -16,7 +16,8 @@ def incremental_link_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = windowed_counts(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    """Counted by a stream with a watermark over files in order of time; every window is closed and written once."""
+    out = stream_windows(spark, table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "total")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from factloom.functions import dates, text as tx, values as vs
 from factloom.operators import chunks as ck, evidence as ev, grounded as gr, hints as hn, layout as ly
 from factloom.operators.providers import HashedEmbedding, embed_texts, extract_facts
+from factloom.plans.read_api import pages
 from factloom.sources.ingest import first_of_content, latest_delivery
 from factloom.tables import table
 
@@ -61,10 +62,7 @@ def token_estimates(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def chunk_packing(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of documents laid out in pages of twelve paragraphs, with text, pages and overlaps."""
-    paragraphs = table(spark, d, "documents").where("text is not null").select("document_id", F.posexplode(tx.blocks(F.col("text"))).alias("i", "p"))
-    pages = paragraphs.groupBy("document_id", (F.floor(F.col("i") / 12) + 1).cast("int").alias("page_number")).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "p"))), lambda x: x["p"]), "\n\n").alias("text"))
-    return ck.chunks(pages).withColumn("page_numbers", F.array_join("page_numbers", ","))
+    return ck.chunks(pages(table(spark, d, "documents"))).withColumn("page_numbers", F.array_join("page_numbers", ","))
 
 
 @query("""

@@ -87,3 +87,28 @@ def windowed_counts(events: DataFrame, length: str = "1 hour", late: str = "2 ho
     source = events.withWatermark(time, late) if events.isStreaming else events
     return source.groupBy(F.window(time, length).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(
         F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def stream_windows(spark: SparkSession, events: DataFrame, length: str = "1 hour", late: str = "2 hours", time: str = "ts") -> DataFrame:
+    """The windows of events that arrive as files in order of time, written as the watermark closes them.
+
+    A last empty-handed batch cannot close the windows behind the watermark, so the queue ends with
+    one marker event a window and the delay after the last; its own window stays open and unwritten.
+    """
+    scratch = Scratch(spark, "windows")
+    source, target = f"{scratch.base}/in", f"{scratch.base}/out"
+    rows = events.select(time, "event_type", "value")
+    end = F.col("t") + F.expr(f"INTERVAL {length}") * 2 + F.expr(f"INTERVAL {late}")
+    rows.repartitionByRange(4, time).sortWithinPartitions(time).write.parquet(source)
+    marker = rows.agg(F.max(time).alias("t")).where("t is not null").select(end.alias(time), F.lit("end of queue").alias("event_type"), F.lit(0).cast(rows.schema["value"].dataType).alias("value"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(source)
+    counted = windowed_counts(stream, length, late, time)
+
+    def start():
+        return counted.writeStream.outputMode("append").format("parquet").option("path", target).option("checkpointLocation", f"{scratch.base}/offsets").trigger(availableNow=True).start()
+
+    start().awaitTermination()
+    marker.write.mode("append").parquet(source)  # arrives last
+    start().awaitTermination()
+    shape = "start timestamp, event_type string, n bigint, total double"
+    return spark.read.schema(shape).parquet(target).where("event_type <> 'end of queue'") if exists(spark, target) else spark.createDataFrame([], shape)
