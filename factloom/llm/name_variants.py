@@ -5,7 +5,8 @@ beginning leaves the rest of a token intact. No block is dropped or capped: a co
 over many tasks, and its pairs are first held against the letters they have in common, which
 rejects only pairs that cannot reach the least similarity. What is left is compared by the longest
 common subsequence of the parts, in any order; words of trade and given names may be abbreviated,
-familiar or missing. A name spelled like a known one is found by equality as well.
+familiar or missing. Familiar forms of given names are learned from the facts and aliases that are
+linked already. A name spelled like a known one is found by equality as well.
 """
 
 from __future__ import annotations
@@ -27,28 +28,12 @@ SPLIT = 2_000  # names or spellings of one key in a task; a key with more is spl
 SHARE = 500  # a token that over 1 / SHARE of a type's entities have is a word of trade: at most a few SHARE of them
 LEAST_TRADE = 4
 NEAR = 0.02  # scores this close are a tie
+SEEN = 3  # facts that have to link a given name with another form of it, or half as many entities and more
 CORE, CORE_ALONE = 0.74, 0.8  # least similarity of the parts of a name, with and without a word of trade
 
 # Legal forms and forms of address, which do not tell entities apart.
 LEGAL = "plc ltd limited inc incorporated corp corporation co company llc llp lp ag gmbh sa sarl sas se nv bv ab oy as spa srl kg pvt pte pty private public".split()
 TITLES = "mr mrs ms miss dr prof sir dame rev hon jr sr".split()
-# Familiar forms of English given names.
-FAMILIAR = {
-    "alexander": "alex al sandy", "andrew": "andy drew", "anthony": "tony", "arthur": "art", "barbara": "barb babs", "benjamin": "ben benny",
-    "catherine": "cathy kate katie", "charles": "charlie chuck chas", "christopher": "chris kit", "daniel": "dan danny", "david": "dave davy",
-    "deborah": "deb debbie", "donald": "don donny", "dorothy": "dot dolly", "edward": "ed eddie ted ned", "elizabeth": "liz beth betty eliza lisa",
-    "eugene": "gene", "eugenia": "genie", "frances": "fran fanny", "francesca": "fran frankie", "francis": "frank", "frederick": "fred freddy", "gerald": "gerry jerry",
-    "gregory": "greg", "harold": "harry hal", "henry": "harry hank", "isidore": "izzy dory", "jacqueline": "jackie", "james": "jim jimmy jamie",
-    "jennifer": "jen jenny", "john": "jack johnny", "jonathan": "jon", "joseph": "joe joey", "joshua": "josh", "katherine": "kate kathy katie kit", "kenneth": "ken kenny",
-    "lawrence": "larry", "leonard": "len lenny", "margaret": "maggie meg peggy madge", "martha": "marty", "matthew": "matt", "michael": "mike mick mickey",
-    "nathaniel": "nat nate", "nicholas": "nick nicky", "oliver": "ollie", "pamela": "pam", "patricia": "pat patty tricia trish", "patrick": "pat paddy", "peter": "pete",
-    "philip": "phil", "raymond": "ray", "rebecca": "becky", "richard": "rick rich dick richie", "robert": "bob rob bobby robbie", "ronald": "ron ronny",
-    "samuel": "sam sammy", "stephen": "steve", "susannah": "sue susie susan", "theodore": "ted theo", "thomas": "tom tommy", "timothy": "tim", "ursula": "ulla uschi",
-    "victoria": "vicky tori", "walter": "walt wally", "william": "bill will billy liam", "yevgenia": "zhenya genia",
-}
-NICK = {(full, nick) for full, nicks in FAMILIAR.items() for nick in nicks.split()}
-
-
 def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, bit-parallel."""
     masks: dict[str, int] = {}
@@ -169,8 +154,17 @@ def initials_first(q: list[str]) -> list[str]:
     return [q[1][0], q[1][1], q[0]] if len(q) == 2 and len(q[1]) == 2 and len(q[0]) > 2 else q
 
 
-def score_person(q: list[str], e: list[str]) -> float:
-    """Given name, perhaps initials between, surname last."""
+def other_given(q: list[str], e: list[str]) -> str | None:
+    """The given name of a typed name whose surname is that of ``e``, if it is no spelling or initial of the given name of ``e``."""
+    if len(q) < 2 or len(e) < 2:
+        return None
+    q = initials_first(q)
+    surname, given = max((ratio(x, e[-1]), y) for x, y in ((q[-1], q[0]), (q[0], q[-1])))
+    return given if surname >= CORE and len(given) > 1 and len(e[0]) > 1 and ratio(given, e[0]) < 0.75 else None
+
+
+def score_person(q: list[str], e: list[str], familiar: frozenset[str] = frozenset()) -> float:
+    """Given name, perhaps initials between, surname last; ``familiar`` are other forms of the known given name."""
     if len(q) < 2 or len(e) < 2:
         return 0.0
     best = 0.0
@@ -181,13 +175,13 @@ def score_person(q: list[str], e: list[str]) -> float:
             continue
         if given == e[0]:
             g = 1.0
-        elif (e[0], given) in NICK or (given, e[0]) in NICK:
+        elif given in familiar:
             g = 0.97
         elif len(given) == 1 or len(e[0]) == 1:
             g = 0.94 if given[0] == e[0][0] else 0.0
         else:
             g = ratio(given, e[0])
-            near = max((ratio(given, n) for f, n in NICK if f == e[0]), default=0.0)
+            near = max((ratio(given, n) for n in familiar), default=0.0)
             g = 0.98 * g if g >= 0.75 else 0.95 * near if near >= 0.79 else 0.0
         if not g:
             continue
@@ -208,6 +202,28 @@ def _prepare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.assign(tokens=[" ".join(t) for t, _, _ in got], forms=[" ".join(f) for _, f, _ in got])
 
 
+def _given_forms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        forms = [other_given(q.split(), e.split()) for q, e in zip(frame["tokens"], frame["e_tokens"])]
+        yield frame.assign(given=[e.split(" ")[0] for e in frame["e_tokens"]], form=forms)[["entity_id", "given", "form", "n"]]
+
+
+def familiar_forms(facts: DataFrame, aliases: DataFrame, base: DataFrame) -> DataFrame:
+    """(given, familiar): for each given name of a known person the other forms under which linked facts and aliases name its bearers.
+
+    A form counts if SEEN facts or more than SEEN / 2 persons have it; it goes both ways.
+    """
+    persons = base.where("type = 'PERSON' and tokens <> ''").select("entity_id", F.col("tokens").alias("e_tokens"))
+    linked = facts.where("entity_id is not null and subject_raw is not null and subject_type = 'PERSON'").groupBy("entity_id", F.col("subject_raw").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    told = aliases.where("alias is not null").select("entity_id", F.col("alias").alias("name"), F.lit(1).cast("bigint").alias("n"))
+    both = linked.unionByName(told).join(persons.select("entity_id").distinct(), "entity_id", "left_semi")
+    prepared = both.mapInPandas(_prepare, "entity_id string, name string, n long, tokens string, forms string").where("tokens <> ''")
+    met = prepared.select("entity_id", "tokens", "n").join(persons, "entity_id").mapInPandas(_given_forms, "entity_id string, given string, form string, n long").where("form is not null")
+    seen = met.groupBy("given", "form").agg(F.sum("n").alias("n"), F.countDistinct("entity_id").alias("persons")).where((F.col("n") >= SEEN) | (F.col("persons") * 2 > SEEN))
+    ways = seen.select("given", "form").unionByName(seen.select(F.col("form").alias("given"), F.col("given").alias("form")))
+    return ways.groupBy("given").agg(F.array_join(F.array_sort(F.collect_set("form")), " ").alias("familiar"))
+
+
 SKETCH = "struct<b1: bigint, b2: bigint, size: int>"
 
 
@@ -256,9 +272,10 @@ def _compare(trades_cast):
         trades = {k: frozenset(v) for k, v in trades_cast.value.items()}
         for frame in frames:
             out = []
-            for q_id, kind, tokens, forms, entity, known, known_forms, trade in zip(*[frame[c] for c in ("q", "type", "tokens", "forms", "entity_id", "e_tokens", "e_forms", "trade")]):
+            columns = ("q", "type", "tokens", "forms", "entity_id", "e_tokens", "e_forms", "trade", "familiar")
+            for q_id, kind, tokens, forms, entity, known, known_forms, trade, familiar in zip(*[frame[c] for c in columns]):
                 q, e = tokens.split(), known.split()
-                score = score_person(q, e) if kind == "PERSON" else score_name(q, forms.split(), e, known_forms.split(), trades.get(kind, frozenset()), trade or None)
+                score = score_person(q, e, frozenset(familiar.split())) if kind == "PERSON" else score_name(q, forms.split(), e, known_forms.split(), trades.get(kind, frozenset()), trade or None)
                 score = max(score, 1.0) if q == e else score
                 if score:
                     out.append((q_id, entity, float(score)))
@@ -316,16 +333,18 @@ def resolve_names(facts: DataFrame, entities: DataFrame, aliases: DataFrame, doc
     traded = base.select("entity_id", "type", trade_of.alias("trade"))
     other = aliases.where("alias is not null").select("entity_id", F.col("alias").alias("name")).distinct().join(known.select("entity_id", "type"), "entity_id").select("entity_id", "name", "type")
     names = base.unionByName(other.mapInPandas(_prepare, shape)).where("tokens <> ''").dropDuplicates(["entity_id", "tokens", "forms"]).join(traded, ["entity_id", "type"])
-    shape = f"entity_id string, type string, tokens string, forms string, trade string, sketch {SKETCH}, keys array<string>"
-    index = scratch.keep(names.select("entity_id", "type", "tokens", "forms", "trade").mapInPandas(_index(cast), shape)).withColumnsRenamed({"tokens": "e_tokens", "forms": "e_forms"})
+    learned = scratch.keep(familiar_forms(facts, aliases, base))
+    names = names.withColumn("given", F.when(F.col("type") == "PERSON", F.element_at(F.split("tokens", " "), 1))).join(learned, "given", "left").withColumn("familiar", F.coalesce("familiar", F.lit("")))
+    shape = f"entity_id string, type string, tokens string, forms string, trade string, familiar string, sketch {SKETCH}, keys array<string>"
+    index = scratch.keep(names.select("entity_id", "type", "tokens", "forms", "trade", "familiar").mapInPandas(_index(cast), shape)).withColumnsRenamed({"tokens": "e_tokens", "forms": "e_forms"})
     asked = open_facts.groupBy("name", "type").agg(F.count(F.lit(1)).alias("n"))
     prepared = asked.mapInPandas(_prepare, "name string, type string, n long, tokens string, forms string").where("tokens <> ''").withColumn("q", F.xxhash64("name", "type"))
     prepared = scratch.keep(prepared.mapInPandas(_ask(cast), f"name string, type string, n long, tokens string, forms string, q long, sketches array<{SKETCH}>, keys array<string>"))
     asks = prepared.select("q", "type", F.explode("keys").alias("key"), "sketches").select("q", "type", "key", F.explode("sketches").alias("s"))
-    met = _meet(index.where("sketch.size > 0").withColumn("key", F.explode("keys")).drop("keys"), asks).select("q", "entity_id", "e_tokens", "e_forms", "trade").distinct()
+    met = _meet(index.where("sketch.size > 0").withColumn("key", F.explode("keys")).drop("keys"), asks).select("q", "entity_id", "e_tokens", "e_forms", "trade", "familiar").distinct()
     spelled = prepared.select("q", "type", "tokens", "forms")
-    same = spelled.join(index.select("entity_id", "type", "e_tokens", "e_forms", "trade").withColumn("tokens", F.col("e_tokens")), ["type", "tokens"])
-    pairs = met.join(spelled, "q").unionByName(same.select("q", "entity_id", "e_tokens", "e_forms", "trade", "type", "tokens", "forms"))
+    same = spelled.join(index.select("entity_id", "type", "e_tokens", "e_forms", "trade", "familiar").withColumn("tokens", F.col("e_tokens")), ["type", "tokens"])
+    pairs = met.join(spelled, "q").unionByName(same.select("q", "entity_id", "e_tokens", "e_forms", "trade", "familiar", "type", "tokens", "forms"))
     scored = scratch.keep(pairs.mapInPandas(_compare(cast), "q long, entity_id string, score double").groupBy("q", "entity_id").agg(F.max("score").alias("score")))
     top = scored.groupBy("q").agg(F.max(F.struct("score", "entity_id")).alias("top"))
     near = scored.join(top, "q").where(F.col("score") > F.col("top.score") - NEAR).select("q", F.col("entity_id").alias("issuer_id"))

@@ -106,13 +106,14 @@ def test_lcs(a, b):
 def test_names(spark):
     trades, stems = ["Energy", "Retail", "Steel", "Motors"], ["Gafasa", "Mopuli", "Trakoci", "Haposti", "Bredru", "Kidace", "Lusoti", "Nedafe"]
     ents = [(f"e{i}{j}", f"{s} {'Tupi' if i % 2 else 'Braso'} {t} Ltd.", "ORGANIZATION") for i, s in enumerate(stems) for j, t in enumerate(trades) if (i + j) % 2 == 0]
-    ents += [("p1", "Elizabeth T. Cadocito", "PERSON"), ("p2", "Robert Cadocito", "PERSON"), ("p3", "Richard Cadocito", "PERSON"), ("x1", None, "PERSON"), (None, "Nobody Known", "PERSON")]
+    ents += [("p9", "Elizabeth Zorvath", "PERSON"), ("p1", "Elizabeth T. Cadocito", "PERSON"), ("p2", "Robert Cadocito", "PERSON"), ("p3", "Richard Cadocito", "PERSON"), ("x1", None, "PERSON"), (None, "Nobody Known", "PERSON")]
     e = spark.createDataFrame([(*x, 1) for x in ents], "entity_id string, canonical_name string, entity_type string, n long")
     a = spark.createDataFrame([("e00", "Zhulimo"), ("gone", "Ghost"), ("e00", None)], "entity_id string, alias string")
     d = spark.createDataFrame([("d1", "p2"), ("d2", None), (None, "p2")], "document_id string, issuer_id string")
     cases = [("Gafasa Brsao Energy", "ORGANIZATION", "e00"), ("Energy, Braso Gafasa", "ORGANIZATION", "e00"), ("GAFASA-BRASO ENGY LTD", "ORGANIZATION", "e00"), ("Gаfasa Braso Steel Inc.", "ORGANIZATION", "e02"), ("Gafasa Braso Retail", "ORGANIZATION", None), ("Gafasa Braso", "ORGANIZATION", None),
              ("Zhulimo", "ORGANIZATION", "e00"), ("Betty Cadocito", "PERSON", "p1"), ("Cadocito, Elizabeth", "PERSON", "p1"), ("Cadocito ET", "PERSON", "p1"), ("R. Cadocito", "PERSON", "p2"), ("Walter Cadocito", "PERSON", None), ("Elizabeth T. Cadocito", "ORGANIZATION", None), ("", "PERSON", None), (None, "PERSON", None), ("?!", "PERSON", None), ("x" * 5000, "PERSON", None), ("Robert Cadocito", None, None)]
     rows = [{"fact_id": f"f{i:02d}", "document_id": "d1", "subject_raw": s, "subject_type": t} for i, (s, t, _) in enumerate(cases)]
+    rows += [{"fact_id": f"g{i}", "document_id": "d1", "entity_id": "p9", "subject_raw": n, "subject_type": "PERSON"} for i, n in enumerate(["Betty Zorvath", "Zorvath, Betty", "Betty A. Zorvath", "E. Zorvath", "Elisabeth Zorvath"])]
     rows += [{"fact_id": "f98", "document_id": "d2", "subject_raw": "R. Cadocito", "subject_type": "PERSON"}, {"fact_id": "f99", "document_id": "d1", "entity_id": "e00", "subject_raw": "Zhulimo", "subject_type": "ORGANIZATION"}]
     got = {r["fact_id"]: r["entity_id"] for r in nv.resolve_names(facts(spark, rows), e, a, d).collect()}
     assert got == {f"f{i:02d}": want for i, (_, _, want) in enumerate(cases) if want}
