@@ -223,7 +223,7 @@ def known_wordings(facts: DataFrame, catalog: DataFrame) -> DataFrame:
     """(key, target, n): wordings of facts with a catalog entry, by majority; all of them, however rare."""
     valid = catalog.select(F.col("predicate").alias("predicate_canonical")).distinct()
     both = F.array_distinct(F.array(measure(F.col("predicate_raw")), F.coalesce(wording(F.col("predicate_raw")), F.lit(""))))
-    rows = facts.join(F.broadcast(valid), "predicate_canonical", "left_semi").select(F.explode(both).alias("key"), "predicate_canonical")
+    rows = facts.join(valid, "predicate_canonical", "left_semi").select(F.explode(both).alias("key"), "predicate_canonical")
     votes = rows.where("key <> ''").groupBy("key", "predicate_canonical").agg(F.count(F.lit(1)).alias("n"))
     return (votes.groupBy("key").agg(F.max(F.struct("n", "predicate_canonical")).alias("best"), F.sum("n").alias("total"))
             .where(F.col("best.n") >= MAJORITY * F.col("total")).select("key", F.col("best.predicate_canonical").alias("target"), F.col("best.n").alias("n")))
@@ -242,9 +242,9 @@ def map_predicates(facts: DataFrame, catalog: DataFrame) -> DataFrame:
     listed = catalog.select(F.explode(F.array(*[F.struct(f(F.col(c)).alias("key"), F.col("predicate").alias("target"))
                                                 for c in ("label", "predicate") for f in (wording, measure)])).alias("x")).select("x.*").where("key <> ''")
     valid = catalog.select(F.col("predicate").alias("predicate_canonical")).distinct()
-    open_facts = facts.join(F.broadcast(valid), "predicate_canonical", "left_anti").select("fact_id", measure(F.col("predicate_raw")).alias("key"))
+    open_facts = facts.join(valid, "predicate_canonical", "left_anti").select("fact_id", measure(F.col("predicate_raw")).alias("key"))
     keys = open_facts.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    exact = known.join(F.broadcast(listed.select("key").distinct()), "key", "left_anti").unionByName(
+    exact = known.join(listed.select("key").distinct(), "key", "left_anti").unionByName(
         listed.groupBy("key").agg(F.min("target").alias("target")).withColumn("n", F.lit(1_000_000).cast("bigint")))
     met = keys.join(exact.select("key", "target"), "key", "left")
     direct = met.where("target is not null").select("key", "n", F.col("target").alias("predicate"), F.lit(0.0).alias("distance"))
