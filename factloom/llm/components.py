@@ -39,8 +39,8 @@ def strip_leaves(edges: DataFrame) -> DataFrame:
     return used.select("v", F.when(F.col("v") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("parent"), "a", "b")
 
 
-def _rank(inner: DataFrame, scratch: Scratch) -> DataFrame:
-    """Arcs (v, u) of the vertices (v, n1, n2) with the end they lead to and the steps to it; null on a cycle.
+def _rank(inner: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """Arcs (v, u) of the vertices (v, n1, n2) with the end they lead to and the steps to it; null on a cycle. And how many are null.
 
     An arc v -> u means leaving v towards u; its successor leaves u on the other side. Pointer
     doubling over arcs reaches the end of a chain of length L in log2(L) rounds.
@@ -55,7 +55,7 @@ def _rank(inner: DataFrame, scratch: Scratch) -> DataFrame:
     while True:
         still = state.where("end is null").count()
         if still == 0 or still == open_before:
-            return state
+            return state, still
         open_before = still
         target = state.select(F.col("v").alias("cv"), F.col("u").alias("cu"), F.col("end").alias("t_end"),
                               F.col("rank").alias("t_rank"), F.col("cv").alias("t_cv"), F.col("cu").alias("t_cu"))
@@ -73,12 +73,11 @@ def rank_chains(inner: DataFrame, scratch: Scratch) -> DataFrame:
     A component that is one cycle has no ends: its vertices smaller than both their neighbours are
     taken for ends, which makes chains of the rest.
     """
-    state = _rank(inner, scratch)
+    state, round_ = _rank(inner, scratch)
     arcs = state.where("end is not null")
-    round_ = state.where("end is null").select("v").distinct()
-    if not round_.isEmpty():
-        cut = scratch.keep(inner.join(round_, "v", "left_semi").where(F.col("v") > F.least("n1", "n2")))
-        arcs = arcs.unionByName(_rank(cut, scratch))
+    if round_:
+        cyclic = state.where("end is null").select("v").distinct()
+        arcs = arcs.unionByName(_rank(inner.join(cyclic, "v", "left_semi").where(F.col("v") > F.least("n1", "n2")), scratch)[0])
     sides = arcs.select("v", F.struct(F.col("u").alias("u"), F.col("end").alias("end"), F.col("rank").alias("rank")).alias("side"))
     return (sides.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("side").alias("s1"), F.max("side").alias("s2")).where("n = 2")
             .select("v", F.col("s1.u").alias("u1"), F.col("s2.u").alias("u2"), F.col("s1.end").alias("e1"), F.col("s1.rank").alias("r1"),
