@@ -171,16 +171,31 @@ class _PdfReader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
 
+    def _open(self):
+        """File system and path below it: a local path or any address pyarrow has a file system for."""
+        from pyarrow import fs
+
+        path = self.path.removeprefix("file:") if self.path.startswith("file:/") and not self.path.startswith("file://") else self.path
+        return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
     def partitions(self) -> list[InputPartition]:
-        import glob
-        import os
+        import re
+        from fnmatch import translate
+
+        from pyarrow import fs
 
-        path = self.path.removeprefix("file:")
-        found = sorted(glob.glob(os.path.join(path, "**", "*.pdf"), recursive=True)) if os.path.isdir(path) else sorted(glob.glob(path))
-        return [InputPartition(p) for p in found]
+        system, path = self._open()
+        wild = re.search(r"[*?\[]", path)
+        root = path[:wild.start()].rpartition("/")[0] if wild else path
+        if system.get_file_info(root).type == fs.FileType.File:
+            return [InputPartition(root)]
+        every = [f.path for f in system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)) if f.type == fs.FileType.File]
+        fits = re.compile(translate(path)).match if wild else lambda p: p.lower().endswith(".pdf")
+        return [InputPartition(p) for p in sorted(every) if fits(p)]
 
     def read(self, partition: InputPartition):
-        with open(partition.value, "rb") as f:
+        system, _ = self._open()
+        with system.open_input_file(partition.value) as f:
             for path, number, width, height, images, items, error in _rows(partition.value, f.read()):
                 yield (path, number, width, height, images, [tuple(i.values()) for i in items] if items is not None else None, error)
 
