@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 TREES = 3
-VISITS = 6  # leaves a vector visits, one in each tree included
+EXTRA = 3  # leaves a vector visits beside its own in each tree, at least; one less than the levels of a tree, if that is more
 LEAF = 8192  # vectors of a leaf, about
 SAMPLE = 20_000  # vectors the trees are fitted on, at most
 BROADCAST_ROWS = 1_000_000  # most rows of a set of excluded rows that is broadcast; a larger one is joined by shuffle
@@ -29,7 +29,7 @@ SPREAD = 3  # the trees project into the SPREAD x depth leading directions of th
 class Forest:
     """Trees with one direction for each level and one threshold (a median of the sample) for each node."""
 
-    def __init__(self, sample: np.ndarray, depth: int, trees: int = TREES, visits: int = VISITS, seed: int = 7):
+    def __init__(self, sample: np.ndarray, depth: int, trees: int = TREES, visits: int = TREES + EXTRA, seed: int = 7):
         self.depth, self.trees, self.visits = depth, trees, max(trees, visits if depth else trees)
         dims = sample.shape[1]
         rng = np.random.default_rng(seed)
@@ -251,7 +251,7 @@ def usable(column: str, dims: int):
             & ((top != 0) | (low != 0)))
 
 
-def nearest(vectors: DataFrame, k: int = 5, dims: int = 128, trees: int = TREES, visits: int = VISITS, leaf: int = LEAF) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, dims: int = 128, trees: int = TREES, visits: int | None = None, leaf: int = LEAF) -> DataFrame:
     """(id, neighbour, similarity): for each fact its k most similar others by cosine.
 
     A fact's vector is its usable row with the latest created_at (of rows equally late, the one with the
@@ -280,6 +280,7 @@ def nearest(vectors: DataFrame, k: int = 5, dims: int = 128, trees: int = TREES,
         hashed = hashed.join(F.broadcast(side) if n_spare <= BROADCAST_ROWS else side, "fact_id", "left_anti")
     points = n - n_spare
     depth = max(0, round(math.log2(max(1.0, points / leaf))))
+    visits = visits or trees + max(EXTRA, depth - 1)  # the deeper the trees, the more often near vectors part
     share = min(1.0, 1.2 * SAMPLE / max(points, 1))
     taken = rows.where(F.pmod(F.xxhash64("fact_id", F.lit(11)), F.lit(1 << 40)) < int(share * (1 << 40))).select("embedding").limit(SAMPLE)
     sample = _matrix(pa.chunked_array(taken.toArrow().column(0).chunks, type=pa.list_(pa.float32())).combine_chunks(), dims) if depth and points else np.zeros((1, dims), np.float32)
