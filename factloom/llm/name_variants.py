@@ -28,7 +28,7 @@ SPLIT = 2_000  # names or spellings of one key in a task; a key with more is spl
 SHARE = 500  # a token that over 1 / SHARE of a type's entities have is a word of trade: at most a few SHARE of them
 LEAST_TRADE = 4
 NEAR = 0.02  # scores this close are a tie
-SEEN = 3  # facts that have to link a given name with another form of it, or half as many entities and more
+SEEN = 1  # facts or aliases that have to link a given name with another form of it
 CORE, CORE_ALONE = 0.74, 0.8  # least similarity of the parts of a name, with and without a word of trade
 
 # Legal forms and forms of address, which do not tell entities apart.
@@ -211,7 +211,7 @@ def _given_forms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def familiar_forms(facts: DataFrame, aliases: DataFrame, base: DataFrame) -> DataFrame:
     """(given, familiar): for each given name of a known person the other forms under which linked facts and aliases name its bearers.
 
-    A form counts if SEEN facts or more than SEEN / 2 persons have it; it goes both ways.
+    A form counts if SEEN facts or aliases have it; it goes both ways.
     """
     persons = base.where("type = 'PERSON' and tokens <> ''").select("entity_id", F.col("tokens").alias("e_tokens"))
     linked = facts.where("entity_id is not null and subject_raw is not null and subject_type = 'PERSON'").groupBy("entity_id", F.col("subject_raw").alias("name")).agg(F.count(F.lit(1)).alias("n"))
@@ -219,7 +219,7 @@ def familiar_forms(facts: DataFrame, aliases: DataFrame, base: DataFrame) -> Dat
     both = linked.unionByName(told).join(persons.select("entity_id").distinct(), "entity_id", "left_semi")
     prepared = both.mapInPandas(_prepare, "entity_id string, name string, n long, tokens string, forms string").where("tokens <> ''")
     met = prepared.select("entity_id", "tokens", "n").join(persons, "entity_id").mapInPandas(_given_forms, "entity_id string, given string, form string, n long").where("form is not null")
-    seen = met.groupBy("given", "form").agg(F.sum("n").alias("n"), F.countDistinct("entity_id").alias("persons")).where((F.col("n") >= SEEN) | (F.col("persons") * 2 > SEEN))
+    seen = met.groupBy("given", "form").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN)
     ways = seen.select("given", "form").unionByName(seen.select(F.col("form").alias("given"), F.col("given").alias("form")))
     return ways.groupBy("given").agg(F.array_join(F.array_sort(F.collect_set("form")), " ").alias("familiar"))
 
