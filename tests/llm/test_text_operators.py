@@ -141,9 +141,12 @@ def test_names_of_a_block_of_any_size(spark, monkeypatch):
 def test_initials_and_familiar_forms_of_a_common_surname(spark):
     # 40 persons bear the surname; the typed given name does not begin with the letters of the known one.
     given = ["Stella", "Margaret", "Robert"] + [f"{a}{b}kovan" for a in "bcdfghjkln" for b in "aeio"][:37]
-    known = {f"p{i}": f"{g} Smith" for i, g in enumerate(given)}
+    known = {f"p{i}": f"{g} Smith" for i, g in enumerate(given)} | {"q1": "Margaret Zorvath", "q2": "Robert Zorvath"}
+    taught = [("q1", "Meg Zorvath"), ("q1", "Zorvath, Peggy"), ("q2", "Bobby Zorvath")]  # familiar forms are learned from other persons
     asks = {"S. Smith": "p0", "Smith, S.": "p0", "Smith SX": "p0", "Meg Smith": "p1", "Smith, Peggy": "p1", "Bobby Smith": "p2", "Sjtella Smith": "p0", "Xtella Smith": "p0", "Walter Smith": None}
-    assert resolved(spark, "PERSON", known, asks) == {q: e for q, e in asks.items() if e}
+    assert resolved(spark, "PERSON", known, asks, taught) == {q: e for q, e in asks.items() if e}
+    untaught = {q: e for q, e in asks.items() if e and not any(n in q for n in ("Meg", "Peggy", "Bobby"))}
+    assert resolved(spark, "PERSON", known, asks) == untaught
 
 
 def test_names_spelled_like_a_known_one(spark):
