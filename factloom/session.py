@@ -14,7 +14,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 #: Settings results depend on.
 SEMANTIC_CONFS = {
@@ -111,6 +111,12 @@ class Scratch:
         self.paths[id(out)] = path
         return out
 
+    def keep_counted(self, df: DataFrame, which: Column | None = None) -> tuple[DataFrame, int]:
+        """As ``keep``, with the number of rows (of those for which ``which`` holds), counted while they are written."""
+        seen = Observation()
+        counted = F.count(F.lit(1)) if which is None else F.count_if(which)
+        return self.keep(df.observe(seen, counted.alias("n"))), int(seen.get["n"] or 0)
+
     def drop(self, df: DataFrame | None) -> None:
         path = self.paths.pop(id(df), None) if df is not None else None
         if path:
