@@ -47,24 +47,23 @@ def _rank(inner: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     """
     arcs = inner.select("v", F.explode(F.array("n1", "n2")).alias("u"))
     follow = inner.select(F.col("v").alias("u"), "n1", "n2")
-    state = scratch.keep(arcs.join(follow, "u", "left").select(
+    open_ = F.col("end").isNull()
+    state, still = scratch.keep_counted(arcs.join(follow, "u", "left").select(
         "v", "u", F.when(F.col("n1").isNull(), F.col("u")).alias("end"), F.lit(1).cast("bigint").alias("rank"),
         F.when(F.col("n1").isNotNull(), F.col("u")).alias("cv"),
-        F.when(F.col("n1") == F.col("v"), F.col("n2")).otherwise(F.col("n1")).alias("cu")))
-    open_before = None
-    while True:
-        still = state.where("end is null").count()
-        if still == 0 or still == open_before:
-            return state, still
-        open_before = still
+        F.when(F.col("n1") == F.col("v"), F.col("n2")).otherwise(F.col("n1")).alias("cu")), open_)
+    before = None
+    while still and still != before:
         target = state.select(F.col("v").alias("cv"), F.col("u").alias("cu"), F.col("end").alias("t_end"),
                               F.col("rank").alias("t_rank"), F.col("cv").alias("t_cv"), F.col("cu").alias("t_cu"))
         moved = state.where("end is null").join(target, ["cv", "cu"]).select(
             "v", "u", F.col("t_end").alias("end"), (F.col("rank") + F.col("t_rank")).alias("rank"),
             F.col("t_cv").alias("cv"), F.col("t_cu").alias("cu"))
-        after = scratch.keep(state.where("end is not null").unionByName(moved))
+        before = still
+        after, still = scratch.keep_counted(state.where("end is not null").unionByName(moved), open_)
         scratch.drop(state)
         state = after
+    return state, still
 
 
 def rank_chains(inner: DataFrame, scratch: Scratch) -> DataFrame:
@@ -106,22 +105,22 @@ def solve_core(edges: DataFrame, scratch: Scratch) -> DataFrame:
         before = mark
 
 
-def reduce_once(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
-    """One round: leaves stripped, chains compressed. Returns the edges left and the links (v, parent) to undo it."""
+def reduce_once(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, list[DataFrame]]:
+    """One round: leaves stripped, chains compressed. Returns the edges left, their number and the links (v, parent) to undo it."""
     hang = scratch.keep(strip_leaves(edges))
-    rest = scratch.keep(edges.join(hang.select("a", "b"), ["a", "b"], "left_anti"))
-    inside = scratch.keep(_degrees(rest).where("deg = 2").select("v", "n1", "n2"))
-    if inside.isEmpty():
+    rest, left = scratch.keep_counted(edges.join(hang.select("a", "b"), ["a", "b"], "left_anti"))
+    inside, n = scratch.keep_counted(_degrees(rest).where("deg = 2").select("v", "n1", "n2"))
+    if not n:
         scratch.drop(inside)
-        return rest, [hang]
+        return rest, left, [hang]
     chains = scratch.keep(rank_chains(inside, scratch))
     gone = chains.select(F.explode(F.array(F.struct(*_edge("v", "u1")), F.struct(*_edge("v", "u2")))).alias("x")).select("x.*").distinct()
     bridge = chains.where("e1 <> e2").select(*_edge("e1", "e2"))
-    after = scratch.keep(rest.join(gone, ["a", "b"], "left_anti").unionByName(bridge).distinct())
+    after, left = scratch.keep_counted(rest.join(gone, ["a", "b"], "left_anti").unionByName(bridge).distinct())
     scratch.drop(inside)
     scratch.drop(rest)
     # A chain both of whose ends are one vertex hangs on it; any other hangs on its smaller end.
-    return after, [hang, chains]
+    return after, left, [hang, chains]
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -133,15 +132,15 @@ def components(pairs: DataFrame) -> DataFrame:
     """
     spark: SparkSession = pairs.sparkSession
     scratch = Scratch(spark, "p2")
-    edges = first = scratch.keep(normal_edges(pairs))
+    edges, left = scratch.keep_counted(normal_edges(pairs))
+    first, before = edges, None
     links: list[DataFrame] = []
-    left, before = edges.count(), None
     while left and left != before:
-        after, undo = reduce_once(edges, scratch)
+        after, rest, undo = reduce_once(edges, scratch)
         links += undo
         if edges is not first:
             scratch.drop(edges)
-        edges, before, left = after, left, after.count()
+        edges, before, left = after, left, rest
     labels = solve_core(edges, scratch) if left else spark.createDataFrame([], "v string, root string").select(
         F.col("v").cast(first.schema["a"].dataType).alias("v"), F.col("root").cast(first.schema["a"].dataType).alias("root"))
     for stage in reversed(links):
@@ -153,9 +152,9 @@ def components(pairs: DataFrame) -> DataFrame:
         scratch.drop(stage)
         labels = after
     degrees = _degrees(first).select("v", F.col("deg").alias("n_links"))
-    placed = scratch.keep(degrees.join(labels, "v", "left").select("v", "n_links", F.coalesce("root", "v").alias("root")))
+    placed, vertices = scratch.keep_counted(degrees.join(labels, "v", "left").select("v", "n_links", F.coalesce("root", "v").alias("root")))
     groups = placed.groupBy("root").agg(F.min("v").alias("group_id"), F.count(F.lit(1)).alias("n"))
-    return hot_join(placed, groups, ["root"], "n", placed.count()).select(F.col("v").alias("id"), "group_id", F.col("n_links").cast("bigint").alias("n_links"))
+    return hot_join(placed, groups, ["root"], "n", vertices).select(F.col("v").alias("id"), "group_id", F.col("n_links").cast("bigint").alias("n_links"))
 
 
 def corroboration_pairs(relationships: DataFrame, facts: DataFrame) -> DataFrame:
