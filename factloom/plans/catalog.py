@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans import fact_queries, stream_queries, text_queries, unit_queries
+from factloom.plans import fact_queries, pipeline, stream_queries, text_queries, unit_queries
 
-MODULES = [unit_queries, text_queries, fact_queries, stream_queries]
+MODULES = [unit_queries, text_queries, fact_queries, stream_queries, pipeline]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
