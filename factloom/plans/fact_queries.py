@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from factloom.functions.vectors import usable_vector, valid_vector
 from factloom.operators import candidates as cd, entities as en, relationships as rl, store as st
@@ -439,3 +439,37 @@ def sql_cosine_distance(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("""SELECT fact_id, vector_dims(embedding) AS dims, round(cosine_distance(embedding, other), 6) AS distance FROM
 (SELECT fact_id, embedding, usable, lead(embedding) OVER w AS other, lead(usable) OVER w AS other_usable FROM factloom_vectors WINDOW w AS (PARTITION BY fact_id ORDER BY created_at, model))
 WHERE usable AND other_usable AND size(embedding) = size(other)""")
+
+
+@query(f"WITH {PAIRS} SELECT DISTINCT relationship_type FROM pairs")
+def relationship_types(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select("relationship_type").distinct()
+
+
+@query("SELECT document_id, status FROM documents WHERE document_id NOT IN (SELECT document_id FROM facts WHERE chunk_id IS NOT NULL AND document_id IS NOT NULL)")
+def documents_without_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of which no chunk was ever made: their processing fails."""
+    chunked = table(spark, d, "facts").where("chunk_id is not null").select("document_id").distinct()
+    return table(spark, d, "documents").select("document_id", "status").join(chunked, "document_id", "left_anti")
+
+
+@query(f"""WITH t AS ({_COMPARED}), s AS (SELECT t.fact_id, CASE WHEN comparison_text IS NULL THEN 'failed' WHEN EXISTS (SELECT 1 FROM fact_embeddings v WHERE v.fact_id = t.fact_id AND v.comparison_text = t.comparison_text
+ AND v.model = 'finvec-2' AND v.dimensions = {DIMS}) THEN 'cached' ELSE 'wanted' END AS state FROM t)
+SELECT f.document_id, count(*) FILTER (state = 'wanted') AS wanted, count(*) FILTER (state = 'cached') AS cached, count(*) FILTER (state = 'failed') AS failed FROM s JOIN facts f USING (fact_id) GROUP BY 1""")
+def embedding_counters(spark: SparkSession, d: str) -> DataFrame:
+    """What an embedding run would do, by document: vectors wanted, vectors cached, facts that cannot be compared."""
+    texts = comparison_texts(spark, d)
+    wanted = cache_misses(texts.where("error is null").drop("error").withColumn("model", F.lit("finvec-2")).withColumn("dimensions", F.lit(DIMS)), table(spark, d, "fact_embeddings"))
+    state = texts.join(wanted.select("fact_id", F.lit(True).alias("miss")), "fact_id", "left").select(
+        "fact_id", F.when(F.col("error").isNotNull(), "failed").when(F.col("miss"), "wanted").otherwise("cached").alias("state"))
+    joined = state.join(table(spark, d, "facts").select("fact_id", "document_id"), "fact_id")
+    return joined.groupBy("document_id").agg(*[F.count_if(F.col("state") == k).alias(k) for k in ("wanted", "cached", "failed")])
+
+
+@query("""WITH q AS (SELECT DISTINCT evidence_id, fact_id, page_number, start_char, document_id FROM evidence)
+SELECT document_id, page_number, evidence_id, row_number() OVER (PARTITION BY document_id ORDER BY page_number NULLS FIRST, start_char NULLS FIRST, evidence_id, fact_id)::INT AS place FROM q""")
+def evidence_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """The evidence of each document in order of its place in the text."""
+    rows = table(spark, d, "evidence").select("evidence_id", "fact_id", "page_number", "start_char", "document_id").distinct()
+    order = Window.partitionBy("document_id").orderBy("page_number", "start_char", "evidence_id", "fact_id")
+    return rows.select("document_id", "page_number", "evidence_id", F.row_number().over(order).alias("place"))

@@ -38,6 +38,25 @@ class RequestError(ValueError):
     """INVALID_REQUEST."""
 
 
+# What a request may name.
+CHOICES = {
+    "value_type": {"TEXT", "NUMBER", "MONEY", "PERCENTAGE", "DATE", "BOOLEAN", "PERSON", "ORGANIZATION", "LOCATION", "QUANTITY", "DURATION", "OTHER"},
+    "relationship_type": {"CORROBORATES", "CONTRADICTS", "RECONCILABLE", "UNCERTAIN"},
+    "severity": {"INFO", "WARNING", "ERROR"},
+}
+
+
+def check_choice(**given: str | None) -> None:
+    """Values of a closed list; ids are texts of 1 to 200 characters without white space."""
+    for name, value in given.items():
+        if value is None:
+            continue
+        if name in CHOICES and value not in CHOICES[name]:
+            raise RequestError(f"{name} is one of {', '.join(sorted(CHOICES[name]))}")
+        if name.endswith("_id") and not (0 < len(value) <= 200 and not any(c.isspace() for c in value)):
+            raise RequestError(f"{name} is no id")
+
+
 def check(page: int = 1, page_size: int = 20, least_confidence: float | None = None, predicate: str | None = None, search: str | None = None, stage: str | None = None) -> None:
     if page < 1 or not 1 <= page_size <= MAX_PAGE:
         raise RequestError(f"page from 1, page_size from 1 to {MAX_PAGE}")
@@ -57,6 +76,7 @@ def where_facts(facts: DataFrame, document_id: str | None = None, entity_id: str
                 value_type: str | None = None, least_confidence: float | None = None, search: str | None = None) -> DataFrame:
     """A filter that is not given filters nothing; texts are found anywhere, whatever their case."""
     check(least_confidence=least_confidence, predicate=predicate, search=search)
+    check_choice(document_id=document_id, entity_id=entity_id, value_type=value_type)
     tests = [F.lit(True)]
     if document_id is not None:
         tests.append(F.col("document_id") == document_id)
@@ -125,6 +145,8 @@ def relationship_details(pairs: DataFrame, facts: DataFrame) -> DataFrame:
 
 def where_relationships(details: DataFrame, relationship_type: str | None = None, least_confidence: float | None = None,
                         document_id: str | None = None, entity_id: str | None = None) -> DataFrame:
+    check(least_confidence=least_confidence)
+    check_choice(relationship_type=relationship_type, document_id=document_id, entity_id=entity_id)
     out = details
     if relationship_type is not None:
         out = out.where(F.col("relationship_type") == relationship_type)
@@ -187,6 +209,7 @@ def relationship_issues(decided: DataFrame, gate: float = 0.60) -> DataFrame:
 
 def where_issues(rows: DataFrame, document_id: str | None = None, stage: str | None = None, issue_type: str | None = None, severity: str | None = None) -> DataFrame:
     check(stage=stage)
+    check_choice(document_id=document_id, severity=severity)
     out = rows
     if document_id is not None:
         out = out.where(F.col("document_id") == document_id)

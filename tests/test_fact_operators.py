@@ -38,7 +38,7 @@ def decide(spark, a, b):
     ({"normalized_number": 5.0, "normalized_context": context("H1 FY2025")}, {"normalized_number": 10.0, "normalized_context": context("FY2025")}, "RECONCILABLE", "REASONER"),
     ({"normalized_number": 5.0, "currency": "USD"}, {"normalized_number": 5.0, "currency": "EUR"}, "UNCERTAIN", "REASONER"),
     ({"normalized_number": 5.0, "normalized_context": context(scope="india")}, {"normalized_number": 9.0, "normalized_context": context(scope="global")}, "RECONCILABLE", "REASONER"),
-    ({"value_type": "STATUS", "value_raw": "In  Force"}, {"value_type": "STATUS", "value_raw": "in force"}, "CORROBORATES", "RULE"), ({"value_type": "STATUS", "value_raw": "in force"}, {"value_type": "STATUS", "value_raw": "lapsed"}, "CONTRADICTS", "REASONER"),
+    ({"value_type": "TEXT", "value_raw": "In  Force"}, {"value_type": "TEXT", "value_raw": "in force"}, "CORROBORATES", "RULE"), ({"value_type": "TEXT", "value_raw": "in force"}, {"value_type": "TEXT", "value_raw": "lapsed"}, "CONTRADICTS", "REASONER"),
     ({"normalized_number": 5.0, "normalized_context": context("FY2024")}, {"normalized_number": 5.0, "qualifiers": '{"period":"FY2024"}'}, "CORROBORATES", "REASONER"),
     ({"normalized_number": 5.0}, {}, "UNCERTAIN", "REASONER"), ({"entity_id": "x", "subject_normalized": "other", "normalized_number": 5.0}, {"normalized_number": 5.0}, None, None),
     ({"normalized_number": 5.0, "document_id": "d2"}, {"normalized_number": 5.0}, None, None), ({"normalized_number": 5.0, "predicate_canonical": "employee_count"}, {"normalized_number": 5.0}, None, None),
@@ -253,3 +253,15 @@ def test_names_join_what_came_before(spark):
     got = {r["name"]: r["entity_id"] for r in en.place_in_order(f, e).collect()}
     heads = {got[n]: f"new of {n}" for n in names if place[n] == f"new of {n}"}
     assert {n: heads.get(x, x) for n, x in got.items()} == place
+
+
+def test_requests_are_checked(spark):
+    f = facts(spark, [{"fact_id": "a", "document_id": "d"}])
+    for bad in ({"value_type": "money"}, {"document_id": ""}, {"entity_id": "a b"}, {"least_confidence": 1.5}, {"search": ""}):
+        with pytest.raises(api.RequestError):
+            api.where_facts(f, **bad)
+    assert api.where_facts(f, document_id="d", value_type="MONEY").count() == 1
+    with pytest.raises(api.RequestError):
+        api.where_issues(f, severity="FATAL")
+    with pytest.raises(api.RequestError):
+        api.where_relationships(f, "SIMILAR")
