@@ -99,9 +99,14 @@ def grams(text: Column, n: int = 3) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n)))
 
 
+def name_words(c: Column) -> Column:
+    """The words of a name in lower case, blanks between them."""
+    return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")
+
+
 def word_trigrams(c: Column) -> Column:
     """Set of trigrams over the words of a name; each word padded with two blanks before and one after."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
+    words = F.filter(F.split(name_words(c), " "), lambda w: w != "")
     return F.array_distinct(F.flatten(F.transform(words, lambda w: grams(F.concat(F.lit("  "), w, F.lit(" "))))))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from factloom.functions.text import entity_name, word_trigrams
+from factloom.operators.nearest_names import nearest_names
 from factloom.operators.skew import hot_join
 from factloom.session import Scratch
 
@@ -64,10 +65,11 @@ def trigram_candidates(names: DataFrame, entities: DataFrame, aliases: DataFrame
         raise ValueError("limit must be a positive integer")
     own = entities.select(F.col("entity_id").alias("key"), F.col("normalized_name").alias("other"), F.col("entity_type").alias("type"))
     more = aliases.join(entities.select("entity_id", F.col("entity_type").alias("type")), "entity_id").select(F.col("entity_id").alias("key"), F.col("normalized_alias").alias("other"), "type")
-    known = own.unionByName(more).where("other is not null").distinct()
-    best = similarities(names, known, least).groupBy("name", "type", "key").agg(F.max("similarity").alias("similarity"))
+    first = entities.groupBy(F.col("entity_id").alias("key")).agg(F.min("created_at").alias("created_at"))
+    found = nearest_names(names, own.unionByName(more).distinct().join(first, "key"), least, limit)
+    best = found.groupBy("name", "type", "key").agg(F.max("similarity").alias("similarity"))
     dated = best.join(entities.select(F.col("entity_id").alias("key"), "created_at"), "key")
-    order = Window.partitionBy("name", "type").orderBy(F.desc("similarity"), "created_at", "key")
+    order = Window.partitionBy("name", "type").orderBy(F.desc("similarity"), F.asc_nulls_last("created_at"), "key")
     return dated.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("name", "type", F.col("key").alias("entity_id"), "similarity", "rank")
 
 
