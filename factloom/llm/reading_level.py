@@ -20,8 +20,8 @@ from factloom.llm.lookalikes import unmask
 from factloom.session import Scratch
 
 LEVELS = 5
-MAX_LABELLED = 20_000  # labelled documents the model is fitted on, at most (the smallest hashes of their ids)
-MAX_SPOKEN = 20_000  # documents of known language the character model is fitted on, at most (the smallest hashes of their ids)
+BROADCAST_LABELS = 500_000  # labelled documents whose ids are broadcast; more meet their texts in a shuffle
+FLUSH = 1 << 20  # letter grams counted at once
 MIN_DOCS = 4  # labelled documents a word must occur in to be known
 MIN_WORDS = 80  # words (at white space) of a text that gets a level
 QUANTILES = np.array([0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
@@ -73,8 +73,21 @@ class Language:
 def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: dict[str, np.ndarray] = {}
+        open_: dict[str, list[np.ndarray]] = {}
+        held = 0
+
+        def flush() -> None:
+            for code, parts in open_.items():
+                found[code] = found.get(code, 0) + np.bincount(np.concatenate(parts), minlength=GRAMS)
+            open_.clear()
+
         for text, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found[code] = found.get(code, 0) + np.bincount(letter_grams(text), minlength=GRAMS)
+            open_.setdefault(code, []).append(g := letter_grams(text))
+            held += len(g)
+            if held > FLUSH:
+                flush()
+                held = 0
+        flush()
         for code, n in found.items():
             some = np.nonzero(n)[0]
             yield pa.RecordBatch.from_arrays([pa.array([code] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(n[some])], names=["code", "gram", "n"])
@@ -91,29 +104,25 @@ def _english_means(cast):
 
 
 def learn_language(documents: DataFrame) -> Language | None:
-    """The character model of documents whose language is given, at most MAX_SPOKEN of them.
+    """The character model of all documents whose language is given.
 
     Labels may be wrong now and then and codes differ: classes go by their first two letters. The floor lies
-    three times as far below the middle of the English texts as their lowest hundredth.
+    three times as far below the middle of the English texts as their lowest hundredth; both are taken from
+    the means of all English texts to four decimals, so what is sorted is bounded by these decimals.
     """
     if "lang" not in documents.columns:
         return None
-    spark = documents.sparkSession
-    told = documents.where(F.col("text").isNotNull() & language().isNotNull() & (F.length("text") >= 2 * MIN_WORDS - 1))
-    chosen = told.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_SPOKEN)
-    scratch = Scratch(spark, "p10-language")
-    sample = scratch.keep(told.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select("text", language().alias("code")))
+    told = documents.where(F.col("text").isNotNull() & language().isNotNull() & (F.length("text") >= 2 * MIN_WORDS - 1)).select("text", language().alias("code"))
     counts: dict[str, np.ndarray] = {}
-    for r in sample.mapInArrow(_letters, "code string, gram int, n long").groupBy("code", "gram").agg(F.sum("n").alias("n")).collect():  # GRAMS rows a code
+    for r in told.mapInArrow(_letters, "code string, gram int, n long").groupBy("code", "gram").agg(F.sum("n").alias("n")).collect():  # GRAMS rows a code
         counts.setdefault(r["code"], np.zeros(GRAMS))[r["gram"]] = r["n"]
     model = Language.of(counts)
     if model is not None:
-        cast = spark.sparkContext.broadcast(model)
-        english = sample.where("code = 'en'").select("text").mapInArrow(_english_means(cast), "mean double")
-        low, middle = english.agg(F.percentile("mean", F.lit(0.01)), F.percentile("mean", F.lit(0.5))).first()
+        cast = documents.sparkSession.sparkContext.broadcast(model)
+        means = told.where("code = 'en'").select("text").mapInArrow(_english_means(cast), "mean double").groupBy(F.round("mean", 4).alias("mean")).agg(F.count(F.lit(1)).alias("n"))
+        low, middle = means.agg(F.percentile("mean", F.lit(0.01), F.col("n")), F.percentile("mean", F.lit(0.5), F.col("n"))).first()
         if low is not None:
             model.floor = middle - 3 * (middle - low)
-    scratch.drop(sample)
     return model
 
 
@@ -189,24 +198,36 @@ def grade_table(rows: list[tuple[str, list[float], int]], totals: np.ndarray) ->
     return out
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, strength: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Ridge from quantiles to the readers' mean level, then the cuts that agree best with it."""
-    penalty = strength * np.eye(x.shape[1])
+def ridge(moments: np.ndarray, strength: float = 1.0) -> np.ndarray:
+    """Ridge from quantiles to the readers' mean level; moments: products of all pairs of features and level, summed over the documents."""
+    xx, xy = moments[:-1, :-1], moments[:-1, -1]
+    penalty = strength * np.eye(len(xx))
     penalty[-1, -1] = 0
-    beta = np.linalg.solve(x.T @ x + penalty, x.T @ y)
-    p, target = x @ beta, np.clip(np.round(y), 1, LEVELS)
+    return np.linalg.solve(xx + penalty, xy)
+
+
+def counted_quantiles(values: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Quantiles of ascending values that occur n times each, linear between neighbours."""
+    last = np.cumsum(n)
+    at = q * (last[-1] - 1)
+    low = np.floor(at)
+    a, b = (values[np.searchsorted(last, np.minimum(k, last[-1] - 1), "right")] for k in (low, low + 1))
+    return a + (at - low) * (b - a)
+
+
+def best_cuts(p: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The cuts that agree best with the readers; ascending predictions, documents of each by level."""
     cuts = []
     for k in range(1, LEVELS):
-        grid = np.unique(np.concatenate([[k + 0.5], np.quantile(p, np.linspace(0, 1, 400))]))
-        above = target > k
-        order = np.argsort(p)
-        wrong_below = np.concatenate([[0], np.cumsum(above[order])])
-        wrong_above = np.concatenate([np.cumsum((~above[order])[::-1])[::-1], [0]])
-        at = np.searchsorted(p[order], grid)
+        grid = np.unique(np.concatenate([[k + 0.5], counted_quantiles(p, counts.sum(1), np.linspace(0, 1, 400))]))
+        above, not_above = counts[:, k:].sum(1), counts[:, :k].sum(1)
+        wrong_below = np.concatenate([[0], np.cumsum(above)])
+        wrong_above = np.concatenate([np.cumsum(not_above[::-1])[::-1], [0]])
+        at = np.searchsorted(p, grid)
         loss = wrong_below[at] + wrong_above[at]
         best = grid[loss == loss.min()]
         cuts.append(float(best[np.abs(best - np.median(best)).argmin()]))
-    return beta, np.maximum.accumulate(np.array(cuts))
+    return np.maximum.accumulate(np.array(cuts))
 
 
 def _english(model: Language | None, text: str) -> bool:
@@ -262,6 +283,43 @@ def _describe(cast):
     return run
 
 
+def _features_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return np.array(batch.column("x").to_pylist(), float).reshape(batch.num_rows, -1), batch.column("y").to_numpy(zero_copy_only=False)
+
+
+def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            z = np.column_stack(_features_of(batch))
+            m = (z.T @ z).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(m), dtype=np.int32)), pa.array(m)], names=["at", "v"])
+
+
+def _placed(cast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = _features_of(batch)
+                target = np.clip(np.round(y), 1, LEVELS).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.floor(x @ cast.value * 10_000).astype(np.int64)), pa.array(target)], names=["p", "target"])
+
+    return run
+
+
+def calibrate(described: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Ridge and cuts over all rows (x, y); sums and counts come to the driver, no rows. Predictions count to four decimals."""
+    sums = {r["at"]: r["v"] for r in described.mapInArrow(_moments, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()}
+    if not sums:
+        return None
+    beta = ridge(np.array([sums[i] for i in range(len(sums))]).reshape(round(len(sums) ** 0.5), -1))
+    placed = described.mapInArrow(_placed(described.sparkSession.sparkContext.broadcast(beta)), "p long, target int")
+    rows = placed.groupBy("p", "target").agg(F.count(F.lit(1)).alias("n")).collect()  # bounded by the decimals of levels
+    p, at = np.unique(np.array([r["p"] for r in rows]), return_inverse=True)
+    counts = np.zeros((len(p), LEVELS), np.int64)
+    counts[at, np.array([r["target"] for r in rows]) - 1] = [r["n"] for r in rows]
+    return beta, best_cuts(p / 10_000, counts)
+
+
 def _predict(cast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = cast.value
@@ -286,27 +344,25 @@ def consensus(labels: DataFrame) -> DataFrame:
 def fit(documents: DataFrame, labels: DataFrame) -> Model | None:
     spark = documents.sparkSession
     spoken = learn_language(documents)
-    chosen = consensus(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     scratch = Scratch(spark, "p10")
-    graded = scratch.keep(documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "level"))
+    levels, n = scratch.keep_counted(consensus(labels))
+    graded = scratch.keep(documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(levels) if n <= BROADCAST_LABELS else levels, "doc_id").select("text", "level"))
+    scratch.drop(levels)
     columns = [f"l{i + 1}" for i in range(LEVELS)]
     used = scratch.keep(graded.repartition(spark.sparkContext.defaultParallelism).mapInArrow(_uses(spark.sparkContext.broadcast(spoken)), "word string, " + ", ".join(f"{c} double" for c in columns) + ", docs double")
                         .groupBy("word").agg(*[F.sum(c).alias(c) for c in columns], F.sum("docs").alias("docs")))
     totals = np.array([x or 0.0 for x in used.agg(*[F.sum(c) for c in columns]).first()])
-    # Bounded by the labelled documents: a known word stands in MIN_DOCS of them.
+    # Grows with the vocabulary of the labelled documents only: a known word stands in MIN_DOCS of them.
     best = used.where(F.col("docs") >= MIN_DOCS).orderBy("word")
     grades = grade_table([(r["word"], [r[c] for c in columns], r["docs"]) for r in best.collect()], totals)
     if not grades:
         return None
     cast = spark.sparkContext.broadcast((grades, spoken))
-    found = graded.mapInArrow(_describe(cast), "x array<double>, y double").toArrow()
-    x = np.array(found.column("x").to_pylist()).reshape(found.num_rows, -1)
-    y = found.column("y").to_numpy()
-    scratch.drop(graded)
-    scratch.drop(used)
-    if not len(y):
-        return None
-    return Model(grades, spoken, *calibrate(x, y))
+    described = scratch.keep(graded.mapInArrow(_describe(cast), "x array<double>, y double"))
+    fitted = calibrate(described)
+    for gone in (graded, used, described):
+        scratch.drop(gone)
+    return Model(grades, spoken, *fitted) if fitted else None
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -280,3 +280,48 @@ def test_reading_levels(spark):
     assert set(got) == set(range(300)) | {904, 905, 907} and 1 <= got[904] <= 5
     assert {r["doc_id"] for r in rl.reading_levels(d.drop("lang"), lab).collect()} == set(got) | {903, 906}
     assert rl.reading_levels(d, lab.limit(0)).count() == 0 and rl.reading_levels(d.limit(0), lab).count() == 0
+
+
+def test_reading_level_model_of_all_texts(spark, monkeypatch):
+    """Counts, floor, grades and cuts come from all texts and labels, however many: once at most 20,000 of each were taken."""
+    for former in ("MAX_SPOKEN", "MAX_LABELLED"):
+        monkeypatch.setattr(rl, former, 5, raising=False)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3))
+    words = [[word() for _ in range(30)] for _ in range(5)]
+    docs = [(i, " ".join(rng.choice(words[i % 5]) for _ in range(90)), "en" if i % 4 else "de") for i in range(60)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(7)
+    counts = {}
+    for _, text, code in docs:
+        counts[code] = counts.get(code, 0) + np.bincount(rl.letter_grams(text), minlength=rl.GRAMS)
+    want = rl.Language.of(counts)
+    monkeypatch.setattr(rl, "FLUSH", 300)
+    got = rl.learn_language(d)
+    assert np.array_equal(got.logs, want.logs)
+    means = [m[0] for _, text, code in docs if code == "en" and (m := want.logs[:, rl.letter_grams(text)].mean(1))[0] >= m.max()]
+    low, middle = np.quantile(means, [0.01, 0.5])
+    assert abs(got.floor - (middle - 3 * (middle - low))) < 1e-3
+    labels = spark.createDataFrame([(i, 1 + i % 5) for i in range(60)], "doc_id long, reading_level int")
+    model = rl.fit(d.drop("lang"), labels)
+    uses = {}
+    for _, text, _ in docs:
+        for w in set(text.split()):
+            uses[w] = uses.get(w, 0) + 1
+    assert set(model.grades) == {w for w, n in uses.items() if n >= rl.MIN_DOCS}
+    monkeypatch.setattr(rl, "BROADCAST_LABELS", 0)
+    again = rl.fit(d.drop("lang"), labels)
+    assert again.grades.keys() == model.grades.keys() and np.allclose(again.coefficients, model.coefficients) and np.allclose(again.cuts, model.cuts, atol=1e-3)
+
+
+def test_cuts_of_counts():
+    rng = np.random.default_rng(6)
+    p = np.floor(np.sort(rng.normal(3, 1, 3000)) * 100) / 100
+    target = np.clip(np.round(p + rng.normal(0, 0.7, len(p))), 1, 5).astype(int)
+    values, at = np.unique(p, return_inverse=True)
+    counts = np.zeros((len(values), 5), np.int64)
+    np.add.at(counts, (at, target - 1), 1)
+    q = np.linspace(0, 1, 400)
+    assert np.allclose(rl.counted_quantiles(values, counts.sum(1), q), np.quantile(p, q))
+    for k, cut in enumerate(rl.best_cuts(values, counts), 1):
+        wrong = lambda c: ((p >= c) != (target > k)).sum()
+        assert wrong(cut) <= min(wrong(c) for c in np.append(np.quantile(p, q), k + 0.5))
