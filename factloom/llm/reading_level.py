@@ -33,9 +33,18 @@ _CLASS = np.array([b - 96 if 97 <= b <= 122 else 27 + (b & 3) if b >= 128 else 0
 GRAMS = 1 << 15
 
 
+def plain(text: str) -> str:
+    return unmask(text).lower()
+
+
 def letter_grams(text: str) -> np.ndarray:
     """Codes of all runs of three letters (or the gap between words)."""
-    c = _CLASS[np.frombuffer(unmask(text).lower().encode("utf-8", "replace"), np.uint8)]
+    return plain_grams(plain(text))
+
+
+def plain_grams(text: str) -> np.ndarray:
+    """As ``letter_grams``, of a text that is plain already."""
+    c = _CLASS[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)]
     c = c[(c > 0) | np.concatenate([[True], c[:-1] > 0])] if len(c) else c
     return (c[:-2] << 10) + (c[1:-1] << 5) + c[2:]
 
@@ -54,8 +63,8 @@ class Language:
     floor: float  # least mean of an English text
 
     def is_english(self, text: str) -> bool:
-        """English is likelier than any other language seen, and no less likely than in English texts."""
-        g = letter_grams(text)
+        """Of a plain text: English is likelier than any other language seen, and no less likely than in English texts."""
+        g = plain_grams(text)
         if not len(g):
             return False
         means = self.logs[:, g].mean(1)
@@ -126,10 +135,6 @@ def learn_language(documents: DataFrame) -> Language | None:
     return model
 
 
-def tokens(text: str) -> Counter:
-    return Counter(unmask(text).lower().split())
-
-
 def _clean(counts: Counter) -> Counter:
     out: Counter = Counter()
     for w, n in counts.items():
@@ -231,7 +236,7 @@ def best_cuts(p: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _english(model: Language | None, text: str) -> bool:
-    """Without a model of English every text counts as English."""
+    """Of a plain text. Without a model of English every text counts as English."""
     return model is None or model.is_english(text)
 
 
@@ -247,12 +252,12 @@ def _count_uses(model: Language | None, batches: Iterator[pa.RecordBatch]) -> It
     for batch in batches:
         table: dict[str, np.ndarray] = {}
         for text, level in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            raw = tokens(text)
+            text = plain(text)
             if not _english(model, text):
                 continue
             low = int(np.floor(level))
             part = level - low
-            for w, n in _clean(raw).items():
+            for w, n in _clean(Counter(text.split())).items():
                 row = table.get(w)
                 if row is None:
                     row = table[w] = np.zeros(LEVELS + 1)
@@ -272,9 +277,9 @@ def _describe(cast):
         for batch in batches:
             x, y = [], []
             for text, level in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = tokens(text)
-                if sum(raw.values()) >= MIN_WORDS // 2 and _english(model, text):
-                    f = features(grades, _clean(raw))
+                words = (text := plain(text)).split()
+                if len(words) >= MIN_WORDS // 2 and _english(model, text):
+                    f = features(grades, _clean(Counter(words)))
                     if f is not None:
                         x.append(f.tolist())
                         y.append(float(level))
@@ -326,10 +331,10 @@ def _predict(cast):
         for batch in batches:
             keep, levels = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                raw = tokens(text)
-                if sum(raw.values()) >= MIN_WORDS and _english(model.language, text):
+                words = (text := plain(text)).split()
+                if len(words) >= MIN_WORDS and _english(model.language, text):
                     keep.append(i)
-                    levels.append(model.level(_clean(raw)))
+                    levels.append(model.level(_clean(Counter(words))))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(levels, pa.int32())], names=["doc_id", "reading_level"])
 
     return run
